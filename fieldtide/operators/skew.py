@@ -1,0 +1,28 @@
+"""Proof that groups are small enough to be gathered into one row."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Images one series row may gather (about 100 MB of array data).
+SERIES_ROW_LIMIT = 1_000_000
+#: Counter slots of the proof. More slots than rows / limit keeps it sharp.
+PROOF_SLOTS = 1 << 22
+
+
+def groups_bounded(
+    df: DataFrame, keys: Sequence[str], limit: int = SERIES_ROW_LIMIT, slots: int = PROOF_SLOTS,
+) -> bool:
+    """True only if no key group of df exceeds `limit` rows.
+
+    Keys are counted in hashed slots. A slot holds at least each group in it, so
+    a small largest slot proves every group small, while a task ships at most one
+    number per slot however many keys it met. Slots shared by many small groups
+    can only make the answer more careful.
+    """
+    slot = F.pmod(F.xxhash64(*keys), F.lit(slots))
+    top = df.groupBy(slot.alias("slot")).count().agg(F.max("count")).first()[0]
+    return (top or 0) <= limit
