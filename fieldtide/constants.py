@@ -14,6 +14,8 @@ CHANNELS = BANDS + INDICES
 ASSETS = ["scl"] + BANDS
 #: One pixel of one year. Every series operator groups by these.
 SERIES = ["bbox", "year", "lon", "lat", "CDL"]
+#: A place, whatever the year.
+PIXEL = ["lon", "lat"]
 #: One stored scene.
 SCENE = ["bbox", "year", "tile", "scene_date"]
 

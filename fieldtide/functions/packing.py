@@ -30,33 +30,31 @@ def pack_bytes(values: Column, what: str = "value") -> Column:
     return _pack(values, 2, BYTE_MAX, what)
 
 
-def _unpack(blob: Column, size: int) -> Column:
-    text = F.hex(blob)
-    count = F.length(blob).cast("int") / size
-    steps = F.when(count >= 1, F.sequence(F.lit(0), count.cast("int") - 1)).otherwise(
+def _steps(count: Column) -> Column:
+    return F.when(count >= 1, F.sequence(F.lit(0), count - 1)).otherwise(
         F.array().cast("array<int>"))
-    return F.transform(
-        steps,
-        lambda i: F.conv(F.substring(text, i * (2 * size) + 1, F.lit(2 * size)), 16, 10).cast("int"),
-    )
+
+
+def _number_at(blob: Column, i: Column, size: int) -> Column:
+    """Unsigned big-endian number at position i; reads only its own bytes."""
+    return F.conv(F.hex(F.substring(blob, i * size + 1, F.lit(size))), 16, 10).cast("int")
 
 
 def unpack_words(blob: Column) -> Column:
-    return _unpack(blob, 2)
+    count = F.floor(F.length(blob) / 2).cast("int")
+    return F.transform(_steps(count), lambda i: _number_at(blob, i, 2))
 
 
 def unpack_bytes(blob: Column) -> Column:
-    return _unpack(blob, 1)
+    return F.transform(_steps(F.length(blob)), lambda i: _number_at(blob, i, 1))
 
 
 def unpack_rows(blob: Column, width: int = len(BANDS)) -> Column:
     """Words cut into rows of `width` (one row of bands per image)."""
-    flat = unpack_words(blob)
-    count = (F.size(flat) / width).cast("int")
-    return F.when(
-        count > 0,
-        F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(flat, i * width + 1, width)),
-    ).otherwise(F.array().cast("array<array<int>>"))
+    count = F.floor(F.length(blob) / (2 * width)).cast("int")
+    columns = F.sequence(F.lit(0), F.lit(width - 1))
+    return F.transform(_steps(count), lambda i: F.transform(
+        columns, lambda k: _number_at(blob, i * width + k, 2)))
 
 
 def epoch_day(date: Column) -> Column:

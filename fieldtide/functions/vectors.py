@@ -34,3 +34,14 @@ def probability_columns(probs: str, names: Sequence[str]) -> list[Column]:
 
 def band_array() -> Column:
     return F.array(*BANDS)
+
+
+def entries(values: str) -> Column:
+    """An array column as the argument of explode or inline.
+
+    Exploding a bare column makes the optimizer derive a non-empty filter and
+    carry it through every projection below; over wide derived arrays those
+    constraints double with each column. A guarded expression keeps the same rows
+    (null and empty arrays give none) without that.
+    """
+    return F.when(F.size(values) > 0, F.col(values))

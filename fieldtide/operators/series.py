@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtide.constants import SERIES
+from fieldtide.constants import PIXEL, SERIES
 from fieldtide.functions import packing, spectral, vectors
 from fieldtide.operators.skew import SERIES_ROW_LIMIT, groups_bounded
 
@@ -69,7 +69,7 @@ def build_series(
     no image is lost.
     """
     if bounded is None:
-        bounded = groups_bounded(obs, SERIES, limit)
+        bounded = groups_bounded(obs, PIXEL, limit)
     if bounded:
         return _shape(_gather(obs, SERIES).withColumn("part", F.lit(0).cast("bigint")), "part")
     slots = [*SERIES, "scene_date", "tile"]
@@ -99,7 +99,7 @@ def window_series(
     entries per series, combined on the map side); `seq` still counts all images.
     """
     if bounded is None:
-        bounded = groups_bounded(obs, SERIES, limit)
+        bounded = groups_bounded(obs, PIXEL, limit)
     if bounded:
         return _shape(_gather(obs, SERIES))
     days = (
@@ -124,7 +124,7 @@ def window_series(
 
 def explode_images(series: DataFrame, *keep: str) -> DataFrame:
     """One row per image of a series: position, day, tile, mask class and bands."""
-    return series.select(*keep, F.explode("images").alias("o")).select(*keep, "o.*")
+    return series.select(*keep, F.explode(vectors.entries("images")).alias("o")).select(*keep, "o.*")
 
 
 def image_map(series: DataFrame) -> DataFrame:

@@ -21,7 +21,8 @@ def groups_bounded(
     Keys are counted in hashed slots. A slot holds at least each group in it, so
     a small largest slot proves every group small, while a task ships at most one
     number per slot however many keys it met. Slots shared by many small groups
-    can only make the answer more careful.
+    can only make the answer more careful. For the same reason df may be an
+    unfiltered superset and keys a coarser key: the scan then reads just those.
     """
     slot = F.pmod(F.xxhash64(*keys), F.lit(slots))
     top = df.groupBy(slot.alias("slot")).count().agg(F.max("count")).first()[0]

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtide.constants import BANDS, FRAMES_TO_CHECK, SERIES, SWEEP_CONFIGS, SWEEP_START_DAYS
+from fieldtide.constants import (
+    BANDS, FRAMES_TO_CHECK, PIXEL, SERIES, SWEEP_CONFIGS, SWEEP_START_DAYS,
+)
+from fieldtide.functions import vectors
 from fieldtide.operators import labels, quality, series as sr, windows as wn
+from fieldtide.operators.skew import groups_bounded
 from fieldtide.operators.windows import WindowSpec
 from fieldtide.plans import oracle as o
 from fieldtide.plans.registry import query
@@ -20,16 +24,22 @@ def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_numeric(quality.scl_mask(derived.observations(spark, sf_dir)))
 
 
+def bounded(spark: SparkSession, sf_dir: str) -> bool:
+    """Series are short: proven on the unmasked table, of which only lon and lat are read."""
+    return groups_bounded(derived.observations(spark, sf_dir), PIXEL)
+
+
 def full_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sr.build_series(masked(spark, sf_dir))
+    return sr.build_series(masked(spark, sf_dir), bounded=bounded(spark, sf_dir))
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sr.window_series(masked(spark, sf_dir))
+    return sr.window_series(masked(spark, sf_dir), bounded=bounded(spark, sf_dir))
 
 
 def train_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sr.window_series(tables.drop_double_crops(masked(spark, sf_dir)))
+    return sr.window_series(
+        tables.drop_double_crops(masked(spark, sf_dir)), bounded=bounded(spark, sf_dir))
 
 
 def _labelled(df: DataFrame, *extra: str) -> DataFrame:
@@ -169,7 +179,7 @@ def bucketize(spark, sf_dir):
 SELECT {o.KEY}, bucket::INTEGER AS bucket, rday AS "day", scl, {_BANDS_TEXT} AS bands FROM picks"""))
 def first_per_bucket(spark, sf_dir):
     s = wn.cut(series(spark, sf_dir).withColumn("start_day", F.lit(15)), SPEC)
-    return s.select(*SERIES, F.inline("picks")).withColumn("bands", _bands_text(F.col("bands")))
+    return s.select(*SERIES, F.inline(vectors.entries("picks"))).withColumn("bands", _bands_text(F.col("bands")))
 
 
 @query("pad_buckets", o.with_(*o.SERIES_CTES, *o.windows("0"), f"""

@@ -32,16 +32,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _pick(values: list[str], position: Column) -> Column:
+    """Element of a constant list (folded to one literal, nothing is built per row)."""
+    return F.get(F.array(*map(F.lit, values)), position)
+
+
 def _class_name(key: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, CLASS_BY_KEY)), (key % 16 + 1).cast("int"))
+    return _pick(CLASS_BY_KEY, (key % 16).cast("int"))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One observation per line item: key, labels, mask layer and twelve bands."""
     c = F.col
-    zone = c("l_suppkey") % 4
-    corner = [390000 + zone * 20000, 1100000 + zone * 30000,
-              410000 + zone * 20000, 1130000 + zone * 30000]
+    zone = (c("l_suppkey") % 4).cast("int")
+    squares = [",".join(map(str, (390000 + g * 20000, 1100000 + g * 30000,
+                                  410000 + g * 20000, 1130000 + g * 30000))) for g in range(4)]
+    tiles = [f"15SY{letter}_{i % 2}" for i, letter in enumerate("UVWXYZT", 1)]
     bands = [
         ((c("l_orderkey") * (k + 7) + c("l_partkey") * (k + 13)
           + c("l_linenumber") * 101 + (k + 1) * 997) % 10000).cast("int").alias(name)
@@ -54,12 +60,9 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((c("l_orderkey") + c("l_partkey") * 5 + c("l_linenumber") * 7) % 12)
         .cast("int").alias("scl"),
         *bands,
-        F.concat_ws(",", *[x.cast("string") for x in corner]).alias("bbox"),
+        _pick(squares, zone).alias("bbox"),
         F.year("l_shipdate").alias("year"),
-        F.concat(
-            F.lit("15SY"), F.substring(F.lit("UVWXYZT"), c("l_linenumber"), F.lit(1)),
-            F.lit("_"), (c("l_linenumber") % 2).cast("string"),
-        ).alias("tile"),
+        _pick(tiles, c("l_linenumber") - 1).alias("tile"),
         c("l_shipdate").cast("date").alias("scene_date"),
     )
 
