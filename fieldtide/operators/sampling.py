@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtide.functions import text
+from fieldtide.session import durable
 
 
 def series_hash(seed: int = 42) -> Column:
@@ -30,7 +31,7 @@ def with_position(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     # range bounds are sampled, so the partition of a row is fixed by materialising it
-    ranged = ranged.withColumn("_part", F.spark_partition_id()).checkpoint()
+    ranged = durable(ranged.withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").count()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(

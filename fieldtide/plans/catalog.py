@@ -1,4 +1,4 @@
 """All registered queries (importing a query module registers its queries)."""
 
-from fieldtide.plans import feature_queries, series_queries  # noqa: F401
+from fieldtide.plans import assess_queries, feature_queries, series_queries  # noqa: F401
 from fieldtide.plans.registry import ORACLES, QUERIES  # noqa: F401
