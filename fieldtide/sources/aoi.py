@@ -16,7 +16,7 @@ def parse_aoi(lines: DataFrame) -> DataFrame:
             "line",
             part[0].alias("name"),
             F.regexp_replace(part[1], "\\s", "").alias("bbox"),
-            F.explode(F.split(part[2], "\\s*,\\s*")).cast("int").alias("year"),
+            F.explode(F.split(F.trim(part[2]), "\\s*,\\s*").cast("array<int>")).alias("year"),
         )
         .dropDuplicates(["name", "bbox", "year"])
     )

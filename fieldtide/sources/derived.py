@@ -43,6 +43,10 @@ def _class_name(key: Column) -> Column:
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One observation per line item: key, labels, mask layer and twelve bands."""
+    return observations_of(table(spark, sf_dir, "lineitem"))
+
+
+def observations_of(lineitem: DataFrame) -> DataFrame:
     c = F.col
     zone = (c("l_suppkey") % 4).cast("int")
     squares = [",".join(map(str, (390000 + g * 20000, 1100000 + g * 30000,
@@ -53,7 +57,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
           + c("l_linenumber") * 101 + (k + 1) * 997) % 10000).cast("int").alias(name)
         for k, name in enumerate(BANDS)
     ]
-    return table(spark, sf_dir, "lineitem").select(
+    return lineitem.select(
         _class_name(c("l_suppkey")).alias("CDL"),
         (F.lit(-90.6) + (c("l_suppkey") % 100) * 0.0003).alias("lon"),
         (F.lit(35.5) + F.floor(c("l_suppkey") / 100) * 0.0003).alias("lat"),
@@ -90,8 +94,12 @@ def asset_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scene catalog, one entry per event: id, time, JSON properties and footprint."""
+    return scenes_of(table(spark, sf_dir, "events"))
+
+
+def scenes_of(events: DataFrame) -> DataFrame:
     c = F.col
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(
             F.lit("S2A_15SY"),
             F.substring(F.lit("UVWXYZ"), (c("user_id") % 6 + 1).cast("int"), F.lit(1)),

@@ -17,8 +17,10 @@ def append_samples(samples: DataFrame, root: str) -> None:
      .write.partitionBy("bbox", "year").mode("append").parquet(root))
 
 
-def append_observations(obs: DataFrame, root: str, spread: int = 1) -> None:
-    """Append observations by (bbox, year, tile, scene_date).
+def append_observations(
+    obs: DataFrame, root: str, keys: list[str] = SCENE, spread: int = 1,
+) -> None:
+    """Append observations by (bbox, year, tile, scene_date), or coarser keys.
 
     Rows meet their scene before the write, so a scene becomes a few files rather
     than one per task. `spread` files share a scene; raise it when single scenes
@@ -26,12 +28,13 @@ def append_observations(obs: DataFrame, root: str, spread: int = 1) -> None:
     execution split a scene that is far larger than the others.
     """
     rows = schemas.require(obs, schemas.OBSERVATIONS)
+    by = [F.col(c) for c in keys]
     if spread > 1:
         rows = rows.withColumn("_part", F.pmod(F.xxhash64("lon", "lat"), F.lit(spread)))
-        rows = rows.hint("rebalance", *[F.col(c) for c in SCENE], F.col("_part")).drop("_part")
+        rows = rows.hint("rebalance", *by, F.col("_part")).drop("_part")
     else:
-        rows = rows.hint("rebalance", *[F.col(c) for c in SCENE])
-    rows.write.partitionBy(*SCENE).mode("append").parquet(root)
+        rows = rows.hint("rebalance", *by)
+    rows.write.partitionBy(*keys).mode("append").parquet(root)
 
 
 def replace_partitions(df: DataFrame, root: str, keys: list[str]) -> None:
