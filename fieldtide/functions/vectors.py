@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,3 +45,12 @@ def entries(values: str) -> Column:
     (null and empty arrays give none) without that.
     """
     return F.when(F.size(values) > 0, F.col(values))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once per row.
+
+    A plain expression used inside a lambda runs again for every element, and
+    the optimizer may inline a column that looks like it is used only once there.
+    """
+    return F.transform(F.array(value), body)[0]

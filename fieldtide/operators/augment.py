@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtide.functions import text
+from fieldtide.functions import text, vectors
 
 # Lehmer generator with the multiplier and modulus of the minimal standard.
 LEHMER_A, LEHMER_M = 48271, 2147483647
@@ -40,10 +40,10 @@ def jitter_scale(
 ) -> DataFrame:
     """Gaussian noise on every feature and one scale factor per batch."""
     factor = uniform(batch_hash(seed)) * (high - low) + low
-    df = examples.withColumn("_h", row_hash).withColumn("_f", factor)
-    noisy = F.transform("features", lambda x, i: (
-        (x.cast("double") + normal(F.col("_h"), i) * sigma) * F.col("_f")).cast("float"))
-    return df.withColumn("features", noisy).drop("_h", "_f")
+    draw = F.struct(row_hash.alias("h"), factor.alias("f"))
+    return examples.withColumn("features", vectors.let(draw, lambda d: F.transform(
+        "features", lambda x, i: (
+            (x.cast("double") + normal(d["h"], i) * sigma) * d["f"]).cast("float"))))
 
 
 def beta_draw(h: Column, alpha: float, tries: int = 16) -> Column:
@@ -52,12 +52,17 @@ def beta_draw(h: Column, alpha: float, tries: int = 16) -> Column:
     Same law as g1 / (g1 + g2) for two gamma(alpha) draws. One try fails about
     one time in six at alpha 0.4; the last try stands if all fail.
     """
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda k: F.struct(
-        F.pow(uniform(h, k * 2), F.lit(1 / alpha)).alias("x"),
-        F.pow(uniform(h, k * 2 + 1), F.lit(1 / alpha)).alias("y")))
-    good = F.filter(pairs, lambda p: p["x"] + p["y"] <= 1)
-    p = F.coalesce(F.get(good, F.lit(0)), F.get(pairs, F.lit(tries - 1)))
-    return p["x"] / (p["x"] + p["y"])
+    def draws(hash_: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda k: F.struct(
+            F.pow(uniform(hash_, k * 2), F.lit(1 / alpha)).alias("x"),
+            F.pow(uniform(hash_, k * 2 + 1), F.lit(1 / alpha)).alias("y")))
+
+    def first_good(pairs: Column) -> Column:
+        good = F.filter(pairs, lambda p: p["x"] + p["y"] <= 1)
+        return F.coalesce(F.get(good, F.lit(0)), F.get(pairs, F.lit(tries - 1)))
+
+    pair = vectors.let(vectors.let(h, draws), first_good)
+    return vectors.let(pair, lambda p: p["x"] / (p["x"] + p["y"]))
 
 
 def mixup(
@@ -93,11 +98,12 @@ def mixup(
 
 def time_channel(examples: DataFrame, steps: int, width: int) -> DataFrame:
     """Append a channel that runs from 0 to 1 over the time steps."""
-    row = lambda i: F.concat(
-        F.slice("features", i * width + 1, F.lit(width)),
-        F.array((i / (steps - 1)).cast("float")))
-    return examples.withColumn(
-        "features", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), row)))
+    def rows(features: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.concat(
+            F.slice(features, i * width + 1, F.lit(width)),
+            F.array((i / (steps - 1)).cast("float"))))
+
+    return examples.withColumn("features", F.flatten(vectors.let(F.col("features"), rows)))
 
 
 def batch_shift(seed: int = 42) -> Column:
@@ -108,7 +114,6 @@ def batch_shift(seed: int = 42) -> Column:
 def time_roll(examples: DataFrame, shift: Column, steps: int, width: int) -> DataFrame:
     """Circular shift of the time axis: step t moves to t + shift."""
     cut = F.pmod(-shift, F.lit(steps)) * width
-    rolled = F.concat(
-        F.slice("features", cut + 1, F.lit(steps * width) - cut),
-        F.slice("features", F.lit(1), cut))
-    return examples.withColumn("features", rolled)
+    rolled = lambda f: F.concat(
+        F.slice(f, cut + 1, F.lit(steps * width) - cut), F.slice(f, F.lit(1), cut))
+    return examples.withColumn("features", vectors.let(F.col("features"), rolled))

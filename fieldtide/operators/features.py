@@ -97,9 +97,8 @@ def flat_features(
     by_bucket = F.map_from_entries(F.transform("picks", lambda p: F.struct(
         p["bucket"], _row_features(p["bands"], num_features, stats))))
     slots = F.sequence(F.lit(0), F.lit(spec.size - 1))
-    return F.flatten(F.zip_with(
-        slots, F.transform(slots, lambda b: F.try_element_at(by_bucket, b)),
-        lambda _, row: F.coalesce(row, zeros)))
+    return vectors.let(by_bucket, lambda filled: F.flatten(F.transform(
+        slots, lambda b: F.coalesce(F.try_element_at(filled, b), zeros))))
 
 
 def make_examples(

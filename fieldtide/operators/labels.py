@@ -11,6 +11,7 @@ from fieldtide.constants import (
     BASE_LABELS, CULTIVATED, LEGEND, NO_CROP, OTHER_CROPS, SCL_VEGETATION, TARGETED_CROPS,
     UNCULTIVATED,
 )
+from fieldtide.functions import vectors
 
 
 def base_label(
@@ -27,10 +28,15 @@ def base_label(
 
 def recent_vegetation(picks: Column, frames: Column | int) -> Column:
     """Whether any of the last `frames` filled buckets shows vegetation; null without any."""
-    scl = F.filter(F.transform(picks, lambda p: p["scl"]), lambda x: x != 0)
-    n = F.least(F.lit(frames) if isinstance(frames, int) else frames, F.size(scl))
-    return F.when(F.size(scl) > 0, F.exists(
-        F.slice(scl, F.size(scl) - n + 1, n), lambda x: x == SCL_VEGETATION))
+    wanted = F.lit(frames) if isinstance(frames, int) else frames
+
+    def among_last(scl: Column) -> Column:
+        n = F.least(wanted, F.size(scl))
+        return F.when(F.size(scl) > 0, F.exists(
+            F.slice(scl, F.size(scl) - n + 1, n), lambda x: x == SCL_VEGETATION))
+
+    seen = F.filter(F.transform(picks, lambda p: p["scl"]), lambda x: x != 0)
+    return vectors.let(seen, among_last)
 
 
 def assign_label(cdl: Column, vegetation: Column, **lists: Sequence[str]) -> Column:

@@ -11,6 +11,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldtide.constants import CHANNELS, LEGEND
 from fieldtide.sources.sinks import replace_partitions
@@ -54,7 +55,7 @@ def score_external(
     Batches arrive by Arrow in the task that holds the rows; the batch length is
     spark.sql.execution.arrow.maxRecordsPerBatch, which bounds the memory of a call.
     """
-    schema = examples.select(*keep).schema.add("probs", "array<double>")
+    schema = examples.select(*keep).schema.add("probs", T.ArrayType(T.DoubleType()))
 
     def batches(frames):
         import numpy as np

@@ -43,6 +43,13 @@ def _norm(v):
     return (5, str(v))
 
 
+SAME_TYPE = {
+    "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+    "date": "DATE", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP",
+}
+TYPE_NOTES: list[str] = []
+
+
 def compare(df, con, sql: str) -> str | None:
     """None when both results agree, else what differs."""
     rows = [tuple(r) for r in df.collect()]
@@ -53,6 +60,10 @@ def compare(df, con, sql: str) -> str | None:
         return f"columns {sorted(df.columns)} != {sorted(names)}"
     if len(rows) != len(want):
         return f"{len(rows)} rows != {len(want)}"
+    kinds = dict(df.dtypes)
+    for name, want_type in ((d[0], str(d[1])) for d in cur.description):
+        if SAME_TYPE.get(kinds[name], kinds[name]) != want_type:
+            TYPE_NOTES.append(f"{name}: {kinds[name]} != {want_type}")
     order_a = [df.columns.index(c) for c in sorted(names)]
     order_b = [names.index(c) for c in sorted(names)]
     a = sorted([tuple(_norm(r[i]) for i in order_a) for r in rows])
@@ -81,6 +92,9 @@ def main() -> int:
             if name in oracles:
                 problem = compare(df, con, oracles[name])
                 note = "" if problem is None else problem
+                if TYPE_NOTES:
+                    note += " [types " + "; ".join(TYPE_NOTES) + "]"
+                    TYPE_NOTES.clear()
             else:
                 problem, note = None, f"rows only: {df.count()}"
         except Exception as e:  # report and go on with the next query
