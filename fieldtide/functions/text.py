@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,6 +62,12 @@ def scl_name(code: Column) -> Column:
     return F.element_at(F.create_map(*pairs), code)
 
 
+def words(values: Sequence[str]) -> Column:
+    """Constant list of strings (one expression, folded to a literal)."""
+    quoted = ("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"array({', '.join(quoted)})")
+
+
 def seeded_hash(*parts: Column, seed: int = 42) -> Column:
     """Portable 32-bit hash of text parts (first eight hex digits of their md5)."""
     text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fieldtide.constants import BANDS
+from fieldtide.functions import text
 
 
 def zscore(x: Column, mean: Column | float, std: Column | float) -> Column:
@@ -25,7 +26,7 @@ def argmax(values: Column) -> Column:
 
 
 def name_of(index: Column, names: Sequence[str]) -> Column:
-    return F.element_at(F.array(*map(F.lit, names)), index + 1)
+    return F.element_at(text.words(names), index + 1)
 
 
 def probability_columns(probs: str, names: Sequence[str]) -> list[Column]:

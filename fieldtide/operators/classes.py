@@ -11,6 +11,7 @@ from fieldtide.constants import (
     ASSETS, BASE_LABELS, COMMON_OTHER_CROPS, DISPLAY_CLASSES, NON_CROP_CLASSES, OTHER_CROPS,
     TARGETED_CROPS,
 )
+from fieldtide.functions import text
 
 
 def class_distribution(decoded: DataFrame, *by: str, min_percent: float = 1.0) -> DataFrame:
@@ -155,6 +156,6 @@ def encode_cdl(
 ) -> DataFrame:
     """Display code of each class name; unknown names get the last code."""
     last = len(display) - 1
-    code = F.array_position(F.array(*map(F.lit, display)), F.col("CDL")).cast("int") - 1
+    code = F.array_position(text.words(display), F.col("CDL")).cast("int") - 1
     code = F.when(code < 0, F.lit(last if default is None else default)).otherwise(code)
     return samples.withColumn("encoded", F.greatest(F.lit(0), F.least(code, F.lit(last))))

@@ -11,17 +11,17 @@ from fieldtide.constants import (
     BASE_LABELS, CULTIVATED, LEGEND, NO_CROP, OTHER_CROPS, SCL_VEGETATION, TARGETED_CROPS,
     UNCULTIVATED,
 )
-from fieldtide.functions import vectors
+from fieldtide.functions import text, vectors
 
 
 def base_label(
     cdl: Column, targeted: Sequence[str] = TARGETED_CROPS, other: Sequence[str] = OTHER_CROPS,
 ) -> Column:
     """Annual label of a class name, before the season is looked at."""
-    position = F.array_position(F.array(*map(F.lit, targeted)), cdl).cast("int")
+    position = F.array_position(text.words(targeted), cdl).cast("int")
     return (
         F.when(position > 0, position + (len(BASE_LABELS) - 1))
-        .when(cdl.isin(list(other)), F.lit(CULTIVATED))
+        .when(F.array_contains(text.words(other), cdl), F.lit(CULTIVATED))
         .otherwise(F.lit(UNCULTIVATED))
     )
 

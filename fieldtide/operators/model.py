@@ -48,14 +48,14 @@ def score(model: PipelineModel, examples: DataFrame, classes: int = len(LEGEND))
 
 
 def score_external(
-    examples: DataFrame, predict: Callable, keep: Sequence[str],
+    examples: DataFrame, predict: Callable, keep: Sequence[str], output: str = "probs",
 ) -> DataFrame:
-    """Score with any model: `predict` maps a float matrix to a matrix of probabilities.
+    """Score with any model: `predict` maps a float matrix to one row of numbers per example.
 
     Batches arrive by Arrow in the task that holds the rows; the batch length is
     spark.sql.execution.arrow.maxRecordsPerBatch, which bounds the memory of a call.
     """
-    schema = examples.select(*keep).schema.add("probs", T.ArrayType(T.DoubleType()))
+    schema = examples.select(*keep).schema.add(output, T.ArrayType(T.DoubleType()))
 
     def batches(frames):
         import numpy as np
@@ -64,7 +64,7 @@ def score_external(
             if len(frame):
                 matrix = np.stack(frame["features"].to_numpy())
                 frame = frame.drop(columns="features").assign(
-                    probs=list(np.asarray(predict(matrix), dtype="float64")))
+                    **{output: list(np.asarray(predict(matrix), dtype="float64"))})
                 yield frame
 
     return examples.select(*keep, "features").mapInPandas(batches, schema)
@@ -76,29 +76,42 @@ def class_centroids(rows: DataFrame) -> DataFrame:
         F.avg(F.when(F.col(c) != 0, F.col(c).cast("double"))).alias(f"m_{c}") for c in CHANNELS])
 
 
-def centroid_score(
-    rows: DataFrame, centroids: DataFrame, keys: Sequence[str], labels: int = len(LEGEND),
-) -> DataFrame:
-    """Nearest class mean of each window over the values both sides have.
+def centroid_model(centroids: DataFrame, buckets: int, labels: int = len(LEGEND)) -> Callable:
+    """Distance function of a centroid table (at most labels x buckets rows, like any weights).
 
-    The centroid table has at most labels x buckets rows whatever the data, which
-    is what allows the broadcast. Rows of a window already sit together, so the
-    distance sums need no further shuffle.
+    The distance of a window to a class is the mean squared gap over the values
+    both have; it is infinite where they share none.
     """
-    dim = centroids.where(F.col("label") < labels).withColumnRenamed("label", "candidate")
-    gap, seen = F.lit(0.0), F.lit(0)
-    for c in CHANNELS:
-        has = (F.col(c) != 0) & F.col(f"m_{c}").isNotNull()
-        off = F.col(c).cast("double") - F.col(f"m_{c}")
-        gap = gap + F.when(has, off * off).otherwise(0.0)
-        seen = seen + F.when(has, 1).otherwise(0)
-    distances = (
-        rows.join(F.broadcast(dim), "bucket")
-        .groupBy(*keys, "candidate").agg((F.sum(gap) / F.sum(seen)).alias("distance"))
-    )
-    near = F.struct("distance", "candidate")
-    return distances.where(F.col("distance").isNotNull()).groupBy(*keys).agg(
-        F.min_by("candidate", near).alias("prediction"), F.min("distance").alias("distance"))
+    import numpy as np
+
+    means = np.full((labels, buckets, len(CHANNELS)), np.nan)
+    for row in centroids.where(
+            (F.col("label") < labels) & (F.col("bucket") < buckets)).collect():
+        means[row["label"], row["bucket"]] = [
+            np.nan if row[f"m_{c}"] is None else row[f"m_{c}"] for c in CHANNELS]
+    means = means.reshape(labels, -1)
+    known = (~np.isnan(means)).astype("float64")
+    means = np.nan_to_num(means)
+
+    def distances(matrix):
+        x = np.asarray(matrix, dtype="float64")
+        seen = (x != 0).astype("float64")
+        shared = seen @ known.T
+        gap = (x * x) @ known.T - 2 * x @ means.T + seen @ (means * means).T
+        return np.where(shared > 0, gap / np.maximum(shared, 1), np.inf)
+
+    return distances
+
+
+def centroid_score(
+    examples: DataFrame, centroids: DataFrame, buckets: int, keep: Sequence[str],
+) -> DataFrame:
+    """Nearest class mean of each window; windows without any shared value are left out."""
+    scored = score_external(examples, centroid_model(centroids, buckets), keep, "distances")
+    nearest = F.array_min("distances")
+    return scored.where(nearest < float("inf")).select(
+        *keep, (F.array_position("distances", nearest) - 1).cast("int").alias("prediction"),
+        nearest.alias("distance"))
 
 
 def finished_days(spark, root: str) -> list[int]:

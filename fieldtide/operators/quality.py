@@ -18,20 +18,19 @@ def clean_numeric(obs: DataFrame) -> DataFrame:
     """Infinite and NaN assets become null, rows with any null go, the rest become ints."""
     types = {f.name: f.dataType for f in obs.schema}
 
-    def finite(name: str):
-        x = F.col(name)
+    def finite(name: str) -> str:
         if isinstance(types[name], (T.DoubleType, T.FloatType)):
-            return ~F.isnan(x) & (F.abs(x) != float("inf"))
-        return x.isNotNull()
+            return f"not isnan(`{name}`) and abs(`{name}`) != double('infinity')"
+        return f"`{name}` is not null"
+
+    def whole(name: str) -> str:
+        if name in ASSETS and types[name] != T.IntegerType():
+            return f"cast(`{name}` as int) as `{name}`"
+        return f"`{name}`"
 
     # One predicate per column, on the stored columns: each can reach the scan,
     # and the optimizer does not have to carry one wide expression around.
-    rows = obs
-    for name in obs.columns:
-        rows = rows.where(finite(name))
-    return rows.select(*[
-        F.col(c).cast("int").alias(c) if c in ASSETS and types[c] != T.IntegerType() else F.col(c)
-        for c in obs.columns])
+    return obs.where(" and ".join(map(finite, obs.columns))).selectExpr(*map(whole, obs.columns))
 
 
 def valid_series(series: DataFrame) -> DataFrame:

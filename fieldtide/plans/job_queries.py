@@ -223,12 +223,6 @@ def time_roll(spark, sf_dir):
 
 # --- models --------------------------------------------------------------------------
 
-def _window_rows(spark, sf_dir):
-    """Long form of all swept windows with their label."""
-    cut = wn.cut(wn.sweep_start_days(series(spark, sf_dir)), SPEC)
-    return ft.pick_rows(labels.label_windows(cut, FRAMES_TO_CHECK), *SERIES, "start_day", "label")
-
-
 def _centroids(spark, sf_dir):
     labelled = labels.label_windows(train_window(spark, sf_dir), FRAMES_TO_CHECK)
     return model.class_centroids(ft.pick_rows(labelled, "label"))
@@ -253,8 +247,10 @@ _PREFIXED = ", ".join(f"avg({c}::DOUBLE) FILTER ({c} <> 0) AS m_{c}" for c in CH
 SELECT {o.KEY}, start_day, candidate AS prediction, round(distance, 2) AS distance FROM dist WHERE distance IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY {o.KEY}, start_day ORDER BY distance, candidate) = 1"""))
 def centroid_score(spark, sf_dir):
+    swept = wn.sweep_start_days(series(spark, sf_dir))
+    ex = ft.make_examples(swept, SPEC, start_day=F.col("start_day"), keep=SERIES)
     scored = model.centroid_score(
-        _window_rows(spark, sf_dir), _centroids(spark, sf_dir), [*SERIES, "start_day"])
+        ex, _centroids(spark, sf_dir), SPEC.size, [*SERIES, "start_day"])
     return scored.withColumn("distance", _r("distance", 2))
 
 
@@ -343,7 +339,7 @@ def stream_scene_ingest(spark, sf_dir):
 
     root, mark = shared_folder(spark, "scenes"), shared_folder(spark, "progress")
     for restart in (False, True):
-        events = ingest.read_files(spark, sf_dir, ingest.EVENTS, "events.parquet")
+        events = ingest.read_files(spark, sf_dir, schemas.SOURCES["events"], "events.parquet")
         fit = sc.scene_coverage(derived.scenes_of(events)).select(
             "id", "seq", text.scene_tile(F.col("id")).alias("tile"),
             text.scene_date(F.col("datetime")).alias("scene_date"))
@@ -357,7 +353,7 @@ def stream_scene_ingest(spark, sf_dir):
 @query("stream_dedup_scene", o.with_(o.SCENES, select="SELECT DISTINCT id FROM scenes"))
 def stream_dedup_scene(spark, sf_dir):
     root, mark = shared_folder(spark, "unique"), shared_folder(spark, "progress")
-    events = ingest.read_files(spark, sf_dir, ingest.EVENTS, "events.parquet")
+    events = ingest.read_files(spark, sf_dir, schemas.SOURCES["events"], "events.parquet")
     ingest.dedup_scenes(derived.scenes_of(events), root, mark, ["id"], "datetime", "40 days")
     return spark.read.parquet(root).select("id")
 
@@ -366,7 +362,7 @@ def stream_dedup_scene(spark, sf_dir):
 SELECT {o.KEY}, num_images, last_day FROM img GROUP BY ALL"""))
 def stream_series_refresh(spark, sf_dir):
     root = shared_folder(spark, "refresh")
-    rows = ingest.read_files(spark, sf_dir, ingest.LINEITEM, "lineitem.parquet")
+    rows = ingest.read_files(spark, sf_dir, schemas.SOURCES["lineitem"], "lineitem.parquet")
     ingest.refresh_series(derived.observations_of(rows), f"{root}/obs", f"{root}/series",
                           f"{root}/progress")
     return spark.read.parquet(f"{root}/series").select(*SERIES, "num_images", "last_day")
@@ -376,6 +372,6 @@ def stream_series_refresh(spark, sf_dir):
 SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS "count" FROM events GROUP BY ALL""")
 def stream_class_counts(spark, sf_dir):
     root, mark = shared_folder(spark, "counts"), shared_folder(spark, "progress")
-    events = ingest.read_files(spark, sf_dir, ingest.EVENTS, "events.parquet")
+    events = ingest.read_files(spark, sf_dir, schemas.SOURCES["events"], "events.parquet")
     ingest.class_counts(events, root, mark, "ts", "event_type")
     return spark.read.parquet(root)

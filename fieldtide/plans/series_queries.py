@@ -20,26 +20,29 @@ SPEC = WindowSpec()
 WINDOW = [*SERIES, "start_day"]
 
 
-def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.clean_numeric(quality.scl_mask(derived.observations(spark, sf_dir)))
+def usable(obs: DataFrame) -> DataFrame:
+    return quality.clean_numeric(quality.scl_mask(obs))
 
 
-def bounded(spark: SparkSession, sf_dir: str) -> bool:
-    """Series are short: proven on the unmasked table, of which only lon and lat are read."""
-    return groups_bounded(derived.observations(spark, sf_dir), PIXEL)
+def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usable(derived.observations(spark, sf_dir))
 
 
 def full_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sr.build_series(masked(spark, sf_dir), bounded=bounded(spark, sf_dir))
+    # That series are short is proven on the unmasked table: only lon and lat are read.
+    obs = derived.observations(spark, sf_dir)
+    return sr.build_series(usable(obs), bounded=groups_bounded(obs, PIXEL))
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sr.window_series(masked(spark, sf_dir), bounded=bounded(spark, sf_dir))
+    obs = derived.observations(spark, sf_dir)
+    return sr.window_series(usable(obs), bounded=groups_bounded(obs, PIXEL))
 
 
 def train_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = derived.observations(spark, sf_dir)
     return sr.window_series(
-        tables.drop_double_crops(masked(spark, sf_dir)), bounded=bounded(spark, sf_dir))
+        tables.drop_double_crops(usable(obs)), bounded=groups_bounded(obs, PIXEL))
 
 
 def _labelled(df: DataFrame, *extra: str) -> DataFrame:

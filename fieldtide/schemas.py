@@ -43,6 +43,23 @@ PACKED_SERIES = T.StructType([
     T.StructField("year", T.IntegerType()),
 ])
 
+#: Columns the derived tables read from the driver tables; nothing else is opened.
+SOURCES = {
+    "lineitem": T.StructType([
+        T.StructField("l_orderkey", T.LongType()), T.StructField("l_partkey", T.LongType()),
+        T.StructField("l_suppkey", T.LongType()), T.StructField("l_linenumber", T.IntegerType()),
+        T.StructField("l_shipdate", T.TimestampNTZType()),
+    ]),
+    "events": T.StructType([
+        T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
+        T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
+    ]),
+    "part": T.StructType([
+        T.StructField("p_partkey", T.LongType()), T.StructField("p_size", T.IntegerType()),
+    ]),
+}
+
 
 def require(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Select the schema's columns; fail before any job when one is missing or mistyped."""

@@ -6,9 +6,9 @@ parallelism, the pushed filters and the pruned columns of their source.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from fieldtide import schemas
 from fieldtide.constants import ASSETS, BANDS, COVERAGE_KEYS
 
 #: Class name by supplier key modulo 16.
@@ -29,16 +29,26 @@ RASTER_COLS = 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(schemas.SOURCES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(values: list[str], position: Column) -> Column:
-    """Element of a constant list (folded to one literal, nothing is built per row)."""
-    return F.get(F.array(*map(F.lit, values)), position)
+def _pick(values: list[str], position: str) -> str:
+    """SQL for an element of a constant list (folded to one literal)."""
+    return f"get(array({', '.join(map(repr, values))}), cast({position} as int))"
 
 
-def _class_name(key: Column) -> Column:
-    return _pick(CLASS_BY_KEY, (key % 16).cast("int"))
+def _class_name() -> str:
+    return _pick(CLASS_BY_KEY, "l_suppkey % 16")
+
+
+_LON = "-90.6D + (l_suppkey % 100) * 0.0003D"
+_LAT = "35.5D + (l_suppkey div 100) * 0.0003D"
+_SQUARES = [
+    ",".join(map(str, (390000 + g * 20000, 1100000 + g * 30000,
+                       410000 + g * 20000, 1130000 + g * 30000)))
+    for g in range(4)
+]
+_TILES = [f"15SY{letter}_{i % 2}" for i, letter in enumerate("UVWXYZT", 1)]
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,38 +57,27 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observations_of(lineitem: DataFrame) -> DataFrame:
-    c = F.col
-    zone = (c("l_suppkey") % 4).cast("int")
-    squares = [",".join(map(str, (390000 + g * 20000, 1100000 + g * 30000,
-                                  410000 + g * 20000, 1130000 + g * 30000))) for g in range(4)]
-    tiles = [f"15SY{letter}_{i % 2}" for i, letter in enumerate("UVWXYZT", 1)]
-    bands = [
-        ((c("l_orderkey") * (k + 7) + c("l_partkey") * (k + 13)
-          + c("l_linenumber") * 101 + (k + 1) * 997) % 10000).cast("int").alias(name)
-        for k, name in enumerate(BANDS)
-    ]
-    return lineitem.select(
-        _class_name(c("l_suppkey")).alias("CDL"),
-        (F.lit(-90.6) + (c("l_suppkey") % 100) * 0.0003).alias("lon"),
-        (F.lit(35.5) + F.floor(c("l_suppkey") / 100) * 0.0003).alias("lat"),
-        ((c("l_orderkey") + c("l_partkey") * 5 + c("l_linenumber") * 7) % 12)
-        .cast("int").alias("scl"),
-        *bands,
-        _pick(squares, zone).alias("bbox"),
-        F.year("l_shipdate").alias("year"),
-        _pick(tiles, c("l_linenumber") - 1).alias("tile"),
-        c("l_shipdate").cast("date").alias("scene_date"),
+    return lineitem.selectExpr(
+        f"{_class_name()} as CDL",
+        f"{_LON} as lon",
+        f"{_LAT} as lat",
+        "cast((l_orderkey + l_partkey * 5 + l_linenumber * 7) % 12 as int) as scl",
+        *[f"cast((l_orderkey * {k + 7} + l_partkey * {k + 13} + l_linenumber * 101"
+          f" + {(k + 1) * 997}) % 10000 as int) as {name}" for k, name in enumerate(BANDS)],
+        f"{_pick(_SQUARES, 'l_suppkey % 4')} as bbox",
+        "year(l_shipdate) as year",
+        f"{_pick(_TILES, 'l_linenumber - 1')} as tile",
+        "cast(l_shipdate as date) as scene_date",
     )
 
 
 def observation_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations in which some scene days lost the tail of their assets."""
-    obs = observations(spark, sf_dir)
-    phase = F.day("scene_date") % 4
-    lost = F.when(phase == 0, 5).when(phase == 1, 10).otherwise(len(ASSETS))
-    return obs.select(
+    lost = f"case day(scene_date) % 4 when 0 then 5 when 1 then 10 else {len(ASSETS)} end"
+    return observations(spark, sf_dir).selectExpr(
         "CDL", "lon", "lat",
-        *[F.when(lost > i, F.col(a)).cast("double").alias(a) for i, a in enumerate(ASSETS)],
+        *[f"cast(case when {lost} > {i} then {a} end as double) as {a}"
+          for i, a in enumerate(ASSETS)],
         "bbox", "year", "tile", "scene_date",
     )
 
@@ -98,34 +97,25 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scenes_of(events: DataFrame) -> DataFrame:
-    c = F.col
-    return events.select(
-        F.concat(
-            F.lit("S2A_15SY"),
-            F.substring(F.lit("UVWXYZ"), (c("user_id") % 6 + 1).cast("int"), F.lit(1)),
-            F.lit("_"), F.date_format("ts", "yyyyMMdd"),
-            F.lit("_"), (c("event_id") % 3).cast("string"), F.lit("_L2A"),
-        ).alias("id"),
-        c("event_id").alias("seq"),
-        c("ts").alias("datetime"),
+    lon, lat = "-91.0D + (user_id % 20) * 0.05D", "35.0D + (user_id % 10) * 0.05D"
+    return events.selectExpr(
+        "concat('S2A_15SY', substr('UVWXYZ', cast(user_id % 6 as int) + 1, 1), '_',"
+        " date_format(ts, 'yyyyMMdd'), '_', event_id % 3, '_L2A') as id",
+        "event_id as seq",
+        "ts as datetime",
         # The one percentage the source carries arrives under its catalog name.
-        F.replace(c("props"), F.lit('"k"'), F.lit(f'"{COVERAGE_KEYS[0]}"')).alias("properties"),
-        c("user_id"),
-        (F.lit(-91.0) + (c("user_id") % 20) * 0.05).alias("min_lon"),
-        (F.lit(35.0) + (c("user_id") % 10) * 0.05).alias("min_lat"),
-        (F.lit(-91.0) + (c("user_id") % 20) * 0.05 + 0.1).alias("max_lon"),
-        (F.lit(35.0) + (c("user_id") % 10) * 0.05 + 0.1).alias("max_lat"),
+        f"replace(props, '\"k\"', '\"{COVERAGE_KEYS[0]}\"') as properties",
+        "user_id",
+        f"{lon} as min_lon", f"{lat} as min_lat",
+        f"{lon} + 0.1D as max_lon", f"{lat} + 0.1D as max_lat",
     )
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label raster as a cell table."""
-    c = F.col
-    return table(spark, sf_dir, "part").select(
-        F.floor(c("p_partkey") / RASTER_COLS).alias("row"),
-        (c("p_partkey") % RASTER_COLS).alias("col"),
-        (c("p_size") % 12).cast("int").alias("code"),
-    )
+    return table(spark, sf_dir, "part").selectExpr(
+        f"p_partkey div {RASTER_COLS} as row", f"p_partkey % {RASTER_COLS} as col",
+        "cast(p_size % 12 as int) as code")
 
 
 def legend(spark: SparkSession) -> DataFrame:
@@ -140,22 +130,18 @@ def legend(spark: SparkSession) -> DataFrame:
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored table: true label and seven class probabilities per line item."""
-    c = F.col
-    h = c("l_orderkey") * 31 + c("l_partkey") * 17 + c("l_linenumber") * 7
-    weights = [1 + (h * (i + 3) + i * i * 11) % 97 for i in range(7)]
-    total = weights[0]
-    for w in weights[1:]:
-        total = total + w
-    return table(spark, sf_dir, "lineitem").select(
-        h.alias("h"), "l_orderkey", "l_partkey",
-        c("l_suppkey").alias("pixel_id"),
-        (F.lit(-90.6) + (c("l_suppkey") % 100) * 0.0003).alias("longitude"),
-        (F.lit(35.5) + F.floor(c("l_suppkey") / 100) * 0.0003).alias("latitude"),
-        _class_name(c("l_suppkey")).alias("raw_cdl"),
-        (c("l_linenumber") * 30 - 15).alias("start_day"),
-        ((c("l_suppkey") % 7 + F.when(h % 5 == 0, 1).otherwise(0)) % 7)
-        .cast("int").alias("true_label"),
-        F.array(*[w.cast("double") / total.cast("double") for w in weights]).alias("probs"),
+    weights = [f"(1 + (h * {i + 3} + {i * i * 11}) % 97)" for i in range(7)]
+    total = " + ".join(weights)
+    rows = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey * 31 + l_partkey * 17 + l_linenumber * 7 as h",
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    return rows.selectExpr(
+        "h", "l_orderkey", "l_partkey", "l_suppkey as pixel_id",
+        f"{_LON} as longitude", f"{_LAT} as latitude", f"{_class_name()} as raw_cdl",
+        "l_linenumber * 30 - 15 as start_day",
+        "cast((l_suppkey % 7 + if(h % 5 = 0, 1, 0)) % 7 as int) as true_label",
+        "array(" + ", ".join(
+            f"cast({w} as double) / cast({total} as double)" for w in weights) + ") as probs",
     )
 
 

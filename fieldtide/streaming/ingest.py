@@ -16,17 +16,6 @@ from pyspark.sql import types as T
 from fieldtide.operators import quality, scenes as sc, series as sr
 from fieldtide.sources import sinks
 
-LINEITEM = T.StructType([
-    T.StructField("l_orderkey", T.LongType()), T.StructField("l_partkey", T.LongType()),
-    T.StructField("l_suppkey", T.LongType()), T.StructField("l_linenumber", T.IntegerType()),
-    T.StructField("l_shipdate", T.TimestampNTZType()),
-])
-EVENTS = T.StructType([
-    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
-    T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
-])
-
 
 def read_files(
     spark: SparkSession, folder: str, schema: T.StructType, glob: str, per_batch: int | None = None,
