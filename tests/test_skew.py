@@ -1,0 +1,46 @@
+"""Series too large to gather take another plan and give the same results."""
+
+from pyspark.sql import functions as F
+
+from fieldtide.constants import PIXEL, SERIES
+from fieldtide.operators import labels, series as sr, windows as wn
+from fieldtide.operators.skew import groups_bounded
+from fieldtide.operators.windows import WindowSpec
+from fieldtide.plans.series_queries import masked
+
+
+def _same(a, b):
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_proof(spark, sf_dir):
+    df = masked(spark, sf_dir)
+    top = df.groupBy(*PIXEL).count().agg(F.max("count")).first()[0]
+    assert groups_bounded(df, PIXEL, top)
+    assert not groups_bounded(df, PIXEL, top - 1)
+
+
+def test_windows_of_hot_series(spark, sf_dir):
+    def result(bounded):
+        s = sr.window_series(masked(spark, sf_dir), bounded=bounded)
+        for capped in (False, True):
+            swept = wn.sweep_start_days(s, [0, 45, 200])
+            cut = labels.label_windows(wn.cut(swept, WindowSpec(), capped=capped), 2)
+            yield cut.select(*SERIES, "num_images", "last_day", "day_sum", "start_day", "label",
+                             F.col("picks").cast("string").alias("picks"))
+
+    for a, b in zip(result(True), result(False)):
+        _same(a, b)
+
+
+def test_hot_series_continue_over_several_rows(spark, sf_dir):
+    obs = masked(spark, sf_dir)
+    whole = sr.build_series(obs, bounded=True)
+    parts = sr.build_series(obs, limit=7, bounded=False)
+    assert parts.select(F.max("part")).first()[0] > 0
+    assert parts.select(F.max("num_images")).first()[0] <= 21
+    image = ["tile", "bands", "scl"]
+    flat = lambda s: sr.explode_images(s, *SERIES, "first_day").select(
+        *SERIES, (F.col("day") + F.col("first_day")).alias("epoch"), *image)
+    _same(flat(whole), flat(parts))
+    _same(sr.build_series(obs, limit=10**6, bounded=False).drop("part"), whole.drop("part"))
