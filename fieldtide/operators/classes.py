@@ -88,7 +88,7 @@ def class_profile(samples: DataFrame, min_count: int = 0) -> DataFrame:
         counts.withColumn("kind", F.when(is_non_crop(F.col("CDL")), "non_crop").otherwise("crop"))
         .select("CDL", "count", "kind",
                 (F.col("count") * 100.0 / F.sum("count").over(everything)).alias("percent"),
-                F.row_number().over(rank).alias("rank"),
+                F.row_number().over(rank).cast("bigint").alias("rank"),
                 F.col("CDL").isin(COMMON_OTHER_CROPS).alias("common_other"))
         .where(F.col("count") >= min_count)
     )

@@ -39,5 +39,5 @@ def top_configs(summary: DataFrame, n: int = 5) -> DataFrame:
     """Configurations with the largest cultivated share, best first."""
     order = [F.desc("cultivated_ratio"), F.asc("config")]
     # One row per configuration: the window sees a short report, never the data.
-    return summary.withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(
+    return summary.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint")).where(
         F.col("rank") <= n)
