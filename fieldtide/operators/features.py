@@ -115,13 +115,18 @@ def make_examples(
 
     With a start_day (column) this is the test form: every image in the window is
     used. Without one the strategy picks the window and the image cap of the
-    training form applies. The random strategy caps at random and then needs the
-    full rows of build_series.
+    training form applies. Windows that were cut before (random ones, by
+    windows.cut_random) are taken as they are.
     """
-    training = start_day is None
-    df = series.withColumn(
-        "start_day", wn.window_start(strategy, spec.days) if training else start_day)
-    df = wn.cut(df, spec, capped=training, random_cap=training and strategy == "random")
+    if "picks" in series.columns:
+        df = series
+    elif start_day is not None:
+        df = wn.cut(series.withColumn("start_day", start_day), spec)
+    elif strategy == "random":
+        raise ValueError("random windows are drawn from observations: use windows.cut_random")
+    else:
+        df = wn.cut(series.withColumn("start_day", wn.window_start(strategy, spec.days)),
+                    spec, capped=True)
     df = labels.label_windows(df, spec.frames)
     name = None
     if stats is not None:

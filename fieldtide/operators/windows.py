@@ -9,14 +9,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtide.constants import (
-    DAY_CLIP, DAYS_IN_SERIES, DAYS_PER_BUCKET, FRAMES_TO_CHECK, SERIES, SWEEP_CONFIGS,
+    DAY_CLIP, DAYS_IN_SERIES, DAYS_PER_BUCKET, FRAMES_TO_CHECK, PIXEL, SERIES, SWEEP_CONFIGS,
     SWEEP_START_DAYS, buckets_in,
 )
-from fieldtide.functions import text
+from fieldtide.functions import text, vectors
+from fieldtide.operators import series as sr
+from fieldtide.operators.skew import groups_bounded
 
 
 @dataclass(frozen=True)
@@ -95,15 +97,17 @@ def cap_first(kept: Column, size: Column) -> Column:
     return F.filter(kept, lambda o: o["seq"] - kept[0]["seq"] < size)
 
 
-def image_rank(o: Column, seed: int = 42) -> Column:
-    """Seeded hash that orders the images of a series at random."""
-    return text.seeded_hash(o["seq"], o["day"], o["tile"], o["scl"], seed=seed)
+def image_rank(day: Column, tile: Column, scl: Column, bands: Column, seed: int = 42) -> Column:
+    """Seeded hash of an image that orders the images of a series at random."""
+    values = F.array_join(bands.cast("array<string>"), ",")
+    return text.seeded_hash(day, tile, scl, values, seed=seed)
 
 
 def cap_random(kept: Column, size: Column, seed: int = 42) -> Column:
     """`size` images drawn by hash and put back in order (needs full series rows)."""
     ranked = F.sort_array(F.transform(kept, lambda o: F.struct(
-        image_rank(o, seed).alias("rank"), o["seq"].alias("seq"), o.alias("o"))))
+        image_rank(o["day"], o["tile"], o["scl"], o["bands"], seed).alias("rank"),
+        o["seq"].alias("seq"), o.alias("o"))))
     drawn = F.transform(F.slice(ranked, F.lit(1), size), lambda r: F.struct(
         r["seq"].alias("seq"), r["o"].alias("o")))
     return F.transform(F.sort_array(drawn), lambda r: r["o"])
@@ -155,6 +159,52 @@ def cut(
     return df.withColumn("picks", first_per_bucket(F.col("kept"), width)).drop("kept")
 
 
+def cut_random(
+    obs: DataFrame, spec: WindowSpec, bounded: bool | None = None, seed: int = 42,
+) -> DataFrame:
+    """Random windows with at most `spec.size` random images, as series with `picks`.
+
+    Small series are gathered once and drawn from in place. When some series is
+    too large for that, the rows of each window are ranked by hash instead; tasks
+    pass on at most `size` rows per series before the shuffle, and only the drawn
+    images are gathered.
+    """
+    if bounded is None:
+        bounded = groups_bounded(obs, PIXEL)
+    if bounded:
+        s = sr.window_series(obs, bounded=True).withColumn("start_day", start_random(
+            F.lit(spec.days), seed))
+        return cut(s, spec, random_cap=True)
+    day = F.unix_date("scene_date")
+    facts = (
+        obs.groupBy(*SERIES)
+        .agg(F.count(F.lit(1)).alias("num_images"), F.min(day).alias("first_day"),
+             (F.max(day) - F.min(day)).alias("last_day"),
+             (F.sum(day) - F.count(F.lit(1)) * F.min(day)).alias("day_sum"))
+        .withColumn("start_day", start_random(F.lit(spec.days), seed))
+    )
+    inside = (
+        obs.join(facts, SERIES)
+        .withColumn("day", day - F.col("first_day")).withColumn("bands", vectors.band_array())
+        .where((F.col("day") >= F.col("start_day"))
+               & (F.col("day") <= F.col("start_day") + spec.days))
+    )
+    rank = image_rank(F.col("day"), F.col("tile"), F.col("scl"), F.col("bands"), seed)
+    order = Window.partitionBy(*SERIES).orderBy("_rank", "day", "tile", "bands", "scl")
+    drawn = (
+        inside.withColumn("_rank", rank).withColumn("_n", F.row_number().over(order))
+        .where(F.col("_n") <= spec.size)
+        .groupBy(*SERIES)
+        .agg(F.sort_array(F.collect_list(F.struct("day", "tile", "bands", "scl"))).alias("drawn"))
+    )
+    none = F.array().cast("array<struct<day:int,tile:string,bands:array<int>,scl:int>>")
+    return (
+        facts.join(drawn, SERIES, "left").withColumn("kept", F.coalesce("drawn", none))
+        .withColumn("picks", first_per_bucket(F.col("kept"), F.lit(spec.bucket)))
+        .drop("drawn", "kept")
+    )
+
+
 def slim(series: DataFrame) -> DataFrame:
     """Series without bands and tiles, enough for labels; sweeps copy far less."""
     return series.withColumn("images", F.transform("images", lambda o: F.struct(

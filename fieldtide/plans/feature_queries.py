@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldtide.constants import (
-    BANDS, CHANNELS, FRAMES_TO_CHECK, IMBALANCE_SHARE, INDICES, LEGEND, SERIES,
+    BANDS, CHANNELS, FRAMES_TO_CHECK, IMBALANCE_SHARE, INDICES, LEGEND, PIXEL, SCL_NAMES, SERIES,
+    SWEEP_START_DAYS,
 )
 from fieldtide.functions import packing, spectral, text, vectors
 from fieldtide.operators import features as ft, labels, quality, sampling, sweeps, windows as wn
 from fieldtide.operators import series as sr
+from fieldtide.operators.skew import groups_bounded
 from fieldtide.plans import oracle as o
 from fieldtide.plans.registry import query
+from fieldtide.sources import derived, tables
 from fieldtide.plans.series_queries import (
-    CONFIG_CTES, SPEC, config_labels, full_series, masked, series, swept_labels, train_series,
+    CONFIG_CTES, SPEC, _STARTS, config_labels, usable, full_series, masked, series, swept_labels, train_series,
 )
 
 _CTES = [*o.SERIES_CTES]
@@ -49,8 +52,6 @@ SELECT "year", CDL, count(*) AS images, count(CASE WHEN nir + red <> 0 THEN 1 EN
   round(avg(CASE WHEN nir + red <> 0 THEN (nir - red)::DOUBLE/(nir + red) END), 6) AS mean_ndvi
 FROM obs GROUP BY ALL"""))
 def ndvi_nullsafe(spark, sf_dir):
-    from fieldtide.sources import derived
-
     v = spectral.ndvi(F.col("red"), F.col("nir"))
     return derived.observations(spark, sf_dir).groupBy("year", "CDL").agg(
         F.count(F.lit(1)).alias("images"), F.count(v).alias("defined"),
@@ -74,8 +75,6 @@ def ndvi_array(spark, sf_dir):
 SELECT scene_date, (scene_date - DATE '1970-01-01')::INTEGER AS epoch_day, count(*) AS images
 FROM obs GROUP BY ALL"""))
 def epoch_day(spark, sf_dir):
-    from fieldtide.sources import derived
-
     return derived.observations(spark, sf_dir).groupBy(
         "scene_date", packing.epoch_day(F.col("scene_date")).alias("epoch_day")).agg(
         F.count(F.lit(1)).alias("images"))
@@ -130,8 +129,6 @@ def unpack_series(spark, sf_dir):
 @query("decode_text", o.with_(o.OBS, select="""
 SELECT CDL, octet_length(encode(CDL)) AS bytes, count(*) AS images FROM obs GROUP BY ALL"""))
 def decode_text(spark, sf_dir):
-    from fieldtide.sources import derived
-
     blob = packing.encode_text(F.col("CDL"))
     return (
         derived.observations(spark, sf_dir).select(blob.alias("blob"))
@@ -141,14 +138,12 @@ def decode_text(spark, sf_dir):
 
 
 _SCL_CASE = "CASE scl " + " ".join(
-    f"WHEN {k} THEN '{v}'" for k, v in __import__("fieldtide.constants", fromlist=["x"]).SCL_NAMES.items()) + " END"
+    f"WHEN {k} THEN '{v}'" for k, v in SCL_NAMES.items()) + " END"
 
 
 @query("scl_names", o.with_(o.OBS, select=f"""
 SELECT scl, {_SCL_CASE} AS name, count(*) AS images FROM obs GROUP BY ALL"""))
 def scl_names(spark, sf_dir):
-    from fieldtide.sources import derived
-
     return derived.observations(spark, sf_dir).groupBy(
         "scl", text.scl_name(F.col("scl")).alias("name")).agg(F.count(F.lit(1)).alias("images"))
 
@@ -259,6 +254,16 @@ def make_examples(spark, sf_dir):
     return _example_view(ft.make_examples(train_series(spark, sf_dir), SPEC, keep=SERIES))
 
 
+@query("make_examples_random", o.with_(
+    *_CTES, *o.windows(_STARTS["random"], cap="25", where=o.NO_DOUBLE, pick=o.IMAGE_RANK), _ROWS,
+    select=_example_sql()))
+def make_examples_random(spark, sf_dir):
+    obs = derived.observations(spark, sf_dir)
+    cut = wn.cut_random(tables.drop_double_crops(usable(obs)), SPEC,
+                        bounded=groups_bounded(obs, PIXEL))
+    return _example_view(ft.make_examples(cut, SPEC, keep=SERIES))
+
+
 @query("make_test_examples", o.with_(
     *_CTES, "swept AS (SELECT *, unnest([30, 120]) AS begin_day FROM img)",
     *o.windows("begin_day", source="swept"), _ROWS, select=_example_sql()))
@@ -308,7 +313,7 @@ def class_balance(spark, sf_dir):
 
 
 @query("sweep_label_counts", o.with_(
-    *_CTES, f"swept AS (SELECT *, unnest([{', '.join(map(str, __import__('fieldtide.constants', fromlist=['x']).SWEEP_START_DAYS))}]) AS begin_day FROM img)",
+    *_CTES, f"swept AS (SELECT *, unnest([{', '.join(map(str, SWEEP_START_DAYS))}]) AS begin_day FROM img)",
     *o.windows("begin_day", source="swept"), select="""
 SELECT start_day, label, count(*) AS windows, sum(buckets)::BIGINT AS buckets FROM labels GROUP BY ALL"""))
 def sweep_label_counts(spark, sf_dir):

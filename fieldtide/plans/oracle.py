@@ -94,10 +94,15 @@ def base_label(cdl: str = "CDL") -> str:
             f"WHEN list_contains({strings(OTHER_CROPS)}, {cdl}) THEN 1 ELSE 0 END")
 
 
+#: Seeded hash that orders images at random.
+IMAGE_RANK = ("('0x' || substr(md5(concat_ws('|', '42', \"day\"::VARCHAR, tile, scl::VARCHAR, concat_ws(',', "
+              + ", ".join(f"{b}::VARCHAR" for b in BANDS) + "))), 1, 8))::BIGINT, seq")
+
+
 def windows(
     start: str = "0", days: str = str(DAYS_IN_SERIES), bucket: str = str(DAYS_PER_BUCKET),
     frames: str = "2", cap: str | None = None, source: str = "img", extra: str = "",
-    where: str = "TRUE",
+    where: str = "TRUE", pick: str = "seq",
 ) -> list[str]:
     """CTEs `picks` (first image per bucket) and `labels` (one row per window).
 
@@ -110,7 +115,7 @@ def windows(
     return [
         f"""starts AS (SELECT DISTINCT {KEY}{more}, ({start})::INTEGER AS start_day,
   ({frames})::INTEGER AS frames FROM {source} WHERE {where})""",
-        f"""inside AS (SELECT *, row_number() OVER (PARTITION BY {win} ORDER BY seq) AS n FROM
+        f"""inside AS (SELECT *, row_number() OVER (PARTITION BY {win} ORDER BY {pick}) AS n FROM
   (SELECT *, ({start})::INTEGER AS start_day, ({bucket})::INTEGER AS width, ({days})::INTEGER AS span
    FROM {source} WHERE {where}) WHERE "day" BETWEEN start_day AND start_day + span)""",
         f"""kept AS (SELECT * FROM inside {capped})""",

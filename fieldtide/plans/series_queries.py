@@ -158,8 +158,7 @@ def cap_images(spark, sf_dir):
 
 
 @query("cap_images_random", o.with_(*o.SERIES_CTES, *o.windows("0", days="180"), select=f"""
-SELECT {o.KEY}, seq, "day", scl FROM kept QUALIFY row_number() OVER (PARTITION BY {o.KEY} ORDER BY
-  ('0x' || substr(md5(concat_ws('|', '42', seq::VARCHAR, "day"::VARCHAR, tile, scl::VARCHAR)), 1, 8))::BIGINT, seq) <= 25"""))
+SELECT {o.KEY}, seq, "day", scl FROM kept QUALIFY row_number() OVER (PARTITION BY {o.KEY} ORDER BY {o.IMAGE_RANK}) <= 25"""))
 def cap_images_random(spark, sf_dir):
     s = full_series(spark, sf_dir)
     s = s.withColumn("kept", wn.slice_window(F.col("images"), F.lit(0), F.lit(180)))

@@ -13,7 +13,7 @@ SAMPLE_COLUMNS = ["CDL", "lon", "lat", "bbox", "year"]
 
 def append_samples(samples: DataFrame, root: str) -> None:
     """Append label points by (bbox, year) in fixed column order."""
-    (samples.select(*SAMPLE_COLUMNS)
+    (samples.select(*SAMPLE_COLUMNS).hint("rebalance", F.col("bbox"), F.col("year"))
      .write.partitionBy("bbox", "year").mode("append").parquet(root))
 
 

@@ -44,3 +44,17 @@ def test_hot_series_continue_over_several_rows(spark, sf_dir):
         *SERIES, (F.col("day") + F.col("first_day")).alias("epoch"), *image)
     _same(flat(whole), flat(parts))
     _same(sr.build_series(obs, limit=10**6, bounded=False).drop("part"), whole.drop("part"))
+
+
+def test_random_windows_of_hot_series(spark, sf_dir):
+    def result(bounded):
+        cut = wn.cut_random(masked(spark, sf_dir), WindowSpec(30, 5), bounded=bounded)
+        return cut.select(*SERIES, "num_images", "last_day", "start_day",
+                          F.col("picks").cast("string").alias("picks"))
+
+    _same(result(True), result(False))
+
+
+def test_random_windows_limit_rows_before_the_shuffle(spark, sf_dir):
+    df = wn.cut_random(masked(spark, sf_dir), WindowSpec(), bounded=False)
+    assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
