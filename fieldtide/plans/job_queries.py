@@ -14,7 +14,7 @@ from fieldtide.constants import (
 )
 from fieldtide.functions import vectors
 from fieldtide.operators import (
-    assess, augment, features as ft, labels, model, quality, sampling, series as sr, sweeps,
+    assess, augment, features as ft, labels, model, sampling, series as sr, sweeps,
     windows as wn,
 )
 from fieldtide.plans import oracle as o
@@ -23,7 +23,7 @@ from fieldtide.plans.feature_queries import (
 )
 from fieldtide.plans.registry import query
 from fieldtide.plans.series_queries import (
-    CONFIG_CTES, SPEC, config_labels, full_series, masked, series, swept_labels, train_series,
+    CONFIG_CTES, SPEC, config_labels, full_series, masked, series, train_series,
 )
 from fieldtide.session import shared_folder
 from fieldtide.sources import derived, sinks, tables
@@ -144,8 +144,6 @@ def _batches(spark, sf_dir):
     return sampling.shuffle_batches(rows, sampling.series_hash(), ["lon", "lat", "year"], BATCH)
 
 
-#: Flat feature vector (25 x 16) of each window, as a list.
-_FLAT = f"""flat AS (SELECT {o.KEY}, list_transform(range(400), lambda i: 0e0) AS zeros FROM labels)"""
 _CELLS_SQL = f"""cells_ AS (SELECT {o.KEY}, bucket*16 + pos AS i, v::DOUBLE AS v FROM (SELECT {o.KEY}, bucket,
   unnest([{', '.join(f'{c}::BIGINT' for c in CHANNELS)}]) AS v, unnest(range(16)) AS pos FROM rows_))"""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldtide.constants import (
-    ASSETS, BANDS, COMMON_OTHER_CROPS, DISPLAY_CLASSES, NON_CROP_CLASSES, OTHER_CROPS,
+    ASSETS, COMMON_OTHER_CROPS, DISPLAY_CLASSES, NON_CROP_CLASSES, OTHER_CROPS,
     TARGETED_CROPS,
 )
 from fieldtide.functions import geo

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtide.constants import ASSETS, BANDS, COVERAGE_KEYS, SCENE
+from fieldtide.constants import ASSETS, COVERAGE_KEYS, SCENE
 from fieldtide.functions import geo, text
 from fieldtide.operators import quality, scenes as sc
 from fieldtide.plans import oracle as o
