@@ -57,6 +57,19 @@ def pair_blocks(entries: DataFrame, bucket: str, key: str, limit: int) -> DataFr
     )
 
 
+def word_slices(data: bytes, size: int = 1 << 22):
+    """data in pieces of about `size` bytes that are cut behind ASCII white space."""
+    at = 0
+    while len(data) - at > size:
+        cut = max(data.rfind(c, at, at + size) for c in (b" ", b"\n", b"\t", b"\r")) + 1
+        if cut <= at:
+            cuts = [p for p in (data.find(c, at + size) for c in (b" ", b"\n", b"\t", b"\r")) if p >= 0]
+            cut = min(cuts) + 1 if cuts else len(data)
+        yield data[at:cut]
+        at = cut
+    yield data[at:]
+
+
 def grouped_batches(batches, names: tuple[str, ...], rows: int = 200_000):
     """Join Arrow batches that are sorted by the columns `names` into tables that split no group.
 
@@ -129,7 +142,7 @@ def components(links: DataFrame) -> DataFrame:
             if not moved:
                 break
         found = up if found is None else durable(
-            found.join(up.withColumnsRenamed({"id": "root", "root": "above"}), "root", "left")
+            found.join(up.select(F.col("id").alias("root"), F.col("root").alias("above")), "root", "left")
             .select("id", F.coalesce("above", "root").alias("root")))
         ends = up.withColumnsRenamed({"id": "a", "root": "x"})
         others = up.withColumnsRenamed({"id": "b", "root": "y"})
