@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtide.llm import chat, simhash
-from fieldtide.llm.common import read_table
+from fieldtide.llm import chat, decontam, langid, packing, quality, simhash
+from fieldtide.llm.common import read_table, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,8 +59,49 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query("op3_decontamination")
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(langid.learned_rows()))
+    judged = langid.classify(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
 @query("op6_simhash")
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(read_table(spark, sf_dir, "documents"))
     return groups.select(
         "doc_id", simhash.hex16("fingerprint").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", "score", "text_score", "meta_score", "kept")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op9_packing")
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digest(read_table(spark, sf_dir, "documents"))
+
+
+def packed_digest(docs: DataFrame) -> DataFrame:
+    """Places of all pieces with a digest of their ids; the ids stay in the stored table."""
+    pieces = stored(packing.tokenize(docs, tokenizer_path()), "pieces")
+    light = pieces.select(
+        "doc_id", "piece", "start", F.col("length"), F.crc32("ids").alias("ids_crc32"), "part", "nth")
+    return packing.assign(light).select(
+        "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32",
+        "sequence_id", "offset")
