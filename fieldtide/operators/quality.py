@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldtide.constants import ASSETS, BANDS, CHANNELS, SCENE, SCL_DROP
+from fieldtide.constants import ASSETS, BANDS, CHANNELS, SCENE, SCL_DROP, SERIES
 
 
 def scl_mask(obs: DataFrame, drop: list[int] = SCL_DROP) -> DataFrame:
@@ -34,8 +34,10 @@ def clean_numeric(obs: DataFrame) -> DataFrame:
 
 
 def valid_series(series: DataFrame) -> DataFrame:
-    """Series with at least one image whose array holds what num_images says."""
-    return series.where((F.col("num_images") > 0) & (F.size("images") == F.col("num_images")))
+    """Series with at least one image whose rows together hold what num_images says."""
+    held = F.sum(F.size("images")).over(Window.partitionBy("series_id", *SERIES))
+    return series.withColumn("_held", held).where(
+        (F.col("num_images") > 0) & (F.col("_held") == F.col("num_images"))).drop("_held")
 
 
 def valid_packed(packed: DataFrame) -> DataFrame:

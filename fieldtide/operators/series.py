@@ -5,121 +5,78 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtide.constants import PIXEL, SERIES
+from fieldtide.constants import SERIES
 from fieldtide.functions import packing, spectral, vectors
-from fieldtide.operators.skew import SERIES_ROW_LIMIT, groups_bounded
 
-DAY = "unix_date(scene_date)"
+#: Images in one row of a series at most. A pixel-year has some hundred images, so it is one row;
+#: a longer series continues over further rows, whatever the size of the table.
+ROW_IMAGES = 4096
 
 
-def _image() -> Column:
-    """One image; the field order is its total order inside a series."""
-    return F.struct(
-        F.expr(DAY).alias("day"), F.col("tile"), vectors.band_array().alias("bands"), F.col("scl"))
+#: Series keys as windows and groups use them. series_id is a hash of the others that rows are
+#: dealt by: a later grouping by all keys then needs no exchange, as it would for bare doubles.
+KEYS = ["series_id", *SERIES]
 
 
-def _numbered(images: Column, first: Column) -> Column:
-    """Sorted images with days counted from the first image and their position."""
-    return F.transform(images, lambda o, i: F.struct(
-        (o["day"] - first).alias("day"), i.cast("bigint").alias("seq"),
-        o["tile"].alias("tile"), o["bands"].alias("bands"), o["scl"].alias("scl")))
+def _rows(obs: DataFrame) -> DataFrame:
+    """Images dealt by series: the one exchange of every series plan."""
+    return obs.select(
+        *SERIES, F.xxhash64(*SERIES).alias("series_id"), F.unix_date("scene_date").alias("day"),
+        "tile", vectors.band_array().alias("bands"), "scl",
+    ).repartition("series_id")
 
 
-def _measures(weight: Column) -> list[Column]:
-    day = F.expr(DAY)
+def series_facts(weight: Column | None = None) -> list[Column]:
+    """num_images, first_day, last_day and day_sum of the whole series, on every row of it."""
+    whole = Window.partitionBy(*KEYS)
+    weight = F.lit(1) if weight is None else weight
+    first, images = F.min("day").over(whole), F.sum(weight).over(whole)
     return [
-        F.sum(weight).cast("bigint").alias("num_images"),
-        F.min(day).alias("first_day"),
-        F.max(day).alias("max_day"),
-        F.sum(day * weight).alias("epoch_sum"),
+        images.cast("bigint").alias("num_images"), first.alias("first_day"),
+        (F.max("day").over(whole) - first).alias("last_day"),
+        (F.sum(F.col("day") * weight).over(whole) - images * first).cast("bigint").alias("day_sum"),
     ]
 
 
-def _shape(df: DataFrame, *extra: str) -> DataFrame:
-    """Common columns: day span and day sum relative to the first image."""
-    return df.select(
-        *SERIES, *extra, "num_images", "first_day",
-        (F.col("max_day") - F.col("first_day")).alias("last_day"),
-        (F.col("epoch_sum") - F.col("num_images") * F.col("first_day")).alias("day_sum"),
-        "images",
-    )
-
+FACTS = ["num_images", "first_day", "last_day", "day_sum"]
 
-def _gather(obs: DataFrame, keys: list[str]) -> DataFrame:
-    # Gathering cannot shrink anything before the shuffle, so rows are moved
-    # first and arrays are only built where they are needed: one exchange.
-    return (
-        obs.select(*keys, "scene_date", _image().alias("image"))
-        .repartition(*[F.col(k) for k in keys])
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list("image")).alias("sorted"), *_measures(F.lit(1)))
-        .withColumn("images", _numbered(F.col("sorted"), F.col("first_day")))
-    )
 
-
-def build_series(
-    obs: DataFrame, limit: int = SERIES_ROW_LIMIT, bounded: bool | None = None,
-) -> DataFrame:
+def build_series(obs: DataFrame, per_row: int | None = None) -> DataFrame:
     """Every image of each (pixel, year), in order, with `num_images`.
 
-    Row form: series key, part, num_images, first_day (epoch), last_day and
-    day_sum (relative), images array<struct<day, seq, tile, bands, scl>>. A series
-    is one row (part 0) unless it exceeds `limit` images; such a series continues
-    over several rows in (date, tile) order, so no task has to hold it whole and
-    no image is lost.
+    Row form: series key, series_id, part, num_images, first_day (epoch), last_day and day_sum (relative),
+    images array<struct<day, seq, tile, bands, scl>>. Day, position and the facts always count
+    from the whole series; row `part` holds the positions from part * per_row on. One exchange,
+    one sort that can spill, and no group larger than per_row images is gathered.
     """
-    if bounded is None:
-        bounded = groups_bounded(obs, PIXEL, limit)
-    if bounded:
-        return _shape(_gather(obs, SERIES).withColumn("part", F.lit(0).cast("bigint")), "part")
-    slots = [*SERIES, "scene_date", "tile"]
-    rows = obs.withColumn("_id", F.monotonically_increasing_id())
-    before = Window.partitionBy(*SERIES).orderBy("scene_date", "tile").rowsBetween(
-        Window.unboundedPreceding, -1)
-    spans = (
-        obs.groupBy(*slots).count()
-        .withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
-        .select(*slots,
-                F.floor(F.col("before") / limit).alias("part0"),
-                F.ceil(F.col("count") / limit).alias("pieces"))
-    )
-    parts = rows.join(spans, slots).withColumn(
-        "part", F.col("part0") + F.pmod(F.xxhash64("_id"), F.col("pieces")))
-    return _shape(_gather(parts, [*SERIES, "part"]), "part")
+    per_row = per_row or ROW_IMAGES
+    order = Window.partitionBy(*KEYS).orderBy("day", "tile", "bands", "scl")
+    placed = _rows(obs).select("*", (F.row_number().over(order) - 1).cast("bigint").alias("seq"))
+    placed = placed.select(*KEYS, "seq", "day", "tile", "bands", "scl", *series_facts())
+    image = F.struct((F.col("day") - F.col("first_day")).alias("day"), "seq", "tile", "bands", "scl")
+    gathered = placed.groupBy(*KEYS, F.floor(F.col("seq") / per_row).alias("part")).agg(
+        *[F.max(c).alias(c) for c in FACTS], F.sort_array(F.collect_list(image)).alias("images"))
+    return gathered.select(*SERIES, "series_id", "part", *FACTS, "images")
 
 
-def window_series(
-    obs: DataFrame, limit: int = SERIES_ROW_LIMIT, bounded: bool | None = None,
-) -> DataFrame:
+def window_series(obs: DataFrame) -> DataFrame:
     """Series as the window operators need them, one row per (pixel, year).
 
-    Windows, buckets and caps only ever look at the first image of a day and at
-    how many images came before it. When some series is too large to gather, rows
-    are therefore reduced to one image per day before they are (at most 366
-    entries per series, combined on the map side); `seq` still counts all images.
+    Windows, buckets and caps only look at the first image of a day and at how many images came
+    before it, so a row holds one image per day, 366 at most; `seq` still counts all images.
     """
-    if bounded is None:
-        bounded = groups_bounded(obs, PIXEL, limit)
-    if bounded:
-        return _shape(_gather(obs, SERIES))
-    days = (
-        obs.groupBy(*SERIES, "scene_date")
-        .agg(F.min(F.struct("tile", vectors.band_array().alias("bands"), "scl")).alias("top"),
-             F.count(F.lit(1)).alias("n"))
-    )
-    before = Window.partitionBy(*SERIES).orderBy("scene_date").rowsBetween(
-        Window.unboundedPreceding, -1)
-    return _shape(
-        days.withColumn("seq", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .groupBy(*SERIES)
-        .agg(F.sort_array(F.collect_list(F.struct(
-                F.expr(DAY).alias("day"), F.col("seq"), F.col("top.tile").alias("tile"),
-                F.col("top.bands").alias("bands"), F.col("top.scl").alias("scl")))).alias("sorted"),
-             *_measures(F.col("n")))
-        .withColumn("images", F.transform("sorted", lambda o: F.struct(
-            (o["day"] - F.col("first_day")).alias("day"), o["seq"].alias("seq"),
-            o["tile"].alias("tile"), o["bands"].alias("bands"), o["scl"].alias("scl"))))
-    )
+    days = _rows(obs).groupBy(*KEYS, "day").agg(
+        F.min(F.struct("tile", "bands", "scl")).alias("top"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*KEYS).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    placed = days.select(
+        *KEYS, "day", "top", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("seq"),
+        *series_facts(F.col("n")))
+    image = F.struct(
+        (F.col("day") - F.col("first_day")).alias("day"), "seq", F.col("top.tile").alias("tile"),
+        F.col("top.bands").alias("bands"), F.col("top.scl").alias("scl"))
+    return placed.groupBy(*KEYS).agg(
+        *[F.max(c).alias(c) for c in FACTS], F.sort_array(F.collect_list(image)).alias("images")
+    ).select(*SERIES, *FACTS, "images")
 
 
 def explode_images(series: DataFrame, *keep: str) -> DataFrame:
@@ -148,12 +105,18 @@ def ndvi_series(obs: DataFrame) -> DataFrame:
         spectral.ndvi(F.col("red"), F.col("nir")).alias("ndvi"))
 
 
+PACKED_FACTS = ["part", "first_seq", "series_images", "first_day", "last_day", "day_sum"]
+
+
 def pack_series(series: DataFrame) -> DataFrame:
-    """Binary interop form of full series (one row per series part)."""
+    """Binary interop form, one row per series row; num_images counts the images of the row.
+
+    The facts of the whole series and the position of the row in it follow as further columns.
+    """
     images, first = F.col("images"), F.col("first_day")
     words = F.flatten(F.transform(images, lambda o: o["bands"]))
     return series.select(
-        "lon", "lat", "num_images",
+        "lon", "lat", F.size(images).cast("bigint").alias("num_images"),
         packing.pack_words(words, "band value").alias("bands"),
         packing.pack_words(F.transform(images, lambda o: o["day"] + first), "image day")
         .alias("img_dates"),
@@ -161,27 +124,38 @@ def pack_series(series: DataFrame) -> DataFrame:
         packing.encode_text(F.array_join(F.transform(images, lambda o: o["tile"]), ","))
         .alias("tiles"),
         packing.encode_text(F.col("CDL")).alias("CDL"),
-        "bbox", "year",
+        "part", images[0]["seq"].alias("first_seq"), F.col("num_images").alias("series_images"),
+        "first_day", "last_day", "day_sum", "bbox", "year",
     )
 
 
 def unpack_series(packed: DataFrame) -> DataFrame:
-    """Inverse of pack_series: typed series in the row form of build_series."""
+    """Inverse of pack_series: typed series in the row form of build_series.
+
+    A packed table without the series facts (from another writer) holds one row per series, and
+    the facts are those of the row.
+    """
+    for name in PACKED_FACTS:
+        if name not in packed.columns:
+            packed = packed.withColumn(name, F.lit(None).cast("bigint"))
     parts = packed.select(
         "bbox", "year", "lon", "lat", packing.decode_text(F.col("CDL")).alias("CDL"), "num_images",
+        *PACKED_FACTS,
         packing.unpack_words(F.col("img_dates")).alias("days"),
         F.split(packing.decode_text(F.col("tiles")), ",").alias("tiles"),
         packing.unpack_rows(F.col("bands")).alias("rows"),
         packing.unpack_bytes(F.col("scl_vals")).alias("scls"),
-    ).withColumn("first_day", F.col("days")[0])
-    zipped = F.arrays_zip("days", "tiles", "rows", "scls")
+    ).withColumn("first_day", F.coalesce("first_day", F.col("days")[0]).cast("int"))
+    zipped, base = F.arrays_zip("days", "tiles", "rows", "scls"), F.coalesce("first_seq", F.lit(0))
+    own_sum = F.aggregate("days", F.lit(0).cast("bigint"), lambda a, d: a + d - F.col("first_day"))
     return parts.select(
-        *SERIES, "num_images", "first_day",
-        (F.array_max("days") - F.col("first_day")).alias("last_day"),
-        F.aggregate("days", F.lit(0).cast("bigint"), lambda a, d: a + d - F.col("first_day"))
-        .alias("day_sum"),
+        *SERIES, F.xxhash64(*SERIES).alias("series_id"),
+        F.coalesce("part", F.lit(0)).cast("bigint").alias("part"),
+        F.coalesce("series_images", "num_images").alias("num_images"), "first_day",
+        F.coalesce("last_day", F.array_max("days") - F.col("first_day")).cast("int").alias("last_day"),
+        F.coalesce("day_sum", own_sum).cast("bigint").alias("day_sum"),
         F.transform(zipped, lambda z, i: F.struct(
-            (z["days"] - F.col("first_day")).alias("day"), i.cast("bigint").alias("seq"),
+            (z["days"] - F.col("first_day")).alias("day"), (base + i).cast("bigint").alias("seq"),
             z["tiles"].alias("tile"), z["rows"].alias("bands"), z["scls"].alias("scl")))
         .alias("images"),
     )

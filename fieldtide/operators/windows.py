@@ -13,12 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtide.constants import (
-    DAY_CLIP, DAYS_IN_SERIES, DAYS_PER_BUCKET, FRAMES_TO_CHECK, PIXEL, SERIES, SWEEP_CONFIGS,
+    DAY_CLIP, DAYS_IN_SERIES, DAYS_PER_BUCKET, FRAMES_TO_CHECK, SERIES, SWEEP_CONFIGS,
     SWEEP_START_DAYS, buckets_in,
 )
 from fieldtide.functions import text, vectors
 from fieldtide.operators import series as sr
-from fieldtide.operators.skew import groups_bounded
 
 
 @dataclass(frozen=True)
@@ -159,50 +158,61 @@ def cut(
     return df.withColumn("picks", first_per_bucket(F.col("kept"), width)).drop("kept")
 
 
-def cut_random(
-    obs: DataFrame, spec: WindowSpec, bounded: bool | None = None, seed: int = 42,
+def window_images(series: DataFrame, start: Column, days: Column) -> DataFrame:
+    """Images of full series (build_series) with start <= day <= start + days, one row each."""
+    kept = series.withColumn("images", slice_window(F.col("images"), start, days))
+    return sr.explode_images(kept, *sr.KEYS)
+
+
+def capped_images(
+    series: DataFrame, start: Column, days: Column, size: int, seed: int | None = None,
 ) -> DataFrame:
+    """At most `size` images of each window: the first ones, or a seeded draw.
+
+    Counted over the whole series, however many rows it has; the rows of a series lie together
+    already, so nothing is exchanged.
+    """
+    rows = window_images(series, start, days)
+    if seed is None:
+        first = F.min("seq").over(Window.partitionBy(*sr.KEYS))
+        return rows.withColumn("_n", F.col("seq") - first).where(F.col("_n") < size).drop("_n")
+    rank = image_rank(F.col("day"), F.col("tile"), F.col("scl"), F.col("bands"), seed)
+    order = Window.partitionBy(*sr.KEYS).orderBy("_rank", "seq")
+    return rows.withColumn("_rank", rank).withColumn("_n", F.row_number().over(order)).where(
+        F.col("_n") <= size).drop("_rank", "_n")
+
+
+def bucketed_images(series: DataFrame, start: Column, spec: WindowSpec) -> DataFrame:
+    """Images of a window with their day from its first image and their bucket."""
+    rows = window_images(series, start, F.lit(spec.days))
+    first = F.min("day").over(Window.partitionBy(*sr.KEYS))
+    rows = rows.withColumn("day", F.col("day") - first)
+    clipped = F.greatest(F.lit(0), F.least(F.col("day"), F.lit(DAY_CLIP)))
+    return rows.withColumn("bucket", F.floor(clipped / spec.bucket).cast("int"))
+
+
+def cut_random(obs: DataFrame, spec: WindowSpec, seed: int = 42) -> DataFrame:
     """Random windows with at most `spec.size` random images, as series with `picks`.
 
-    Small series are gathered once and drawn from in place. When some series is
-    too large for that, the rows of each window are ranked by hash instead; tasks
-    pass on at most `size` rows per series before the shuffle, and only the drawn
-    images are gathered.
+    Images are ranked by hash inside their window; only the drawn ones are gathered. One exchange.
     """
-    if bounded is None:
-        bounded = groups_bounded(obs, PIXEL)
-    if bounded:
-        s = sr.window_series(obs, bounded=True).withColumn("start_day", start_random(
-            F.lit(spec.days), seed))
-        return cut(s, spec, random_cap=True)
-    day = F.unix_date("scene_date")
-    facts = (
-        obs.groupBy(*SERIES)
-        .agg(F.count(F.lit(1)).alias("num_images"), F.min(day).alias("first_day"),
-             (F.max(day) - F.min(day)).alias("last_day"),
-             (F.sum(day) - F.count(F.lit(1)) * F.min(day)).alias("day_sum"))
-        .withColumn("start_day", start_random(F.lit(spec.days), seed))
-    )
-    inside = (
-        obs.join(facts, SERIES)
-        .withColumn("day", day - F.col("first_day")).withColumn("bands", vectors.band_array())
-        .where((F.col("day") >= F.col("start_day"))
-               & (F.col("day") <= F.col("start_day") + spec.days))
-    )
+    rows = sr._rows(obs)
+    rows = rows.select("*", *sr.series_facts()).withColumn(
+        "start_day", start_random(F.lit(spec.days), seed)).withColumn(
+        "day", F.col("day") - F.col("first_day"))
+    inside = (F.col("day") >= F.col("start_day")) & (F.col("day") <= F.col("start_day") + spec.days)
     rank = image_rank(F.col("day"), F.col("tile"), F.col("scl"), F.col("bands"), seed)
-    order = Window.partitionBy(*SERIES).orderBy("_rank", "day", "tile", "bands", "scl")
+    order = Window.partitionBy(*sr.KEYS).orderBy(F.desc("_inside"), "_rank", "day", "tile", "bands", "scl")
+    image = F.struct("day", "tile", "bands", "scl")
     drawn = (
-        inside.withColumn("_rank", rank).withColumn("_n", F.row_number().over(order))
-        .where(F.col("_n") <= spec.size)
-        .groupBy(*SERIES)
-        .agg(F.sort_array(F.collect_list(F.struct("day", "tile", "bands", "scl"))).alias("drawn"))
-    )
-    none = F.array().cast("array<struct<day:int,tile:string,bands:array<int>,scl:int>>")
-    return (
-        facts.join(drawn, SERIES, "left").withColumn("kept", F.coalesce("drawn", none))
-        .withColumn("picks", first_per_bucket(F.col("kept"), F.lit(spec.bucket)))
-        .drop("drawn", "kept")
+        rows.withColumn("_inside", inside).withColumn("_rank", F.when(inside, rank))
+        .withColumn("_n", F.row_number().over(order))
+        .groupBy(*sr.KEYS)
+        .agg(*[F.max(c).alias(c) for c in (*sr.FACTS, "start_day")],
+             F.sort_array(F.collect_list(F.when(
+                 F.col("_inside") & (F.col("_n") <= spec.size), image))).alias("kept"))
     )
+    return drawn.withColumn("picks", first_per_bucket(F.col("kept"), F.lit(spec.bucket))).drop("kept", "series_id")
 
 
 def slim(series: DataFrame) -> DataFrame:

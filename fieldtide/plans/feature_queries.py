@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldtide.constants import (
-    BANDS, CHANNELS, FRAMES_TO_CHECK, IMBALANCE_SHARE, INDICES, LEGEND, PIXEL, SCL_NAMES, SERIES,
+    BANDS, CHANNELS, FRAMES_TO_CHECK, IMBALANCE_SHARE, INDICES, LEGEND, SCL_NAMES, SERIES,
     SWEEP_START_DAYS,
 )
 from fieldtide.functions import packing, spectral, text, vectors
 from fieldtide.operators import features as ft, labels, quality, sampling, sweeps, windows as wn
 from fieldtide.operators import series as sr
-from fieldtide.operators.skew import groups_bounded
 from fieldtide.plans import oracle as o
 from fieldtide.plans.registry import query
 from fieldtide.sources import derived, tables
 from fieldtide.plans.series_queries import (
-    CONFIG_CTES, SPEC, _STARTS, config_labels, usable, full_series, masked, series, swept_labels, train_series,
+    CONFIG_CTES, SPEC, _STARTS, config_labels, full_series, masked, series, swept_labels, train_series,
 )
 
 _CTES = [*o.SERIES_CTES]
@@ -258,9 +257,7 @@ def make_examples(spark, sf_dir):
     *_CTES, *o.windows(_STARTS["random"], cap="25", where=o.NO_DOUBLE, pick=o.IMAGE_RANK), _ROWS,
     select=_example_sql()))
 def make_examples_random(spark, sf_dir):
-    obs = derived.observations(spark, sf_dir)
-    cut = wn.cut_random(tables.drop_double_crops(usable(obs)), SPEC,
-                        bounded=groups_bounded(obs, PIXEL))
+    cut = wn.cut_random(tables.drop_double_crops(masked(spark, sf_dir)), SPEC)
     return _example_view(ft.make_examples(cut, SPEC, keep=SERIES))
 
 

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtide.constants import (
-    BANDS, FRAMES_TO_CHECK, PIXEL, SERIES, SWEEP_CONFIGS, SWEEP_START_DAYS,
+    BANDS, FRAMES_TO_CHECK, SERIES, SWEEP_CONFIGS, SWEEP_START_DAYS,
 )
 from fieldtide.functions import vectors
 from fieldtide.operators import labels, quality, series as sr, windows as wn
-from fieldtide.operators.skew import groups_bounded
 from fieldtide.operators.windows import WindowSpec
 from fieldtide.plans import oracle as o
 from fieldtide.plans.registry import query
@@ -29,20 +28,15 @@ def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def full_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # That series are short is proven on the unmasked table: only lon and lat are read.
-    obs = derived.observations(spark, sf_dir)
-    return sr.build_series(usable(obs), bounded=groups_bounded(obs, PIXEL))
+    return sr.build_series(masked(spark, sf_dir))
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = derived.observations(spark, sf_dir)
-    return sr.window_series(usable(obs), bounded=groups_bounded(obs, PIXEL))
+    return sr.window_series(masked(spark, sf_dir))
 
 
 def train_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = derived.observations(spark, sf_dir)
-    return sr.window_series(
-        tables.drop_double_crops(usable(obs)), bounded=groups_bounded(obs, PIXEL))
+    return sr.window_series(tables.drop_double_crops(masked(spark, sf_dir)))
 
 
 def _labelled(df: DataFrame, *extra: str) -> DataFrame:
@@ -97,7 +91,7 @@ def image_map(spark, sf_dir):
 @query("valid_series", o.with_(*o.SERIES_CTES, select=f"""
 SELECT {o.KEY}, num_images FROM img GROUP BY ALL HAVING count(*) = num_images AND num_images > 0"""))
 def valid_series(spark, sf_dir):
-    return quality.valid_series(full_series(spark, sf_dir)).select(*SERIES, "num_images")
+    return quality.valid_series(full_series(spark, sf_dir)).where("part = 0").select(*SERIES, "num_images")
 
 
 @query("drop_double_crops", o.with_(o.OBS, o.MASKED, select=f"""
@@ -143,38 +137,29 @@ def window_start(spark, sf_dir):
 @query("window_slice", o.with_(*o.SERIES_CTES, *o.windows("30"), select=f"""
 SELECT {o.KEY}, seq, "day", scl FROM kept"""))
 def window_slice(spark, sf_dir):
-    s = full_series(spark, sf_dir)
-    kept = s.withColumn("images", wn.slice_window(F.col("images"), F.lit(30), F.lit(SPEC.days)))
-    return sr.explode_images(kept, *SERIES).select(*SERIES, "seq", "day", "scl")
+    rows = wn.window_images(full_series(spark, sf_dir), F.lit(30), F.lit(SPEC.days))
+    return rows.select(*SERIES, "seq", "day", "scl")
 
 
 @query("cap_images", o.with_(*o.SERIES_CTES, *o.windows("0", days="180", cap="25"), select=f"""
 SELECT {o.KEY}, seq, "day", scl FROM kept"""))
 def cap_images(spark, sf_dir):
-    s = full_series(spark, sf_dir)
-    s = s.withColumn("kept", wn.slice_window(F.col("images"), F.lit(0), F.lit(180)))
-    s = s.withColumn("images", wn.cap_first(F.col("kept"), F.lit(25)))
-    return sr.explode_images(s, *SERIES).select(*SERIES, "seq", "day", "scl")
+    rows = wn.capped_images(full_series(spark, sf_dir), F.lit(0), F.lit(180), 25)
+    return rows.select(*SERIES, "seq", "day", "scl")
 
 
 @query("cap_images_random", o.with_(*o.SERIES_CTES, *o.windows("0", days="180"), select=f"""
 SELECT {o.KEY}, seq, "day", scl FROM kept QUALIFY row_number() OVER (PARTITION BY {o.KEY} ORDER BY {o.IMAGE_RANK}) <= 25"""))
 def cap_images_random(spark, sf_dir):
-    s = full_series(spark, sf_dir)
-    s = s.withColumn("kept", wn.slice_window(F.col("images"), F.lit(0), F.lit(180)))
-    s = s.withColumn("images", wn.cap_random(F.col("kept"), F.lit(25)))
-    return sr.explode_images(s, *SERIES).select(*SERIES, "seq", "day", "scl")
+    rows = wn.capped_images(full_series(spark, sf_dir), F.lit(0), F.lit(180), 25, seed=42)
+    return rows.select(*SERIES, "seq", "day", "scl")
 
 
 @query("bucketize", o.with_(*o.SERIES_CTES, *o.windows("15"), select=f"""
 SELECT {o.KEY}, seq, rday AS "day", (rday // width)::INTEGER AS bucket FROM placed"""))
 def bucketize(spark, sf_dir):
-    s = full_series(spark, sf_dir)
-    s = s.withColumn("kept", wn.slice_window(F.col("images"), F.lit(15), F.lit(SPEC.days)))
-    placed = F.transform("kept", lambda i: F.struct(
-        i["seq"].alias("seq"), (i["day"] - F.col("kept")[0]["day"]).alias("day"),
-        wn.bucket_of(i, F.col("kept"), F.lit(SPEC.bucket)).alias("bucket")))
-    return s.select(*SERIES, F.inline(placed))
+    rows = wn.bucketed_images(full_series(spark, sf_dir), F.lit(15), SPEC)
+    return rows.select(*SERIES, "seq", "day", "bucket")
 
 
 @query("first_per_bucket", o.with_(*o.SERIES_CTES, *o.windows("15"), select=f"""

@@ -39,6 +39,12 @@ PACKED_SERIES = T.StructType([
     T.StructField("scl_vals", T.BinaryType()),
     T.StructField("tiles", T.BinaryType()),
     T.StructField("CDL", T.BinaryType()),
+    T.StructField("part", T.LongType()),
+    T.StructField("first_seq", T.LongType()),
+    T.StructField("series_images", T.LongType()),
+    T.StructField("first_day", T.IntegerType()),
+    T.StructField("last_day", T.IntegerType()),
+    T.StructField("day_sum", T.LongType()),
     T.StructField("bbox", T.StringType()),
     T.StructField("year", T.IntegerType()),
 ])

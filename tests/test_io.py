@@ -14,7 +14,7 @@ from fieldtide.sources import derived, sinks, tables
 
 
 def test_pack_round_trip(spark, sf_dir):
-    whole = sr.build_series(masked(spark, sf_dir)).drop("part")
+    whole = sr.build_series(masked(spark, sf_dir))
     back = sr.unpack_series(sr.pack_series(whole)).select(*whole.columns)
     assert whole.exceptAll(back).isEmpty() and back.exceptAll(whole).isEmpty()
 
