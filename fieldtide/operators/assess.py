@@ -23,13 +23,14 @@ def _all():
     return Window.partitionBy()
 
 
-def predict(scores: DataFrame, year: int, days_in_series: int) -> DataFrame:
-    """Class, confidence and date of every scored row."""
+def predict(scores: DataFrame, year: int | Column, days_in_series: int) -> DataFrame:
+    """Class, confidence and date of every scored row; the year may be a column."""
+    year = F.lit(year) if isinstance(year, int) else year
     return scores.select(
         "*",
         vectors.argmax(F.col("probs")).alias("prediction"),
         F.array_max("probs").alias("confidence_score"),
-        text.prediction_date(F.lit(year), F.col("start_day"), days_in_series)
+        text.prediction_date(year, F.col("start_day"), days_in_series)
         .alias("prediction_date"),
     )
 

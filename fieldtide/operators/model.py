@@ -77,7 +77,9 @@ def class_centroids(rows: DataFrame) -> DataFrame:
 
 
 def centroid_model(centroids: DataFrame, buckets: int, labels: int = len(LEGEND)) -> Callable:
-    """Distance function of a centroid table (at most labels x buckets rows, like any weights).
+    """Distance function of a centroid table (labels x buckets rows, like any weights).
+
+    A row beyond the given sizes is an error.
 
     The distance of a window to a class is the mean squared gap over the values
     both have; it is infinite where they share none.
@@ -85,19 +87,24 @@ def centroid_model(centroids: DataFrame, buckets: int, labels: int = len(LEGEND)
     import numpy as np
 
     means = np.full((labels, buckets, len(CHANNELS)), np.nan)
-    for row in centroids.where(
-            (F.col("label") < labels) & (F.col("bucket") < buckets)).collect():
+    for row in centroids.collect():
+        if not (0 <= row["label"] < labels and 0 <= row["bucket"] < buckets):
+            raise ValueError(f"centroid outside {labels} labels x {buckets} buckets: {row}")
         means[row["label"], row["bucket"]] = [
             np.nan if row[f"m_{c}"] is None else row[f"m_{c}"] for c in CHANNELS]
     means = means.reshape(labels, -1)
     known = (~np.isnan(means)).astype("float64")
-    means = np.nan_to_num(means)
+    count = known.sum(axis=0)
+    centre = np.where(count > 0, np.nansum(means, axis=0) / np.maximum(count, 1), 0.0)
+    moved = np.where(known > 0, np.nan_to_num(means) - centre, 0.0)
 
     def distances(matrix):
-        x = np.asarray(matrix, dtype="float64")
-        seen = (x != 0).astype("float64")
+        raw = np.asarray(matrix, dtype="float64")
+        seen = (raw != 0).astype("float64")
+        # around the centre of the means the expanded square keeps its digits
+        x = np.where(raw != 0, raw - centre, 0.0)
         shared = seen @ known.T
-        gap = (x * x) @ known.T - 2 * x @ means.T + seen @ (means * means).T
+        gap = (x * x) @ known.T - 2 * x @ moved.T + seen @ (moved * moved).T
         return np.where(shared > 0, gap / np.maximum(shared, 1), np.inf)
 
     return distances
@@ -125,17 +132,23 @@ def finished_days(spark, root: str) -> list[int]:
     return sorted(r[0] for r in stored.select("start_day").distinct().collect())
 
 
+#: Start days of one commit: what a crash can cost.
+DAYS_PER_COMMIT = 5
+
+
 def resume_sweep(
     spark, root: str, days: Sequence[int], score_days: Callable[[list[int]], DataFrame],
+    per_commit: int = DAYS_PER_COMMIT,
 ) -> DataFrame:
     """Score the start days that are not stored yet and return the whole result table.
 
-    Results are partitioned by start_day and replaced per partition, so a run that
-    stopped half-way is continued by running it again.
+    Every `per_commit` days are one job and one commit. Results are partitioned by start_day and
+    replaced per partition, so a run that stopped half-way keeps its finished groups and is
+    continued by running it again.
     """
     done = set(finished_days(spark, root))
     todo = [d for d in days if d not in done]
-    if todo:
-        replace_partitions(score_days(todo), root, ["start_day"])
+    for at in range(0, len(todo), per_commit):
+        replace_partitions(score_days(todo[at:at + per_commit]), root, ["start_day"])
     return spark.read.parquet(root)
 

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from fieldtide.functions import geo
 
-#: A label raster holds one byte per cell, so a legend has at most this many codes.
-LEGEND_LIMIT = 256
-
-
 def raster_cells(
     cells: DataFrame, origin_x: float, origin_y: float, size: float,
 ) -> DataFrame:
@@ -22,12 +18,14 @@ def raster_cells(
     return cells.select("*", x.alias("x"), y.alias("y"), lon.alias("lon"), lat.alias("lat"))
 
 
-def grid_sample(cells: DataFrame, interval: int, start: int | None = None) -> DataFrame:
+def grid_sample(
+    cells: DataFrame, interval: int, start: int | None = None, seed: int = 42,
+) -> DataFrame:
     """Every interval-th row and column from one start that both axes share.
 
-    Without a start one is drawn once, on the driver, so that all tasks agree.
+    Without a start the seed draws one, the same in every run.
     """
-    s = random.randrange(interval) if start is None else start
+    s = random.Random(seed).randrange(interval) if start is None else start
     on = lambda c: (F.col(c) >= s) & (F.pmod(F.col(c) - s, F.lit(interval)) == 0)
     return cells.where(on("row") & on("col"))
 
@@ -49,21 +47,27 @@ def grid_restore(
         "code", F.coalesce("code", F.lit(0)))
 
 
-def bounded_legend(legend: DataFrame) -> DataFrame:
-    """One row per byte code, which is what makes the legend safe to broadcast."""
-    return (
-        legend.where(F.col("Codes").between(0, LEGEND_LIMIT - 1)).dropDuplicates(["Codes"])
-    )
+def unique_legend(legend: DataFrame) -> DataFrame:
+    """Legend rows with a name, one per code of any size; a code with two rows is an error."""
+    columns = ["Class_Names", "ESRI_Red", "ESRI_Green", "ESRI_Blue"]
+    once = legend.where(F.col("Codes").isNotNull() & F.col("Class_Names").isNotNull()).groupBy(
+        "Codes").agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*columns)).alias("_row"))
+    checked = F.when(F.col("_n") == 1, F.col("_row")).otherwise(F.raise_error(
+        F.concat(F.lit("legend code with several rows: "), F.col("Codes").cast("string"))))
+    return once.select("Codes", checked.alias("_row")).select("Codes", "_row.*")
 
 
 def decode_classes(cells: DataFrame, legend: DataFrame) -> DataFrame:
-    """Class name and colour of each cell; unmapped codes get no name and black."""
-    dim = bounded_legend(legend).dropna(subset=["Class_Names"]).select(
+    """Class name and colour of each cell; unmapped codes get no name and black.
+
+    Adaptive execution broadcasts the legend when its measured size allows it.
+    """
+    dim = unique_legend(legend).select(
         F.col("Codes").alias("code"), F.col("Class_Names").alias("class_name"),
         F.col("ESRI_Red").alias("red"), F.col("ESRI_Green").alias("green"),
         F.col("ESRI_Blue").alias("blue"))
     black = [F.coalesce(c, F.lit(0)).alias(c) for c in ("red", "green", "blue")]
-    joined = cells.join(F.broadcast(dim), "code", "left")
+    joined = cells.join(dim, "code", "left")
     return joined.select(*[c for c in joined.columns if c not in ("red", "green", "blue")], *black)
 
 

@@ -18,6 +18,11 @@ def series_hash(seed: int = 42) -> Column:
         text.micro_degrees(F.col("lat")), F.col("CDL"), seed=seed)
 
 
+def first_row(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The first row in the given order (one row per task meets the final choice)."""
+    return df.orderBy(*order).limit(1)
+
+
 def bernoulli(df: DataFrame, key_hash: Column, percent: int) -> DataFrame:
     """Independent sample of about `percent` of the rows, by hash."""
     return df.where(key_hash % 100 < percent)
@@ -30,17 +35,17 @@ def with_position(df: DataFrame, order: Sequence[str]) -> DataFrame:
     per partition) are the only thing gathered. No task sees all rows.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    # range bounds are sampled, so the partition of a row is fixed by materialising it
-    ranged = durable(ranged.withColumn("_part", F.spark_partition_id()))
-    counts = ranged.groupBy("_part").count()
+    # range bounds are sampled, so the place of a row is fixed by materialising it; the row
+    # number inside its partition is the lower part of the monotonic id, no second shuffle
+    ranged = durable(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = ranged.groupBy(part.alias("_part")).count()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("_part").orderBy(*order)
     return (
-        ranged.join(F.broadcast(offsets), "_part")
-        .withColumn("position", F.col("_offset") + F.row_number().over(within) - 1)
-        .drop("_part", "_offset")
+        ranged.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+        .withColumn("position", F.col("_offset") + row).drop("_part", "_at", "_offset")
     )
 
 

@@ -262,10 +262,10 @@ def make_examples_random(spark, sf_dir):
 
 
 @query("make_test_examples", o.with_(
-    *_CTES, "swept AS (SELECT *, unnest([30, 120]) AS begin_day FROM img)",
+    *_CTES, "swept AS (SELECT *, unnest([" + ", ".join(map(str, SWEEP_START_DAYS)) + "]) AS begin_day FROM img)",
     *o.windows("begin_day", source="swept"), _ROWS, select=_example_sql()))
 def make_test_examples(spark, sf_dir):
-    s = wn.sweep_start_days(series(spark, sf_dir), [30, 120])
+    s = wn.sweep_start_days(series(spark, sf_dir))
     return _example_view(ft.make_examples(s, SPEC, start_day=F.col("start_day"), keep=SERIES))
 
 
@@ -350,10 +350,18 @@ _HASH = """('0x' || substr(md5(concat_ws('|', '42', bbox, "year"::VARCHAR, round
 
 @query("bernoulli_pick", o.with_(*_CTES, select=f"""
 SELECT {o.KEY}, num_images FROM (SELECT DISTINCT {o.KEY}, num_images FROM img WHERE CDL = 'Corn')
-WHERE {_HASH} % 100 < 10"""))
+WHERE {_HASH} % 100 < 1"""))
 def bernoulli_pick(spark, sf_dir):
     s = series(spark, sf_dir).where(F.col("CDL") == "Corn")
-    return sampling.bernoulli(s, sampling.series_hash(), percent=10).select(*SERIES, "num_images")
+    return sampling.bernoulli(s, sampling.series_hash(), percent=1).select(*SERIES, "num_images")
+
+
+@query("first_of_sample", o.with_(*_CTES, select=f"""
+SELECT {o.KEY}, num_images FROM (SELECT DISTINCT {o.KEY}, num_images FROM img)
+WHERE {_HASH} % 100 < 1 ORDER BY bbox, "year", lon, lat, CDL LIMIT 1"""))
+def first_of_sample(spark, sf_dir):
+    picked = sampling.bernoulli(series(spark, sf_dir), sampling.series_hash(), percent=1)
+    return sampling.first_row(picked.select(*SERIES, "num_images"), SERIES)
 
 
 @query("shuffle_batches", o.with_(*_CTES, *_TRAIN0, select=f"""

@@ -6,6 +6,8 @@ return what a reader of the stored table sees.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from fieldtide import schemas
@@ -63,11 +65,6 @@ def scan_any(spark, sf_dir):
     return derived.observations_of(files).groupBy("CDL").count()
 
 
-@query("storage_size")
-def storage_size(spark, sf_dir):
-    return tables.storage_size(spark, sf_dir)
-
-
 @query("sink_series", o.with_(*o.SERIES_CTES, select="""
 SELECT bbox, "year", count(DISTINCT (lon, lat, CDL)) AS series, count(*) AS images, sum(scl)::BIGINT AS scl_sum FROM img GROUP BY ALL"""))
 def sink_series(spark, sf_dir):
@@ -135,8 +132,9 @@ _BATCH_HASH = "('0x' || substr(md5('42|batch|' || batch_id::VARCHAR), 1, 8))::BI
 _H2 = _HASH.replace("'42'", "'7'")
 
 
-def _u(h: str, i: str) -> str:
-    return f"((((({h})*31 + ({i})*7919 + 1)*48271) % 2147483647)::DOUBLE + 0.5e0)/2147483647e0"
+def _u(h: str, i: str, first: int = 1) -> str:
+    digits = f"substr(md5(({h})::VARCHAR || '|' || ({i})::VARCHAR), {first}, 13)"
+    return f"((('0x' || {digits})::BIGINT::DOUBLE + 0.5e0)/4503599627370496e0)"
 
 
 def _batches(spark, sf_dir):
@@ -148,42 +146,53 @@ _CELLS_SQL = f"""cells_ AS (SELECT {o.KEY}, bucket*16 + pos AS i, v::DOUBLE AS v
   unnest([{', '.join(f'{c}::BIGINT' for c in CHANNELS)}]) AS v, unnest(range(16)) AS pos FROM rows_))"""
 
 
+def _long(df, *keep):
+    """One row per feature, so that the check compares the features themselves."""
+    return df.select(*SERIES, *keep, F.posexplode("features").alias("i", "v")).withColumn(
+        "v", _r(F.col("v").cast("double"), 5))
+
+
 @query("jitter_scale", o.with_(*o.SERIES_CTES, *_TRAIN0, _ROWS, _BATCHED, _CELLS_SQL, f"""
 grid AS (SELECT {o.KEY}, h, batch_id, unnest(range(400)) AS i FROM batched)""", select=f"""
-SELECT g.bbox, g."year", g.lon, g.lat, g.CDL, batch_id, round(sum((coalesce(c.v, 0) +
-  sqrt(ln({_u('h', 'i*2')})*-2)*cos({_u('h', 'i*2 + 1')}*{2 * 3.141592653589793!r}::DOUBLE)*25e0)
-  *({_u(_BATCH_HASH, '0')}*(1.1e0 - 0.9e0) + 0.9e0))/100, 0) AS total
-FROM grid g LEFT JOIN cells_ c USING ({o.KEY}, i) GROUP BY ALL"""))
+SELECT {o.KEY}, batch_id, i::INTEGER AS i, round((((coalesce(c.v, 0) +
+  sqrt(ln({_u('h', 'i')})*-2)*cos({_u('h', 'i', 14)}*{2 * 3.141592653589793!r}::DOUBLE)*0.01e0)
+  *({_u(_BATCH_HASH, '0')}*(1.1e0 - 0.9e0) + 0.9e0))::FLOAT)::DOUBLE, 5) AS v
+FROM grid LEFT JOIN cells_ c USING ({o.KEY}, i)"""))
 def jitter_scale(spark, sf_dir):
-    # noise wide enough to show in the rounded sums of single precision features
-    out = augment.jitter_scale(_batches(spark, sf_dir), sampling.series_hash(), sigma=25.0)
-    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return out.select(*SERIES, "batch_id", _r(total / 100, 0).alias("total"))
+    return _long(augment.jitter_scale(_batches(spark, sf_dir), sampling.series_hash()), "batch_id")
 
 
-@query("mixup", o.with_(*o.SERIES_CTES, *_TRAIN0, _ROWS, _BATCHED, f"""
+@query("mixup", o.with_(*o.SERIES_CTES, *_TRAIN0, _ROWS, _BATCHED, _CELLS_SQL, f"""
 hashed AS (SELECT *, {_H2} AS h2 FROM batched)""", f"""
 pos AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY h, h2) AS position,
   row_number() OVER (PARTITION BY batch_id ORDER BY h2, h) AS slot FROM hashed)""", f"""
-sums AS (SELECT {o.KEY}, sum({' + '.join(CHANNELS)}) AS total FROM rows_ GROUP BY ALL)""", f"""
-tot AS (SELECT p.*, coalesce(s.total, 0) AS total FROM pos p LEFT JOIN sums s USING ({o.KEY}))""", select=f"""
-SELECT a.bbox, a."year", a.lon, a.lat, a.CDL, a.batch_id, round((0.75e0*a.total + 0.25e0*b.total)/1000, 0) AS total,
+tot AS (SELECT p.*, i, coalesce(c.v, 0) AS v FROM (SELECT *, unnest(range(400)) AS i FROM pos) p
+  LEFT JOIN cells_ c USING ({o.KEY}, i))""", select=f"""
+SELECT a.bbox, a."year", a.lon, a.lat, a.CDL, a.batch_id, a.i::INTEGER AS i,
+  round(((0.75e0*a.v + (1 - 0.75e0)*b.v)::FLOAT)::DOUBLE, 5) AS v,
   round(0.75e0*(a.label = 3)::INTEGER + 0.25e0*(b.label = 3)::INTEGER, 6) AS y3
-FROM tot a JOIN tot b ON a.batch_id = b.batch_id AND a.position = b.slot"""))
+FROM tot a JOIN tot b ON a.batch_id = b.batch_id AND a.position = b.slot AND a.i = b.i"""))
 def mixup(spark, sf_dir):
     out = augment.mixup(_batches(spark, sf_dir), sampling.series_hash(),
                         sampling.series_hash(7), lam=0.75)
-    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return out.select(*SERIES, "batch_id", _r(total / 1000, 0).alias("total"),
-                      _r(F.col("one_hot")[3].cast("double")).alias("y3"))
+    return _long(out.withColumn("y3", _r(F.col("one_hot")[3].cast("double"))), "batch_id", "y3")
+
+
+_ALPHA = 0.4
+_BETA = math.gamma(_ALPHA) ** 2 / math.gamma(2 * _ALPHA)
+_BETA_SUM = " + ".join(
+    f"{c!r}::DOUBLE*pow(mid, {n})" for n, c in enumerate(augment.beta_terms(_ALPHA)))
 
 
 @query("mixup_weights", o.with_(*o.SERIES_CTES, *_TRAIN0, _BATCHED, f"""
-b AS (SELECT batch_id, count(*) AS n, {_BATCH_HASH} AS h FROM batched GROUP BY batch_id)""", f"""
-pairs AS (SELECT batch_id, n, k, pow({_u('h', 'k*2')}, 2.5e0) AS x, pow({_u('h', 'k*2 + 1')}, 2.5e0) AS y
-  FROM (SELECT *, unnest(range(16)) AS k FROM b))""", select="""
-SELECT batch_id, n, round(x/(x + y), 6) AS weight FROM pairs
-QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY x + y > 1, k) = 1"""))
+b AS (SELECT batch_id, count(*) AS n, {_u(_BATCH_HASH, '0')} AS u FROM batched GROUP BY batch_id)""", f"""
+halved AS (SELECT batch_id, n, u, 0e0 AS lo, 0.5e0 AS hi, 0 AS k FROM b UNION ALL
+  SELECT batch_id, n, u, CASE WHEN f < least(u, 1 - u) THEN mid ELSE lo END,
+    CASE WHEN f < least(u, 1 - u) THEN hi ELSE mid END, k + 1
+  FROM (SELECT *, pow(mid, {_ALPHA}::DOUBLE)*({_BETA_SUM})/{_BETA!r}::DOUBLE AS f
+    FROM (SELECT *, (lo + hi)/2 AS mid FROM halved WHERE k < 60)))""", select="""
+SELECT batch_id, n, round(CASE WHEN u <= 0.5 THEN lo ELSE 1 - lo END, 6) AS weight FROM halved WHERE k = 60
+""").replace("WITH ", "WITH RECURSIVE ", 1))
 def mixup_weights(spark, sf_dir):
     out = augment.mixup(_batches(spark, sf_dir), sampling.series_hash(), sampling.series_hash(7))
     return out.groupBy("batch_id").agg(
@@ -252,26 +261,34 @@ def centroid_score(spark, sf_dir):
     return scored.withColumn("distance", _r("distance", 2))
 
 
+#: Years from here on are held out of the fit.
+FIRST_HELD_OUT = 1999
+
+
 def _stored_examples(spark, sf_dir):
     root = shared_folder(spark, "training")
     stats = ft.norm_stats(train_rows(spark, sf_dir))
     ex = ft.make_examples(train_series(spark, sf_dir), SPEC, stats, start_day=F.lit(0), keep=SERIES)
-    sinks.write_training_set(ex.withColumn("split", F.lit("train")), root)
+    split = F.when(F.col("year") < FIRST_HELD_OUT, "train").otherwise("val")
+    sinks.write_training_set(ex.withColumn("split", split), root)
     return spark.read.parquet(root)
 
 
 @query("train_classifier")
 def train_classifier(spark, sf_dir):
+    """Fitted on the early years, judged on the later ones it has not seen."""
     stored = _stored_examples(spark, sf_dir)
-    fitted = model.train_classifier(stored, "logistic", SPEC.size * WIDTH)
-    scored = model.score(fitted, stored).withColumn("prediction", vectors.argmax(F.col("probs")))
+    fitted = model.train_classifier(stored.where("split = 'train'"), "logistic", SPEC.size * WIDTH)
+    scored = model.score(fitted, stored.where("split = 'val'")).withColumn(
+        "prediction", vectors.argmax(F.col("probs")))
     return scored.groupBy("label", "prediction").count()
 
 
 @query("score_sweep")
 def score_sweep(spark, sf_dir):
     """All series at all start days under a fitted forest, as a result table."""
-    fitted = model.train_classifier(_stored_examples(spark, sf_dir), "forest", SPEC.size * WIDTH)
+    train = _stored_examples(spark, sf_dir).where("split = 'train'")
+    fitted = model.train_classifier(train, "forest", SPEC.size * WIDTH)
     return _scored(spark, sf_dir, SWEEP_START_DAYS, fitted).select(
         *SERIES, "start_day", "true_label", "prediction", "predicted_label",
         _r("confidence_score").alias("confidence_score"))
@@ -282,14 +299,14 @@ def _scored(spark, sf_dir, days, fitted):
     swept = wn.sweep_start_days(series(spark, sf_dir), days)
     ex = ft.make_examples(swept, SPEC, stats, start_day=F.col("start_day"), keep=SERIES)
     scored = model.score(fitted, ex).withColumnRenamed("label", "true_label")
-    return assess.label_names(assess.predict(scored, 2001, SPEC.days))
+    return assess.label_names(assess.predict(scored, F.col("year"), SPEC.days))
 
 
 @query("score_external")
 def score_external(spark, sf_dir):
     """The sweep under a model from outside Spark, here a fixed projection of the features."""
     stats = ft.norm_stats(train_rows(spark, sf_dir))
-    swept = wn.sweep_start_days(series(spark, sf_dir), [30, 120])
+    swept = wn.sweep_start_days(series(spark, sf_dir))
     ex = ft.make_examples(swept, SPEC, stats, start_day=F.col("start_day"), keep=SERIES)
     width, classes = SPEC.size * WIDTH, len(LEGEND)
 
@@ -342,12 +359,25 @@ def stream_scene_ingest(spark, sf_dir):
             "id", "seq", text.scene_tile(F.col("id")).alias("tile"),
             text.scene_date(F.col("datetime")).alias("scene_date"))
         # a restart without its checkpoint replays everything; nothing may double
-        ingest.ingest_scenes(fit, root, mark + ("-lost" if restart else ""),
-                             ["tile", "scene_date"], ["scene_date"])
+        ingest.ingest_scenes(
+            fit, root, mark + ("-lost" if restart else ""), ["scene_date"], ["id", "seq"])
     return spark.read.parquet(root).groupBy("tile", "scene_date").agg(
         F.count(F.lit(1)).alias("entries"))
 
 
+@query("stream_observations", o.with_(o.OBS, o.MASKED, select=f"""
+SELECT bbox, "year", tile, count(*) AS images, {', '.join(f'sum({b})::BIGINT AS {b}' for b in BANDS)} FROM masked GROUP BY ALL"""))
+def stream_observations(spark, sf_dir):
+    """Mask, clean and append, run twice without its progress: nothing is lost or doubled."""
+    root, mark = shared_folder(spark, "observations"), shared_folder(spark, "progress")
+    for attempt in (0, 1):
+        rows = ingest.read_files(spark, sf_dir, schemas.SOURCES["lineitem"], "lineitem.parquet")
+        ingest.ingest_observations(
+            derived.observations_of(rows), root, f"{mark}-{attempt}", ["bbox", "year"])
+    return tables.read_observations(spark, root).groupBy("bbox", "year", "tile").agg(
+        F.count(F.lit(1)).alias("images"), *[F.sum(b).cast("bigint").alias(b) for b in BANDS])
+
+
 @query("stream_dedup_scene", o.with_(o.SCENES, select="SELECT DISTINCT id FROM scenes"))
 def stream_dedup_scene(spark, sf_dir):
     root, mark = shared_folder(spark, "unique"), shared_folder(spark, "progress")
@@ -372,4 +402,4 @@ def stream_class_counts(spark, sf_dir):
     root, mark = shared_folder(spark, "counts"), shared_folder(spark, "progress")
     events = ingest.read_files(spark, sf_dir, schemas.SOURCES["events"], "events.parquet")
     ingest.class_counts(events, root, mark, "ts", "event_type")
-    return spark.read.parquet(root)
+    return spark.read.parquet(root).drop("day")

@@ -232,10 +232,10 @@ def class_profile(spark, sf_dir):
 
 
 @query("top_classes", o.with_(o.OBS, _PROFILE, select="""
-SELECT CDL, "count", kind, rank FROM profile WHERE (kind = 'crop' AND rank <= 5) OR (kind = 'non_crop' AND rank <= 3)"""))
+SELECT CDL, "count", kind, rank FROM profile WHERE (kind = 'crop' AND rank <= 50) OR (kind = 'non_crop' AND rank <= 20)"""))
 def top_classes(spark, sf_dir):
     p = cl.class_profile(derived.observations(spark, sf_dir))
-    return cl.top_classes(p, 5, 3).select("CDL", "count", "kind", "rank")
+    return cl.top_classes(p, 50, 20).select("CDL", "count", "kind", "rank")
 
 
 @query("suggest_classes", o.with_(o.OBS, _PROFILE, """

@@ -9,7 +9,8 @@ from fieldtide.functions import geo, text
 from fieldtide.operators import quality, scenes as sc
 from fieldtide.plans import oracle as o
 from fieldtide.plans.registry import query
-from fieldtide.sources import aoi, derived, tables
+from fieldtide.session import shared_folder
+from fieldtide.sources import aoi, derived, tables, sinks
 
 _BASE = "regexp_extract(id, '^(.*)_[^_]*_[^_]*$', 1)"
 _TILE = "(split_part(id, '_', 2) || '_' || split_part(id, '_', 4))"
@@ -167,11 +168,17 @@ def complete_bboxes(spark, sf_dir):
     return sc.complete_bboxes(derived.observations(spark, sf_dir), _aoi(spark))
 
 
+def _stored_observations(spark, sf_dir) -> str:
+    root = shared_folder(spark, "observations")
+    sinks.append_observations(derived.observations(spark, sf_dir), root, ["bbox", "year"])
+    return root
+
+
 @query("scan_partition", o.with_(o.OBS, select="""
 SELECT * FROM obs WHERE bbox = '410000,1130000,430000,1160000' AND "year" = 1997"""))
 def scan_partition(spark, sf_dir):
-    return tables.scan_partition(
-        derived.observations(spark, sf_dir), "410000,1130000,430000,1160000", 1997)
+    stored = tables.read_observations(spark, _stored_observations(spark, sf_dir))
+    return tables.scan_partition(stored, "410000,1130000,430000,1160000", 1997)
 
 
 @query("split_by_year", o.with_(o.OBS, select="""
@@ -185,7 +192,8 @@ def split_by_year(spark, sf_dir):
 
 @query("scan_pruned_tolerant", o.with_(o.OBS, select="SELECT CDL, count(*) AS \"count\" FROM obs GROUP BY CDL"))
 def scan_pruned_tolerant(spark, sf_dir):
-    return derived.observations(spark, sf_dir).select("CDL").groupBy("CDL").count()
+    classes, _ = tables.scan_class_column(spark, _stored_observations(spark, sf_dir))
+    return classes.groupBy("CDL").count()
 
 
 @query("partition_inventory", o.with_(o.OBS, select="""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_root(spark: SparkSession) -> str:
     """Folder the cluster names in spark.checkpoint.dir.
 
-    Only where the session has no such setting (tests on one machine) a local
-    folder stands in for it.
+    Only on a local master, where driver and tasks share one disk, a temporary folder stands in
+    for a missing setting; elsewhere that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a shared folder (master {master})")
         root = tempfile.mkdtemp(prefix="fieldtide-")
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext.getCheckpointDir():

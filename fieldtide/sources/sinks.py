@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtide import schemas
@@ -54,12 +54,20 @@ def write_training_set(examples: DataFrame, root: str) -> None:
     replace_partitions(examples, root, ["split"])
 
 
+def drop_table(spark: SparkSession, root: str) -> None:
+    """Remove a stored table, wherever Spark can write; a missing one is fine."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_results(results: DataFrame, root: str, threshold: float = HIGH_CONFIDENCE) -> None:
-    """Results plus their high-confidence subset, the latter only when it has rows."""
+    """Results plus their high-confidence subset; without sure rows no subset is left there."""
+    spark = results.sparkSession
     results.write.mode("overwrite").parquet(f"{root}/predictions")
-    stored = results.sparkSession.read.parquet(f"{root}/predictions")
-    sure = stored.where(F.col("confidence_score") >= threshold)
-    if not sure.isEmpty():
+    sure = spark.read.parquet(f"{root}/predictions").where(F.col("confidence_score") >= threshold)
+    if sure.isEmpty():
+        drop_table(spark, f"{root}/high_confidence")
+    else:
         sure.write.mode("overwrite").parquet(f"{root}/high_confidence")
 
 

@@ -49,16 +49,25 @@ def scan_any(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return df
 
 
-def scan_class_column(spark: SparkSession, path: str) -> DataFrame:
-    """Only the class column of many files; files that cannot be read are skipped."""
-    return (
+def scan_class_column(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Only the class column of many files, and the paths of files that gave no row.
+
+    Files that cannot be read are skipped by the first table and listed by the second, as are
+    empty ones; nothing is left out silently.
+    """
+    found = (
         spark.read.schema("CDL string")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.parquet")
         .option("ignoreCorruptFiles", True)
         .parquet(path)
-        .select("CDL")
     )
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.parquet").load(path).select("path")
+    )
+    read = found.select(F.col("_metadata.file_path").alias("path")).distinct()
+    return found.select("CDL"), listed.join(read, "path", "left_anti")
 
 
 def partition_inventory(obs: DataFrame) -> DataFrame:

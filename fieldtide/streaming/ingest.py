@@ -7,13 +7,16 @@ the table as one successful run would.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldtide.operators import quality, scenes as sc, series as sr
+from fieldtide.operators import quality, series as sr
+from fieldtide.session import durable
 from fieldtide.sources import sinks
 
 
@@ -43,32 +46,43 @@ def stored_or_none(spark: SparkSession, root: str) -> DataFrame | None:
         return None
 
 
+def _touched(spark: SparkSession, root: str, batch: DataFrame, partitions: Sequence[str]) -> DataFrame | None:
+    """Stored rows of the partitions a batch touches; the others are not read."""
+    done = stored_or_none(spark, root)
+    if done is None:
+        return None
+    mine = batch.select(*partitions).distinct()
+    return done.join(F.broadcast(mine), list(partitions), "left_semi")  # one row per partition
+
+
 def ingest_scenes(
-    stream: DataFrame, root: str, checkpoint: str, keys: Sequence[str], partitions: Sequence[str],
+    stream: DataFrame, root: str, checkpoint: str, partitions: Sequence[str],
+    keys: Sequence[str] | None = None,
 ) -> None:
-    """Append scenes that are not stored yet; `keys` identify a scene.
+    """Append rows that are not stored yet; `keys` identify a row (by default all columns do).
 
-    Stored keys are dropped first, so a scene that arrives again, in a later file
-    or in a repeated batch, is stored once.
+    Rows are told apart one by one, not scene by scene: a scene whose rows arrive in several
+    batches is stored whole, and a row that arrives again, in the same batch, in a later file or
+    in a repeated batch, is stored once.
     """
 
     def store(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch
-        done = stored_or_none(spark, root)
+        names = list(keys or batch.columns)
+        fresh = batch.dropDuplicates(names)
+        done = _touched(batch.sparkSession, root, batch, partitions)
         if done is not None:
-            fresh = sc.skip_existing(fresh, done, list(keys))
+            same = [fresh[c].eqNullSafe(done[c]) for c in names]
+            fresh = fresh.join(done, reduce(and_, same), "left_anti")
         fresh.write.partitionBy(*partitions).mode("append").parquet(root)
 
     drain(stream, store, checkpoint)
 
 
 def ingest_observations(
-    stream: DataFrame, root: str, checkpoint: str, partitions: Sequence[str], keys: Sequence[str],
+    stream: DataFrame, root: str, checkpoint: str, partitions: Sequence[str],
 ) -> None:
-    """Mask, clean and append sampled scenes, each scene once."""
-    ingest_scenes(
-        quality.clean_numeric(quality.scl_mask(stream)), root, checkpoint, keys, partitions)
+    """Mask, clean and append sampled observations, each once."""
+    ingest_scenes(quality.clean_numeric(quality.scl_mask(stream)), root, checkpoint, partitions)
 
 
 def dedup_scenes(
@@ -105,18 +119,23 @@ def class_counts(
     stream: DataFrame, root: str, checkpoint: str, time: str, group: str,
     window: str = "1 day", delay: str = "2 days",
 ) -> None:
-    """Running count per event-time window and class; the table holds the latest state.
+    """Running count per event-time window and class, stored by day.
 
-    Complete mode also keeps windows that have not closed yet; the state is one
-    number per window and class.
+    Update mode: a batch carries the windows that changed and replaces them in the days it
+    touches. The watermark ends windows, so the state stays as long as the delay.
     """
     counts = (
         stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
         .groupBy(F.window(time, window).alias("w"), group).count()
-        .select(F.col("w.start").alias("window_start"), group, "count")
+        .select(F.col("w.start").alias("window_start"), group, "count",
+                F.to_date("w.start").alias("day"))
     )
 
     def store(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(root)
+        done = _touched(batch.sparkSession, root, batch, ["day"])
+        if done is not None:
+            old = done.join(batch, ["window_start", group], "left_anti")
+            batch = durable(batch.unionByName(old.select(*batch.columns)))
+        sinks.replace_partitions(batch, root, ["day"])
 
-    drain(counts, store, checkpoint, "complete")
+    drain(counts, store, checkpoint, "update")

@@ -54,12 +54,6 @@ def test_scan_any_finds_files_and_reports_none(spark, sf_dir, tmp_path):
         tables.scan_any(spark, str(tmp_path / "missing"))
 
 
-def test_unreadable_files_are_skipped(spark, tmp_path):
-    spark.createDataFrame([("Corn",), ("Rice",)], "CDL string").write.parquet(str(tmp_path / "ok"))
-    (tmp_path / "bad.parquet").write_bytes(b"not parquet at all")
-    assert tables.scan_class_column(spark, str(tmp_path)).count() == 2
-
-
 def test_storage_size(spark, tmp_path):
     spark.range(100).write.parquet(str(tmp_path / "t"))
     want = sum(os.path.getsize(tmp_path / "t" / f) for f in os.listdir(tmp_path / "t")
@@ -117,3 +111,75 @@ def test_prediction_tables_are_harmonised(spark):
 
 def test_series_columns(spark, sf_dir):
     assert sr.build_series(masked(spark, sf_dir)).columns[:5] == SERIES
+
+
+def test_a_second_run_replaces_the_sure_subset(spark, tmp_path):
+    root = str(tmp_path)
+    for confidence in (0.9, 0.4):
+        sinks.write_results(
+            spark.createDataFrame([(1, confidence)], "id int, confidence_score double"), root, 0.5)
+    assert spark.read.parquet(f"{root}/predictions").first().confidence_score == 0.4
+    assert os.listdir(root) == ["predictions"]
+
+
+def test_unreadable_files_are_listed(spark, tmp_path):
+    root = str(tmp_path / "t")
+    spark.createDataFrame([("Corn",), ("Rice",)], "CDL string").coalesce(1).write.parquet(root)
+    (tmp_path / "t" / "bad.parquet").write_bytes(b"PAR1 not a table PAR1")
+    rows, skipped = tables.scan_class_column(spark, root)
+    assert rows.count() == 2
+    assert [r.path.rsplit("/", 1)[1] for r in skipped.collect()] == ["bad.parquet"]
+
+
+def test_legend_codes_of_any_size(spark):
+    from fieldtide.operators import raster
+
+    legend = "Codes int, Class_Names string, ESRI_Red int, ESRI_Green int, ESRI_Blue int"
+    cells = spark.createDataFrame([(300,), (-4,), (7,)], "code int")
+    rows = [(300, "A", 1, 2, 3), (-4, "B", 4, 5, 6), (9, None, 1, 1, 1), (9, None, 2, 2, 2)]
+    got = {r.code: (r.class_name, r.red) for r in raster.decode_classes(
+        cells, spark.createDataFrame(rows, legend)).collect()}
+    assert got == {300: ("A", 1), -4: ("B", 4), 7: (None, 0)}
+    twice = spark.createDataFrame([*rows, (300, "C", 1, 2, 3)], legend)
+    with pytest.raises(Exception, match="several rows"):
+        raster.decode_classes(cells, twice).collect()
+
+
+def test_centroids_out_of_range_fail(spark):
+    from fieldtide.constants import CHANNELS
+
+    row = spark.createDataFrame([(9, 0, *[1.0] * len(CHANNELS))], ["label", "bucket", *[f"m_{c}" for c in CHANNELS]])
+    with pytest.raises(ValueError, match="outside"):
+        model.centroid_model(row, 25)
+
+
+def test_finished_groups_survive_a_failure(spark, tmp_path):
+    root, calls = str(tmp_path / "s"), []
+
+    def run(days):
+        calls.append(days)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return spark.createDataFrame([(d, d * 10) for d in days], "start_day int, v int")
+
+    with pytest.raises(RuntimeError):
+        model.resume_sweep(spark, root, list(range(10)), run, 3)
+    assert model.finished_days(spark, root) == [0, 1, 2, 3, 4, 5]
+    whole = model.resume_sweep(spark, root, list(range(10)), run, 3)
+    assert calls[3:] == [[6, 7, 8], [9]] and sorted(r.v for r in whole.collect()) == [d * 10 for d in range(10)]
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from fieldtide import session
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None, set=lambda *_: None),
+                           sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_root(fake)
+
+
+def test_storage_size(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"12345")
+    assert tuple(tables.storage_size(spark, str(tmp_path)).first()) == (1, 5)

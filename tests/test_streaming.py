@@ -32,13 +32,44 @@ def test_refresh_in_two_steps(spark, sf_dir, tmp_path):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
-def test_observations_are_stored_once(spark, sf_dir, tmp_path):
+def _ingested(spark, sf_dir, tmp_path, files):
+    """Observations after ingesting lists of tables, one file of each list per batch."""
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for step, _ in enumerate(_halves(spark, sf_dir, src)):
+    for step, table in enumerate(files):
+        table.coalesce(1).write.mode("append").parquet(src)
         for attempt in range(2):  # the second attempt lost its progress
-            files = ingest.read_files(spark, src, schemas.SOURCES["lineitem"], "*.parquet")
+            stream = ingest.read_files(spark, src, schemas.SOURCES["lineitem"], "*.parquet", 1)
             ingest.ingest_observations(
-                derived.observations_of(files), out, str(tmp_path / f"p{step}{attempt}"),
-                ["bbox", "year"], ["bbox", "year", "tile", "scene_date"])
-    obs = quality.clean_numeric(quality.scl_mask(derived.observations(spark, sf_dir)))
-    assert spark.read.parquet(out).count() == obs.count()
+                derived.observations_of(stream), out, str(tmp_path / f"p{step}{attempt}"), ["bbox", "year"])
+    return spark.read.schema(schemas.OBSERVATIONS).parquet(out)
+
+
+def _wanted(spark, sf_dir):
+    return quality.clean_numeric(quality.scl_mask(derived.observations(spark, sf_dir)))
+
+
+def test_scene_split_over_files_is_whole(spark, sf_dir, tmp_path):
+    rows = derived.table(spark, sf_dir, "lineitem")
+    half = F.pmod(F.xxhash64(*rows.columns), F.lit(2)) == 0  # cuts through every scene
+    got, want = _ingested(spark, sf_dir, tmp_path, [rows.where(half), rows.where(~half)]), _wanted(spark, sf_dir)
+    assert got.count() == want.count()
+    assert got.exceptAll(want.select(*got.columns)).isEmpty()
+
+
+def test_rows_twice_in_a_batch_are_stored_once(spark, sf_dir, tmp_path):
+    rows = derived.table(spark, sf_dir, "lineitem")
+    got, want = _ingested(spark, sf_dir, tmp_path, [rows.union(rows)]), _wanted(spark, sf_dir)
+    assert got.count() == want.count()
+
+
+def test_counts_are_updated_in_place(spark, sf_dir, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = derived.table(spark, sf_dir, "events").orderBy("ts")
+    half = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
+    for part in (rows.where(half & (F.dayofmonth("ts") > 0)), rows.where(~half)):
+        part.coalesce(1).write.mode("append").parquet(src)
+    events = ingest.read_files(spark, src, schemas.SOURCES["events"], "*.parquet", 1)
+    ingest.class_counts(events, out, str(tmp_path / "p"), "ts", "event_type", delay="4000 days")
+    got = spark.read.parquet(out).groupBy("window_start", "event_type").agg(F.sum("count").alias("n"), F.count("*").alias("k"))
+    assert got.where("k > 1").isEmpty()
+    assert got.agg(F.sum("n")).first()[0] == rows.count()
