@@ -47,15 +47,17 @@ def harmonise(results: DataFrame) -> DataFrame:
 
 
 def summary_cube(results: DataFrame) -> DataFrame:
-    """Counts and confidence sums per (day, true class, predicted class).
+    """Counts and confidence moments per (day, true class if known, predicted class).
 
-    Every number of the report is a sum over these cells, so one pass over the
-    results and one small shuffle serve all of it.
+    Every number of the report follows from these cells, so one pass over the results and one
+    small shuffle serve all of it. Spread is kept as squares around each cell's own mean, which
+    keeps its digits when confidences lie close together.
     """
     c = F.col("confidence_score")
-    return results.groupBy("start_day", "prediction_date", "true_label", "prediction").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(c).alias("c_sum"), F.sum(c * c).alias("c_square"),
-        F.min(c).alias("c_min"), F.max(c).alias("c_max"))
+    truth = [t for t in ("true_label",) if t in results.columns]
+    return results.groupBy("start_day", "prediction_date", *truth, "prediction").agg(
+        F.count(F.lit(1)).alias("n"), F.count(c).alias("c_n"), F.avg(c).alias("c_mean"),
+        (F.var_pop(c) * F.count(c)).alias("c_spread"), F.min(c).alias("c_min"), F.max(c).alias("c_max"))
 
 
 def _rows(results: DataFrame) -> Column:
@@ -197,25 +199,34 @@ def _confidence(*extra: Column) -> list[Column]:
             F.max(c).alias("max"), *extra]
 
 
+def _cube_mean() -> Column:
+    return F.sum(F.col("c_mean") * F.col("c_n")) / F.sum("c_n")
+
+
+def _cube_confidence(*extra: Column) -> list[Column]:
+    return [F.sum("c_n").alias("count"), _cube_mean().alias("mean"), F.min("c_min").alias("min"),
+            F.max("c_max").alias("max"), *extra]
+
+
 def confidence_summary(results: DataFrame) -> DataFrame:
-    if "n" in results.columns:
-        mean = F.sum("c_sum") / F.sum("n")
-        return results.agg(
-            F.sum("n").alias("count"), mean.alias("mean"), F.min("c_min").alias("min"),
-            F.max("c_max").alias("max"),
-            F.sqrt(F.sum("c_square") / F.sum("n") - mean * mean).alias("std"))
-    return results.agg(*_confidence(F.stddev_pop("confidence_score").alias("std")))
+    if "n" not in results.columns:
+        return results.agg(*_confidence(F.stddev_pop("confidence_score").alias("std")))
+    mean = F.sum(F.col("c_mean") * F.col("c_n")).over(_all()) / F.sum("c_n").over(_all())
+    apart = F.col("c_spread") + F.col("c_n") * F.pow(F.col("c_mean") - F.col("_m"), F.lit(2))
+    return results.withColumn("_m", mean).agg(
+        *_cube_confidence(F.sqrt(F.sum(apart) / F.sum("c_n")).alias("std")))
 
 
 def confidence_by_day(results: DataFrame) -> DataFrame:
-    return results.groupBy("start_day").agg(
-        F.min("confidence_score").alias("min"), F.max("confidence_score").alias("max"))
+    low, high = ("c_min", "c_max") if "n" in results.columns else ("confidence_score",) * 2
+    return results.groupBy("start_day").agg(F.min(low).alias("min"), F.max(high).alias("max"))
 
 
 def confidence_by_class(results: DataFrame, legend: Sequence[str] = LEGEND) -> DataFrame:
     """Confidence per predicted class, only classes seen, in legend order."""
+    columns = _cube_confidence() if "n" in results.columns else _confidence()
     return (
-        results.groupBy("prediction").agg(*_confidence())
+        results.groupBy("prediction").agg(*columns)
         .withColumn("predicted_label", vectors.name_of(F.col("prediction"), legend))
         .orderBy("prediction")
     )
@@ -295,7 +306,11 @@ def rotation_cycles(timeline: DataFrame) -> DataFrame:
 
 
 def evaluate_report(results: DataFrame) -> DataFrame:
-    """All headline numbers as (section, item, value) rows."""
+    """All headline numbers as (section, item, value) rows.
+
+    A table without true_label (predictions only) gets the sections that need no truth:
+    predicted classes, confidence in all, by day and by class, and representative days.
+    """
 
     def long(df: DataFrame, section: str, item: Column, **values: str) -> DataFrame:
         table = F.array(*[
@@ -303,21 +318,34 @@ def evaluate_report(results: DataFrame) -> DataFrame:
                      F.col(c).cast("double").alias("value")) for k, c in values.items()])
         return df.select(F.lit(section).alias("section"), F.inline(table))
 
+    known = "true_label" in results.columns
     results = durable(summary_cube(results))
-    none = F.lit(None).cast("string")
+    none, day = F.lit(None).cast("string"), F.col("start_day").cast("string")
     parts = [
-        long(overall_metrics(results), "overall", none, accuracy="accuracy", micro_f1="micro_f1",
-             macro_f1="macro_f1", weighted_f1="weighted_f1"),
-        long(classification_report(results), "class", F.col("name"), precision="precision",
-             recall="recall", f1="f1", support="support"),
-        long(accuracy_by_date(results), "date", F.col("prediction_date").cast("string"),
-             accuracy="accuracy"),
-        long(best_worst_day(results), "day", none, worst="worst_start_day", best="best_start_day"),
         long(confidence_summary(results), "confidence", none, mean="mean", min="min", max="max",
              std="std"),
+        long(confidence_by_day(results), "confidence_day", day, min="min", max="max"),
+        long(confidence_by_class(results), "confidence_class", F.col("predicted_label"),
+             count="count", mean="mean", min="min", max="max"),
         long(predicted_distribution(results), "predicted", F.col("predicted_label"),
              count="count", percent="percent"),
+        long(representative_days(results), "representative", day, start_day="start_day"),
     ]
+    if known:
+        pair = F.concat_ws(">", F.col("true_label").cast("string"), F.col("prediction").cast("string"))
+        parts += [
+            long(overall_metrics(results), "overall", none, accuracy="accuracy",
+                 micro_f1="micro_f1", macro_f1="macro_f1", weighted_f1="weighted_f1"),
+            long(balanced_accuracy(results).select("balanced_accuracy").limit(1), "balanced", none,
+             accuracy="balanced_accuracy"),
+            long(classification_report(results), "class", F.col("name"), precision="precision",
+                 recall="recall", f1="f1", support="support"),
+            long(pair_counts(results), "matrix", pair, count="count"),
+            long(accuracy_by_date(results), "date", F.col("prediction_date").cast("string"),
+                 accuracy="accuracy"),
+            long(best_worst_day(results), "day", none, worst="worst_start_day",
+                 best="best_start_day"),
+        ]
     report = parts[0]
     for part in parts[1:]:
         report = report.unionByName(part)

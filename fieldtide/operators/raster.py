@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,16 +75,18 @@ def decode_classes(cells: DataFrame, legend: DataFrame) -> DataFrame:
 
 def sample_at_points(
     points: DataFrame, cells: DataFrame, x: Column, y: Column,
-    origin_x: float, origin_y: float, size: float,
+    origin_x: float, origin_y: float, size: float, rasters: Sequence[str] = (),
 ) -> DataFrame:
     """Value of the cell under each point; null where the raster has no cell.
 
-    The point is turned into its cell index, so the lookup is an equi-join. The
-    columns x, y, row and col of the point are added.
+    `rasters` names columns of both tables that tell rasters apart, so one join samples all of
+    them; a raster that could not be read has no cells and gives nulls. The point is turned into
+    its cell index, so the lookup is an equi-join. The columns row and col of the point are added.
     """
     row, col = geo.cell_index(x, y, origin_x, origin_y, size)
     placed = points.withColumn("row", row.cast("bigint")).withColumn("col", col.cast("bigint"))
-    return placed.join(cells.select("row", "col", "code"), ["row", "col"], "left")
+    keys = [*rasters, "row", "col"]
+    return placed.join(cells.select(*keys, "code"), keys, "left")
 
 
 def crop_window(
@@ -97,8 +101,8 @@ def crop_window(
 
 def random_corner(rows: int, cols: int, size: int, seed: int) -> tuple[int, int]:
     """Seeded corner of a crop that lies inside the raster."""
-    draw = random.Random(seed)
-    return draw.randint(0, max(0, rows - size)), draw.randint(0, max(0, cols - size))
+    draw = lambda name: int(hashlib.md5(f"{seed}|{name}".encode()).hexdigest()[:8], 16)
+    return draw("top") % max(1, rows - size + 1), draw("left") % max(1, cols - size + 1)
 
 
 def value_histogram(cells: DataFrame) -> DataFrame:

@@ -258,26 +258,55 @@ def union_predictions(spark, sf_dir):
         F.count(F.lit(1)).alias("n"))
 
 
-@query("evaluate_report", o.with_(*_BASE, _CLASS, _BY_DATE, f"""
-rep AS ({_REPORT})""", f"""
+_NO_TRUTH_CTES = [f"""
 conf AS (SELECT avg(confidence_score) AS a, min(confidence_score) AS b, max(confidence_score) AS c,
   stddev_pop(confidence_score) AS d FROM results)""", f"""
-dist AS (SELECT {_NAME.format('prediction')} AS nm, count(*) AS n, count(*)*100e0/sum(count(*)) OVER () AS p
-  FROM results GROUP BY prediction)""", select="""
-SELECT section, item, round("value", 6) AS "value" FROM (
-SELECT 'overall' AS section, 'accuracy' AS item, (sum(tp)/sum(support))::DOUBLE AS "value" FROM prf
+dist AS (SELECT {_NAME.format('prediction')} AS nm, count(*) AS n, count(*)*100e0/sum(count(*)) OVER () AS p,
+  avg(confidence_score) AS a, min(confidence_score) AS lo, max(confidence_score) AS hi
+  FROM results GROUP BY prediction)""", """
+days AS (SELECT start_day, min(confidence_score) AS lo, max(confidence_score) AS hi FROM results GROUP BY ALL)""", """
+sorted_days AS (SELECT list_sort(list(start_day)) AS d FROM days)""", """
+chosen AS (SELECT unnest(CASE WHEN len(d) >= 3 THEN [d[1], d[len(d)//2 + 1], d[len(d)]] ELSE d END) AS start_day
+  FROM sorted_days)"""]
+_NO_TRUTH = """
+SELECT 'confidence' AS section, 'mean' AS item, a::DOUBLE AS "value" FROM conf
+UNION ALL SELECT 'confidence', 'min', b FROM conf
+UNION ALL SELECT 'confidence', 'max', c FROM conf UNION ALL SELECT 'confidence', 'std', d FROM conf
+UNION ALL SELECT 'confidence_day', start_day::VARCHAR || ' min', lo FROM days
+UNION ALL SELECT 'confidence_day', start_day::VARCHAR || ' max', hi FROM days
+UNION ALL SELECT 'confidence_class', nm || ' count', n FROM dist
+UNION ALL SELECT 'confidence_class', nm || ' mean', a FROM dist
+UNION ALL SELECT 'confidence_class', nm || ' min', lo FROM dist
+UNION ALL SELECT 'confidence_class', nm || ' max', hi FROM dist
+UNION ALL SELECT 'predicted', nm || ' count', n FROM dist UNION ALL SELECT 'predicted', nm || ' percent', p FROM dist
+UNION ALL SELECT 'representative', start_day::VARCHAR || ' start_day', start_day FROM chosen"""
+
+
+@query("evaluate_predictions", o.with_(*_BASE, *_NO_TRUTH_CTES, select=f"""
+SELECT section, item, round("value", 6) AS "value" FROM ({_NO_TRUTH})"""))
+def evaluate_predictions(spark, sf_dir):
+    """The report of a prediction table without truth."""
+    return assess.evaluate_report(results(spark, sf_dir).drop("true_label")).withColumn(
+        "value", _r("value"))
+
+
+@query("evaluate_report", o.with_(*_BASE, _CLASS, _BY_DATE, f"""
+rep AS ({_REPORT})""", *_NO_TRUTH_CTES, select=f"""
+SELECT section, item, round("value", 6) AS "value" FROM ({_NO_TRUTH}
+UNION ALL SELECT 'overall', 'accuracy', (sum(tp)/sum(support))::DOUBLE FROM prf
 UNION ALL SELECT 'overall', 'micro_f1', sum(tp)/sum(support) FROM prf
 UNION ALL SELECT 'overall', 'macro_f1', avg(f1) FROM prf
 UNION ALL SELECT 'overall', 'weighted_f1', sum(f1*support)/sum(support) FROM prf
+UNION ALL SELECT 'balanced', 'accuracy', avg(r) FROM (
+  SELECT avg((true_label = prediction)::INTEGER) AS r FROM results GROUP BY true_label)
 UNION ALL SELECT 'class', name || ' precision', "precision" FROM rep
 UNION ALL SELECT 'class', name || ' recall', recall FROM rep
 UNION ALL SELECT 'class', name || ' f1', f1 FROM rep
 UNION ALL SELECT 'class', name || ' support', support FROM rep
+UNION ALL SELECT 'matrix', true_label::VARCHAR || '>' || prediction::VARCHAR || ' count', count(*) FROM results
+  GROUP BY true_label, prediction
 UNION ALL SELECT 'date', prediction_date::VARCHAR || ' accuracy', accuracy FROM by_date
 UNION ALL SELECT 'day', 'worst', (SELECT start_day FROM by_date ORDER BY accuracy, prediction_date LIMIT 1)
-UNION ALL SELECT 'day', 'best', (SELECT start_day FROM by_date ORDER BY accuracy DESC, prediction_date LIMIT 1)
-UNION ALL SELECT 'confidence', 'mean', a FROM conf UNION ALL SELECT 'confidence', 'min', b FROM conf
-UNION ALL SELECT 'confidence', 'max', c FROM conf UNION ALL SELECT 'confidence', 'std', d FROM conf
-UNION ALL SELECT 'predicted', nm || ' count', n FROM dist UNION ALL SELECT 'predicted', nm || ' percent', p FROM dist)"""))
+UNION ALL SELECT 'day', 'best', (SELECT start_day FROM by_date ORDER BY accuracy DESC, prediction_date LIMIT 1))"""))
 def evaluate_report(spark, sf_dir):
     return assess.evaluate_report(results(spark, sf_dir)).withColumn("value", _r("value"))

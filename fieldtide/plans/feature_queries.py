@@ -12,7 +12,7 @@ from fieldtide.functions import packing, spectral, text, vectors
 from fieldtide.operators import features as ft, labels, quality, sampling, sweeps, windows as wn
 from fieldtide.operators import series as sr
 from fieldtide.plans import oracle as o
-from fieldtide.plans.registry import query
+from fieldtide.plans.registry import ORACLES, query
 from fieldtide.sources import derived, tables
 from fieldtide.plans.series_queries import (
     CONFIG_CTES, SPEC, _STARTS, config_labels, full_series, masked, series, swept_labels, train_series,
@@ -220,6 +220,12 @@ def unpadded_rows(spark, sf_dir):
         *SERIES, "bucket", *CHANNELS)
 
 
+@query("unpadded_rows_normalised",
+       f"SELECT DISTINCT {', '.join(CHANNELS)} FROM ({ORACLES['zscore_masked']})")
+def unpadded_rows_normalised(spark, sf_dir):
+    return quality.unpadded_rows(zscore_masked(spark, sf_dir), normalised=True)
+
+
 # --- examples ----------------------------------------------------------------
 
 #: Position of every filled bucket in a flat vector, by which vectors are compared.

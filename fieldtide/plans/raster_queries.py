@@ -105,6 +105,34 @@ def crop_window(spark, sf_dir):
     return rs.crop_window(_cells(spark, sf_dir), 20).select("row", "col", "code")
 
 
+@query("sample_rasters_at_points", o.with_(o.CELLS, """
+pts AS (SELECT l_orderkey % 45 AS "row", l_partkey % 52 AS col, unnest(range(4)) AS raster FROM lineitem)""", """
+all_cells AS (SELECT *, unnest(range(3)) AS raster FROM cells)""", select="""
+SELECT p.raster::INTEGER AS raster, p."row", p.col, c.code + c.raster::INTEGER AS code, count(*) AS points
+FROM pts p LEFT JOIN all_cells c USING (raster, "row", col) GROUP BY ALL"""))
+def sample_rasters_at_points(spark, sf_dir):
+    """Three rasters in one join; the fourth could not be read and gives nulls."""
+    ids = lambda n: F.explode(F.array(*map(F.lit, range(n)))).alias("raster")
+    pts = derived.table(spark, sf_dir, "lineitem").select(
+        (F.lit(ORIGIN_X) + (F.col("l_partkey") % 52) * CELL + 7).alias("x"),
+        (F.lit(ORIGIN_Y) - (F.col("l_orderkey") % 45) * CELL - 11).alias("y"), ids(4))
+    cells = _cells(spark, sf_dir).select("row", "col", "code", ids(3)).withColumn(
+        "code", F.col("code") + F.col("raster"))
+    hit = rs.sample_at_points(
+        pts, cells, F.col("x"), F.col("y"), ORIGIN_X, ORIGIN_Y, CELL, ["raster"])
+    return hit.groupBy("raster", "row", "col", "code").agg(F.count(F.lit(1)).alias("points"))
+
+
+@query("random_crop", o.with_(o.CELLS, """
+corner AS (SELECT ('0x' || substr(md5('42|top'), 1, 8))::BIGINT % greatest(1, max("row") - 10) AS t,
+  ('0x' || substr(md5('42|left'), 1, 8))::BIGINT % greatest(1, max(col) - 10) AS l FROM cells)""", select="""
+SELECT "row", col, code FROM cells, corner WHERE "row" BETWEEN t AND t + 11 AND col BETWEEN l AND l + 11"""))
+def random_crop(spark, sf_dir):
+    cells = _cells(spark, sf_dir)
+    rows, cols = cells.agg(F.max("row") + 1, F.max("col") + 1).first()
+    return rs.crop_window(cells, 12, *rs.random_corner(rows, cols, 12, 42)).select("row", "col", "code")
+
+
 @query("cell_centre", o.with_(o.CELLS, select=f"""
 SELECT "row", col, round({_X}, 6) AS x, round({_Y}, 6) AS y,
   floor(({ORIGIN_Y}::DOUBLE - {_Y})/{CELL}e0)::BIGINT AS back_row, floor(({_X} - {ORIGIN_X}::DOUBLE)/{CELL}e0)::BIGINT AS back_col FROM cells"""))

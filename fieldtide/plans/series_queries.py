@@ -105,7 +105,8 @@ def drop_double_crops(spark, sf_dir):
 SELECT {o.KEY}, scene_date, tile, red, nir,
   round(CASE WHEN nir + red <> 0 THEN (nir - red)::DOUBLE/(nir + red) END, 6) AS ndvi FROM masked"""))
 def ndvi_series(spark, sf_dir):
-    return sr.ndvi_series(masked(spark, sf_dir)).withColumn("ndvi", F.round("ndvi", 6))
+    return sr.ndvi_series(masked(spark, sf_dir)).withColumn("ndvi", F.round("ndvi", 6)).orderBy(
+        *SERIES, "scene_date", "tile")
 
 
 # --- windows -----------------------------------------------------------------
