@@ -8,6 +8,7 @@ tightest gaps. Each piece then finds its place from its length and its rank amon
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -19,38 +20,68 @@ from fieldtide.llm.common import stored, word_slices
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 400_000  # per task; the cache starts anew beyond it
+CACHED_WORDS = 1_000_000  # per Python worker, some 200 MB; the cache starts anew beyond it
+LONG_WORD = 64  # bytes; longer ones are not kept
+MARKS = b".,;:!?"
+GROUP = 1 << 18  # bytes of text encoded together
 PIECES = "doc_id long, piece int, start long, length int, ids binary, part int, nth long"
 
 
 class _Encoder(dict):
     """Word -> its ids as little-endian uint32 bytes.
 
-    The tokenizer drops white space before it merges, so a text's ids are those of its words.
+    The tokenizer composes, lowers the case, and drops white space before it merges, so a text's
+    ids are those of its words, and words that differ in A-Z only have the same ids. Special
+    tokens are told by their case, so texts that may hold one keep it.
     """
 
     def __init__(self, path: str):
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-
-    def text(self, text: str) -> bytes:
-        return b"".join([self.part(p) for p in word_slices(text.encode("utf-8", "surrogatepass"))])
-
-    def part(self, data: bytes) -> bytes:
-        words = data.split()
-        new = [w for w in set(words) if w not in self]
-        if new:
+        self.merges = self.tokenizer.model
+
+    def plain(self, word: bytes) -> bytes:
+        """Ids of a-z letters, or of one mark: a token run that only the merges are left to do for.
+
+        (Neither the composition nor the byte alphabet of the tokenizer changes these; a mark
+        behind a letter is a run of its own.)
+        """
+        return array("I", [t.id for t in self.merges.tokenize(word.decode("ascii"))]).tobytes()
+
+    def texts(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text (UTF-8); the texts are held in memory together."""
+        words: list[bytes] = []
+        ends = [0]
+        for data in texts:
+            words += (data if b"<|" in data else data.lower()).split()
+            ends.append(len(words))
+        found = list(map(self.get, words))
+        if None in found:
+            new = list({w for w, ids in zip(words, found) if ids is None})
             if len(self) + len(new) > CACHED_WORDS:
                 self.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 10_000):
-                some = new[at:at + 10_000]
-                found = self.tokenizer.encode_batch_fast(
-                    [w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-                for word, got in zip(some, found):
-                    self[word] = np.array(got.ids, dtype="<u4").tobytes()
-        return b"".join([self[w] for w in words])
+            got = {w: self.plain(w) for w in new if w.isalpha() and w.islower()}
+            got |= {w: self.plain(w[:-1]) + self.plain(w[-1:]) for w in new if w[-1] in MARKS and w[:-1].isalpha() and w.islower()}
+            rest = [w for w in new if w not in got]
+            for word, one in zip(rest, self.tokenizer.encode_batch_fast(
+                    [w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)):
+                got[word] = array("I", one.ids).tobytes()
+            found = [ids if ids is not None else got[w] for w, ids in zip(words, found)]
+            self.update(got if max(map(len, new)) <= LONG_WORD else {
+                w: ids for w, ids in got.items() if len(w) <= LONG_WORD})
+        return [b"".join(found[i:j]) for i, j in zip(ends, ends[1:])]
+
+
+def _encoder(path: str) -> _Encoder:
+    """The encoder of this Python worker; it outlives the task, and so do the words it knows."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_fieldtide_encoders", {})
+    if path not in kept:
+        kept.clear()
+        kept[path] = _Encoder(path)
+    return kept[path]
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -68,31 +99,45 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part = _Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = _encoder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         end = np.array([end_id], dtype="<u4").tobytes()
         names = [f.split()[0] for f in PIECES.split(", ")]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64()]
 
+        def cut(rows):
+            out = []
+            for (doc_id, _), ids in zip(rows, encoder.texts([t for _, t in rows])):
+                out += pieces_of(doc_id, ids + end)
+            return batch_of(out)
+
+        def pieces_of(doc_id, ids):
+            for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                own = ids[at:at + 4 * capacity]
+                length = len(own) // 4
+                yield doc_id, piece, at // 4, length, own, part, int(seen[length])
+                seen[length] += 1
+
         def batch_of(rows):
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
+        rows, held = [], 0
         for batch in batches:
-            rows, held = [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.text(text.as_py() or "") + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at:at + 4 * capacity]
-                    length = len(own) // 4
-                    rows.append((doc_id, piece, at // 4, length, own, part, int(seen[length])))
-                    seen[length] += 1
-                    held += len(own)
-                if held > 8_000_000:
-                    yield batch_of(rows)
+            texts = batch.column(1).cast(pa.binary())
+            for doc_id, text in zip(batch.column(0).to_pylist(), texts):
+                data = text.as_py() or b""
+                if len(data) > GROUP:  # a long text alone, in slices
+                    ids = b"".join(x for p in word_slices(data, GROUP) for x in encoder.texts([p]))
+                    yield batch_of(list(pieces_of(doc_id, ids + end)))
+                    continue
+                rows.append((doc_id, data))
+                held += len(data)
+                if held > GROUP:
+                    yield cut(rows)
                     rows, held = [], 0
-            if rows:
-                yield batch_of(rows)
+        if rows:
+            yield cut(rows)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, PIECES)
 

@@ -93,5 +93,13 @@ def test_cache_starts_anew(monkeypatch, text):
     monkeypatch.setattr(packing, "CACHED_WORDS", 2)
     encoder = packing._Encoder(tokenizer_path())
     want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(encoder.text(text), dtype="<u4").tolist() == want
-    assert np.frombuffer(encoder.text(text + " " + text), dtype="<u4").tolist() == want * 2
+    for many in ([text], [text + " " + text], [text, "", text]):
+        got = [np.frombuffer(x, dtype="<u4").tolist() for x in encoder.texts([t.encode() for t in many])]
+        assert got == [want * t.count(text) for t in many]
+
+
+def test_long_texts_are_sliced(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 50)
+    docs = spark.createDataFrame([(1, "some words here " * 30), (2, "x")], "doc_id long, text string").coalesce(1)
+    rows = {r.doc_id: r for r in packing.pack(docs, tokenizer_path()).collect()}
+    assert rows[1].length == 91 and rows[2].length == 2
