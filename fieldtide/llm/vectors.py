@@ -20,7 +20,7 @@ from fieldtide.llm.common import components, forest, grouped_batches, pair_block
 COSINE = 0.95
 TABLES = 8
 PROBES = 2
-SCALE = 1.3  # projections per lattice unit: vectors of cosine 0.95 are 0.4 units apart
+SCALE = 1.3  # lattice units per unit of distance: vectors of cosine 0.95 are 0.41 apart
 BLOCK = 2_000  # entries of a cell that are compared in one piece
 DENSE = 64  # groups above it are compared by a matrix product
 CHUNK = 100_000  # pairs in memory at once
@@ -66,7 +66,7 @@ def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: f
     out = np.zeros((n, tables, 1 + probes), dtype=np.int64)
     for table in range(tables):
         rng = np.random.default_rng([seed, d, table])
-        y = unit @ (rng.standard_normal((d, 16)) * scale) + rng.random(16) * 2
+        y = unit @ (rng.standard_normal((d, 16)) * (scale / np.sqrt(8))) + rng.random(16) * 2
         own, options = [], []
         for half in (0, 1):
             part = y[:, 8 * half:8 * half + 8]

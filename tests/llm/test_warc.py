@@ -79,10 +79,8 @@ def test_reads_packages_of_others():
         z.writestr("stored", "z")
         z.comment = b"a comment with PK\x05\x06 in it"
     data = sink.getvalue()
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        moved = z.infolist()[0].header_offset
     reader = warc.PackageReader(io.BytesIO(data), len(data))
-    assert moved and set(reader.members) == {"big", "stored"} and reader.read(*reader.members["big"]) == b"x" * 5000
+    assert set(reader.members) == {"big", "stored"} and reader.read(*reader.members["big"]) == b"x" * 5000
 
 
 @pytest.mark.parametrize("harm", [lambda d: d[:-5], lambda d: d[:40], lambda d: b"", lambda d: d.replace(b"PK\x01\x02", b"PKxx")])
