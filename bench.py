@@ -17,6 +17,7 @@ HEADLINE = [
     "sweep_summary", "pack_series", "centroid_score", "feature_profile", "spectral_indices",
     "evaluate_report", "classification_report", "prediction_timeline", "latest_scene_version",
     "class_profile", "skip_existing_scenes", "partition_inventory", "sample_raster_at_points",
+    "score_sweep", "shuffle_batches", "mixup", "resume_sweep", "stream_series_refresh",
 ]
 RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtide.constants import BANDS, CHANNELS, INDICES, LEGEND
 from fieldtide.functions import spectral, vectors
 from fieldtide.operators import labels, windows as wn
 from fieldtide.operators.windows import WindowSpec
+from fieldtide.session import durable
 
 #: Band positions the index channels read.
 BLUE, RED, NIR, SWIR = (BANDS.index(b) for b in ("blue", "red", "nir", "swir16"))
@@ -152,20 +153,42 @@ def value_counts(rows: DataFrame, channels: Sequence[str] = CHANNELS) -> DataFra
 def feature_profile(rows: DataFrame, channels: Sequence[str] = CHANNELS) -> DataFrame:
     """Exact five-number summary per channel, raw and normalised, padding removed.
 
-    Quantiles come from value frequencies, so a group holds at most the distinct
-    integers of a channel. Normalising is linear and increasing: the quantiles of
-    the normalised values are the normalised quantiles.
+    Value frequencies are dealt by ranges of (channel, value); running counts inside a range plus
+    the counts of earlier ranges give each value its ranks, and the quantiles are read off them.
+    No task holds the values of a channel. Normalising is linear and increasing: the quantiles
+    of the normalised values are the normalised quantiles.
     """
-    q = F.percentile("value", [0.25, 0.5, 0.75], F.col("n"))
-    n, value = F.sum("n"), F.col("value").cast("double")
-    mean = F.sum(value * F.col("n")) / n
-    square = F.sum(value * value * F.col("n")) / n
-    raw = value_counts(rows, channels).groupBy("channel").agg(
-        n.alias("count"), F.min(value).alias("min"), q.alias("q"), F.max(value).alias("max"),
-        mean.alias("mean"), F.sqrt(square - mean * mean).alias("std"))
-    z = lambda c: (c - F.col("mean")) / F.col("std")
-    return raw.select(
-        "channel", "count", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-        F.col("q")[2].alias("q3"), "max", z(F.col("min")).alias("z_min"),
-        z(F.col("q")[0]).alias("z_q1"), z(F.col("q")[1]).alias("z_median"),
-        z(F.col("q")[2]).alias("z_q3"), z(F.col("max")).alias("z_max"))
+    value = F.col("value").cast("double")
+    counts = durable(
+        value_counts(rows, channels).repartitionByRange("channel", "value")
+        .withColumn("_range", F.spark_partition_id()))
+    sizes = counts.groupBy("_range", "channel").agg(F.sum("n").alias("m"))
+    earlier = Window.partitionBy("channel").orderBy("_range").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        "_range", "channel", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("_before"))
+    facts = counts.groupBy("channel").agg(
+        F.sum("n").alias("count"), (F.sum(value * F.col("n")) / F.sum("n")).alias("mean"),
+        F.min(value).alias("min"), F.max(value).alias("max"))
+    running = Window.partitionBy("_range", "channel").orderBy("value")
+    ranked = (
+        counts.withColumn("_upto", F.sum("n").over(running)).join(offsets, ["_range", "channel"])
+        .withColumn("_end", F.col("_before") + F.col("_upto")).join(facts, "channel"))
+    last = F.col("count") - 1
+
+    def at(rank: Column) -> Column:
+        """The value that holds a zero-based rank."""
+        return F.max(F.when((F.col("_end") - F.col("n") <= rank) & (rank < F.col("_end")), value))
+
+    shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    picked = ranked.groupBy("channel", "count", "mean", "min", "max").agg(
+        F.sqrt(F.sum(F.col("n") * F.pow(value - F.col("mean"), F.lit(2))) / F.max("count")).alias("std"),
+        *[at(F.floor(last * s)).alias(f"{k}_low") for k, s in shares.items()],
+        *[at(F.ceil(last * s)).alias(f"{k}_high") for k, s in shares.items()])
+    between = lambda k, s: F.col(f"{k}_low") + (
+        F.col(f"{k}_high") - F.col(f"{k}_low")) * (last * s - F.floor(last * s))
+    raw = picked.select("channel", "count", "mean", "std", "min", "max",
+                        *[between(k, s).alias(k) for k, s in shares.items()])
+    z = lambda c: ((F.col(c) - F.col("mean")) / F.col("std")).alias(f"z_{c}")
+    five = ["min", "q1", "median", "q3", "max"]
+    return raw.select("channel", "count", *five, *map(z, five))

@@ -57,17 +57,22 @@ def score_external(
     """
     schema = examples.select(*keep).schema.add(output, T.ArrayType(T.DoubleType()))
 
-    def batches(frames):
+    def batches(records):
         import numpy as np
-
-        for frame in frames:
-            if len(frame):
-                matrix = np.stack(frame["features"].to_numpy())
-                frame = frame.drop(columns="features").assign(
-                    **{output: list(np.asarray(predict(matrix), dtype="float64"))})
-                yield frame
-
-    return examples.select(*keep, "features").mapInPandas(batches, schema)
+        import pyarrow as pa
+
+        for record in records:
+            n = record.num_rows
+            if n:
+                # one flat buffer, no row objects
+                matrix = record.column(len(keep)).flatten().to_numpy().reshape(n, -1)
+                found = np.asarray(predict(matrix), dtype="float64").reshape(n, -1)
+                ends = np.arange(n + 1, dtype="int32") * found.shape[1]
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [*record.columns[:len(keep)], lists], [*keep, output])
+
+    return examples.select(*keep, "features").mapInArrow(batches, schema)
 
 
 def class_centroids(rows: DataFrame) -> DataFrame:
