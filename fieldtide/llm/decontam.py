@@ -168,7 +168,8 @@ def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[list[tupl
     n = -(-total // chars)
     for k in range(n):
         own = F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k
-        yield sorted((r["item_id"], r["text"]) for r in items.where(own).collect())
+        rows = [(r["item_id"], r["text"]) for r in items.where(own).collect()]
+        yield sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

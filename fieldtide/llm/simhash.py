@@ -18,6 +18,7 @@ from fieldtide.llm.common import components, forest, grouped_batches, pair_block
 RADIUS = 3
 SEGMENTS = 16  # of 4 bits each
 GROUPS = 8  # of two segments each; at most RADIUS of them can differ
+PART = 100_000  # shingles of a text that are hashed in one piece
 BLOCK = 1000  # entries of a grid cell that are compared in one piece
 BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
 
@@ -30,13 +31,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     if not words:
         return 0
     digest = xxhash.xxh64_digest
-    if len(words) <= shingle:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    data = np.frombuffer(b"".join([digest(s, 42) for s in shingles]), dtype=np.uint8).reshape(-1, 8)
-    count = np.bincount((data + np.arange(0, 2048, 256)).ravel(), minlength=2048).reshape(8, 256) @ BITS
-    return int.from_bytes(np.packbits(count.ravel() * 2 > len(data)).tobytes(), "big", signed=True)
+    total, seen = max(len(words) - shingle + 1, 1), np.zeros(2048, dtype=np.int64)
+    for at in range(0, total, PART):
+        own = words[at:at + PART + shingle - 1]
+        shingles = map(b" ".join, zip(*(own[i:] for i in range(shingle)))) if len(own) >= shingle else [b" ".join(own)]
+        data = np.frombuffer(b"".join([digest(s, 42) for s in shingles]), dtype=np.uint8).reshape(-1, 8)
+        seen += np.bincount((data + np.arange(0, 2048, 256)).ravel(), minlength=2048)
+    count = seen.reshape(8, 256) @ BITS
+    return int.from_bytes(np.packbits(count.ravel() * 2 > total).tobytes(), "big", signed=True)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -144,11 +146,13 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) -> D
 
     component is the smallest doc_id of the group. Equal fingerprints are one class, so exact
     copies cost one entry in the search. Documents without words have fingerprint zero and are
-    linked like any other. Repeated rows stay rows. Other columns of docs are not looked at.
+    linked like any other. Repeated rows stay rows; rows of one doc_id are one document. Rows
+    without doc_id get the component of their fingerprint, null if no row there has an id. Other
+    columns of docs are not looked at.
     """
     marked = stored(fingerprints(docs, shingle), "simhash")
     classes = stored(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "simhash-classes")
-    groups = components(close_links(classes, radius))
+    groups = components(close_links(classes.where("rep is not null"), radius))
     named = classes.join(groups, classes.rep == groups.id, "left").select(
         "fingerprint", F.coalesce("component", "rep").alias("component"))
     return marked.join(stored(named, "simhash-groups"), "fingerprint").select(
@@ -160,11 +164,15 @@ def hex16(mark) -> F.Column:
 
 
 def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id (one of its repeated rows)."""
+    """One document of each group: the one with the smallest doc_id (one of its repeated rows).
+
+    Rows without doc_id cannot be told apart from the document that stays, and are all kept.
+    """
     keep = simhash_groups(docs, radius).where("doc_id = component").select("doc_id").distinct()
     once = F.row_number().over(_by_doc())
     kept = docs.join(keep, "doc_id", "left_semi")
-    return kept.withColumn("__row", once).where("__row = 1").drop("__row").select(*docs.columns)
+    kept = kept.withColumn("__row", once).where("__row = 1").drop("__row").select(*docs.columns)
+    return kept.union(docs.where("doc_id is null"))
 
 
 def _by_doc():

@@ -246,12 +246,13 @@ def embedding_groups(vectors: DataFrame, cosine: float = COSINE, block: int = BL
 
     n_links: other rows with a cosine of at least `cosine`; component: the smallest vec_id that
     links lead to. Equal vectors are one class, compared once. Null, empty, zero or non-finite
-    vectors, and vectors of different length, link with nothing. Further columns are ignored.
+    vectors, and vectors of different length, link with nothing. Rows without vec_id only count as
+    copies of their equals. Further columns are ignored.
     """
     rows = vectors.select("vec_id", "embedding", usable(F.col("embedding")).alias("fine"))
     classes = stored(
         rows.where("fine").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vector-classes")
-    parts = stored(close_pairs(classes, cosine, block), "vector-links")
+    parts = stored(close_pairs(classes.where("rep is not null"), cosine, block), "vector-links")
     groups = components(parts.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = parts.groupBy("rep").agg(F.sum("links").alias("links"))
     named = stored(

@@ -56,10 +56,10 @@ def open_store(path: str):
 
 # --- records -------------------------------------------------------------------------------
 
-def record(record_id: int, uri: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(record_id: int | None, uri: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC record: a response, or a revisit, which names the record it repeats instead of a payload."""
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{record_id}>", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if record_id is None else record_id}>", f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {json.dumps(uri)[1:-1]}", f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {len(payload)}", "Content-Type: application/http;msgtype=response"]
     if refers_to is not None:
@@ -76,8 +76,9 @@ class Record:
     payload: bytes
 
     @property
-    def id(self) -> int:
-        return int(self.headers["WARC-Record-ID"].removeprefix("<urn:page:").removesuffix(">"))
+    def id(self) -> int | None:
+        named = self.headers["WARC-Record-ID"].removeprefix("<urn:page:").removesuffix(">")
+        return int(named) if named else None
 
     @property
     def uri(self) -> str:
@@ -259,7 +260,7 @@ def write_archives(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_B
 
     Of records with equal payloads of at least least_bytes the one with the largest page_id is a
     response, the others revisit it. Null html: empty payload; null url: empty. Rows without
-    page_id are an error. Repeated rows are records of their own; further columns are ignored.
+    page_id are responses. Repeated rows are records of their own; further columns are ignored.
     No pages, no packages. Each task writes packages under new names and only those in the
     stored manifest count, so a task that is repeated leaves at most an unlisted file behind.
     """

@@ -68,6 +68,8 @@ def test_repeats_extra_columns_and_empty_tables(spark):
     items = spark.createDataFrame([(7, "One two, three four five six")] * 2, ITEMS)
     assert [tuple(r)[:2] for r in decontam.find_leaks(docs, items).collect()] == [(1, 7)]
     assert decontam.drop_leaks(docs, items).columns == docs.columns
+    unnamed = spark.createDataFrame([(None, "one two three four five six"), (None, "x"), (2, "y")], ITEMS)
+    assert [tuple(r)[:2] for r in decontam.find_leaks(docs, unnamed).collect()] == [(1, None)]
     none = spark.createDataFrame([], ITEMS)
     assert decontam.find_leaks(docs, none).count() == 0 and decontam.drop_leaks(docs, none).count() == 2
     assert decontam.find_leaks(docs.limit(0), items).count() == 0

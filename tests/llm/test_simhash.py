@@ -89,3 +89,18 @@ def test_rows_repeat_extra_columns_and_empty(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
     twice = spark.createDataFrame([(3, "a b c"), (3, "a b c")], SCHEMA)
     assert simhash.drop_near_copies(twice).count() == 1
+
+
+def test_rows_without_id(spark):
+    docs = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (None, "q"), (None, None), (5, "a b c")], SCHEMA)
+    got = sorted(((r.doc_id or 0), r.component or 0) for r in simhash.simhash_groups(docs).collect())
+    assert got == [(0, 0), (0, 0), (0, 4), (4, 4), (5, 4)]
+    assert sorted(r.doc_id or 0 for r in simhash.drop_near_copies(docs).collect()) == [0, 0, 0, 4]
+
+
+def test_parts_of_a_long_text(monkeypatch):
+    text = " ".join(f"w{i % 17}" for i in range(1000))
+    want = simhash.fingerprint(text)
+    for part in (1, 7, 998, 999):
+        monkeypatch.setattr(simhash, "PART", part)
+        assert simhash.fingerprint(text) == want and want % 2**64 == brute_mark(text)

@@ -79,5 +79,11 @@ def test_recall_at_the_threshold():
     assert met.mean() > 0.985  # pairs of exactly 0.95; closer ones meet more often
 
 
+def test_rows_without_id(spark):
+    rows = [(None, [1.0, 2.0]), (3, [1.0, 2.0]), (None, [9.0, -1.0]), (None, None)]
+    got = vectors.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component or 0) for r in got) == [(0, 0, 0), (0, 0, 0), (0, 1, 3), (3, 1, 3)]
+
+
 def test_empty_table(spark):
     assert vectors.embedding_groups(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0

@@ -44,6 +44,9 @@ def test_repeated_rows_and_empty_table(spark):
     manifest = warc.write_archives(spark.createDataFrame(rows, SCHEMA), shared_folder(spark, "t"))
     got = warc.read_archives(manifest).collect()
     assert sorted((r.page_id, r.record_type) for r in got) == [(1, "response"), (1, "response"), (2, "response")]
+    unnamed = spark.createDataFrame([(None, None, "a"), (1, "u", "a"), (None, "v", "a")], SCHEMA)
+    got = warc.read_archives(warc.write_archives(unnamed, shared_folder(spark, "t"))).collect()
+    assert sorted((r.page_id or 0, r.record_type) for r in got) == [(0, "response")] * 2 + [(1, "response")]
     none = warc.write_archives(spark.createDataFrame([], SCHEMA), shared_folder(spark, "t"))
     assert none.count() == 0 and warc.read_archives(none).count() == 0
 
