@@ -21,7 +21,7 @@ from fieldtide.operators import (
 )
 from fieldtide.plans import oracle as o
 from fieldtide.plans.feature_queries import (
-    _HASH, _ROWS, _SUMMARY, _TRAIN0, train_rows, train_window,
+    _HASH, _ROWS, _SUMMARY, _TRAIN0,
 )
 from fieldtide.plans.registry import query
 from fieldtide.plans.series_queries import (
@@ -230,8 +230,9 @@ def time_roll(spark, sf_dir):
 
 # --- models --------------------------------------------------------------------------
 
-def _centroids(spark, sf_dir):
-    labelled = labels.label_windows(train_window(spark, sf_dir), FRAMES_TO_CHECK)
+def _centroids(train):
+    window = wn.cut(train.withColumn("start_day", F.lit(0)), SPEC)
+    labelled = labels.label_windows(window, FRAMES_TO_CHECK)
     return model.class_centroids(ft.pick_rows(labelled, "label"))
 
 
@@ -254,10 +255,11 @@ _PREFIXED = ", ".join(f"avg({c}::DOUBLE) FILTER ({c} <> 0) AS m_{c}" for c in CH
 SELECT {o.KEY}, start_day, candidate AS prediction, round(distance, 2) AS distance FROM dist WHERE distance IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY {o.KEY}, start_day ORDER BY distance, candidate) = 1"""))
 def centroid_score(spark, sf_dir):
-    swept = wn.sweep_start_days(series(spark, sf_dir))
-    ex = ft.make_examples(swept, SPEC, start_day=F.col("start_day"), keep=SERIES)
+    whole = _stored_series(spark, sf_dir)
+    ex = ft.make_examples(
+        wn.sweep_start_days(whole), SPEC, start_day=F.col("start_day"), keep=SERIES)
     scored = model.centroid_score(
-        ex, _centroids(spark, sf_dir), SPEC.size, [*SERIES, "start_day"])
+        ex, _centroids(tables.drop_double_crops(whole)), SPEC.size, [*SERIES, "start_day"])
     return scored.withColumn("distance", _r("distance", 2))
 
 
@@ -265,49 +267,60 @@ def centroid_score(spark, sf_dir):
 FIRST_HELD_OUT = 1999
 
 
-def _stored_examples(spark, sf_dir):
-    root = shared_folder(spark, "training")
-    stats = ft.norm_stats(train_rows(spark, sf_dir))
-    ex = ft.make_examples(train_series(spark, sf_dir), SPEC, stats, start_day=F.lit(0), keep=SERIES)
+def _stored_series(spark, sf_dir):
+    """Window series, written once; the crop filter looks at series keys only, so it comes later."""
+    root = shared_folder(spark, "window-series")
+    series(spark, sf_dir).write.parquet(root)
+    return spark.read.parquet(root)
+
+
+def _model_inputs(spark, sf_dir):
+    """(all series, statistics, training examples with their split), each read from its table."""
+    whole = _stored_series(spark, sf_dir)
+    train = tables.drop_double_crops(whole)
+    window = wn.cut(train.withColumn("start_day", F.lit(0)), SPEC)
+    root = shared_folder(spark, "statistics")
+    ft.norm_stats(ft.pick_rows(window, *SERIES)).write.parquet(root)
+    stats = spark.read.parquet(root)
+    ex = ft.make_examples(train, SPEC, stats, start_day=F.lit(0), keep=SERIES)
     split = F.when(F.col("year") < FIRST_HELD_OUT, "train").otherwise("val")
+    root = shared_folder(spark, "training")
     sinks.write_training_set(ex.withColumn("split", split), root)
-    return spark.read.parquet(root)
+    return whole, stats, spark.read.parquet(root)
 
 
 @query("train_classifier")
 def train_classifier(spark, sf_dir):
     """Fitted on the early years, judged on the later ones it has not seen."""
-    stored = _stored_examples(spark, sf_dir)
+    _, _, stored = _model_inputs(spark, sf_dir)
     fitted = model.train_classifier(stored.where("split = 'train'"), "logistic", SPEC.size * WIDTH)
     scored = model.score(fitted, stored.where("split = 'val'")).withColumn(
         "prediction", vectors.argmax(F.col("probs")))
     return scored.groupBy("label", "prediction").count()
 
 
+def _swept_examples(whole, stats):
+    swept = wn.sweep_start_days(whole)
+    return ft.make_examples(swept, SPEC, stats, start_day=F.col("start_day"), keep=SERIES)
+
+
 @query("score_sweep")
 def score_sweep(spark, sf_dir):
     """All series at all start days under a fitted forest, as a result table."""
-    train = _stored_examples(spark, sf_dir).where("split = 'train'")
-    fitted = model.train_classifier(train, "forest", SPEC.size * WIDTH)
-    return _scored(spark, sf_dir, SWEEP_START_DAYS, fitted).select(
+    whole, stats, stored = _model_inputs(spark, sf_dir)
+    fitted = model.train_classifier(stored.where("split = 'train'"), "forest", SPEC.size * WIDTH)
+    scored = model.score(fitted, _swept_examples(whole, stats)).withColumnRenamed("label", "true_label")
+    named = assess.label_names(assess.predict(scored, F.col("year"), SPEC.days))
+    return named.select(
         *SERIES, "start_day", "true_label", "prediction", "predicted_label",
         _r("confidence_score").alias("confidence_score"))
 
 
-def _scored(spark, sf_dir, days, fitted):
-    stats = ft.norm_stats(train_rows(spark, sf_dir))
-    swept = wn.sweep_start_days(series(spark, sf_dir), days)
-    ex = ft.make_examples(swept, SPEC, stats, start_day=F.col("start_day"), keep=SERIES)
-    scored = model.score(fitted, ex).withColumnRenamed("label", "true_label")
-    return assess.label_names(assess.predict(scored, F.col("year"), SPEC.days))
-
-
 @query("score_external")
 def score_external(spark, sf_dir):
     """The sweep under a model from outside Spark, here a fixed projection of the features."""
-    stats = ft.norm_stats(train_rows(spark, sf_dir))
-    swept = wn.sweep_start_days(series(spark, sf_dir))
-    ex = ft.make_examples(swept, SPEC, stats, start_day=F.col("start_day"), keep=SERIES)
+    whole, stats, _ = _model_inputs(spark, sf_dir)
+    ex = _swept_examples(whole, stats)
     width, classes = SPEC.size * WIDTH, len(LEGEND)
 
     def predict(matrix):
