@@ -52,11 +52,12 @@ _MEANING = {word: group for group, words in MEANINGS.items() for word in words.s
 
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+')*+>|[^>]*+(?:>|\Z))"
+    r"|<(/?)([a-zA-Z][^\s/>]*)"  # its attributes: see _Attributes
     r"|<[!?/][^>]*+(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_STOP = re.compile(r"""[>"']""")
+_PAIRS = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_NONE = re.compile(r"display\s*:\s*none", re.I)
 
 
 @dataclass
@@ -80,14 +81,42 @@ def _path_of(stack: list[tuple[str, tuple[str, ...]]]) -> tuple[str, ...]:
     return tuple(sorted(out))
 
 
+class _Attributes:
+    """Ends of tags in a page, in time linear in the page.
+
+    A quoted value of any length may hold `>`. A tag with a quote that nothing closes, or without
+    `>` behind its values, ends at its first `>`. Quotes from which no end was found are kept, so
+    no later tag follows them again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.open = page, set()
+
+    def end(self, at: int) -> int:
+        """Position behind the `>` of the tag whose attributes begin at `at`, or of the page's end."""
+        seen, i = [], at
+        while (stop := _STOP.search(self.page, i)) is not None and stop.start() not in self.open:
+            if stop.group() == ">":
+                return stop.end()
+            seen.append(stop.start())
+            i = self.page.find(stop.group(), stop.end()) + 1
+            if not i:
+                break
+        self.open.update(seen)
+        return self.page.find(">", at) + 1 or len(self.page)
+
+
 def _meanings(attributes: str) -> tuple[str, ...]:
     if len(attributes) < 5:
         return ()
-    found = {
-        f"is={_MEANING[w]}" for m in _NAMES.finditer(attributes[:4000])
-        for w in map(str.lower, _WORDS.findall("".join(m.groups("")))) if w in _MEANING}
-    if _HIDDEN.search(attributes[:4000]):
-        found.add("is=hidden")
+    found = set()
+    for name, *values in _PAIRS.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name in ("class", "id", "role"):
+            found.update(f"is={_MEANING[w]}" for w in map(str.lower, _WORDS.findall(value)) if w in _MEANING)
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or (
+                name == "style" and _NONE.search(value)):
+            found.add("is=hidden")
     return tuple(sorted(found))
 
 
@@ -121,7 +150,7 @@ def blocks_of(page: str) -> list[Block]:
             if stack[k][0] in stop:
                 return
 
-    at, end = 0, len(page)
+    at, end, attributes = 0, len(page), _Attributes(page)
     while at < end:
         m = _TAG.search(page, at)
         if m is None:
@@ -131,15 +160,18 @@ def blocks_of(page: str) -> list[Block]:
             say(page[at:m.start()])
         at = m.end()
         tag = m.group(2)
-        if tag is None or not m.group(0).endswith(">"):
+        if tag is None:
+            continue
+        at = attributes.end(m.end())
+        if page[at - 1] != ">":
             continue
-        tag = tag.lower()
+        tag, inside = tag.lower(), page[m.end():at]
         if m.group(1):
             if tag in BLOCKS:
                 flush()
             pop_to((tag,), frozenset())
             continue
-        if tag in RAW and not m.group(3).endswith("/>"):
+        if tag in RAW and not inside.endswith("/>"):
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = close.end() if close else end
             continue
@@ -153,7 +185,7 @@ def blocks_of(page: str) -> list[Block]:
             if tag in SELF_CLOSING:
                 pop_to(SELF_CLOSING[tag], SCOPE)
         if tag not in VOID:
-            stack.append((tag, _meanings(m.group(3))))
+            stack.append((tag, _meanings(inside)))
     flush()
     return out
 

@@ -91,3 +91,16 @@ def test_odd_rows(spark, chain):
     assert [r.text for r in got[:3]] == ["", "", ""] and got[3].n == 8 + 1600_000 - 1 and len(got) == 5
     assert pages.extract(docs.limit(0), chain).count() == 0
     assert np.isfinite(list(chain.weights.values())).all()
+
+
+@pytest.mark.parametrize("quote", ['"', "'"])
+def test_long_attributes(quote):
+    value = "x" * 5000 + ", then <b>leak</b>"
+    block, last = pages.blocks_of(f"<div data-x={quote}{value}{quote} class={quote}ad{quote}>ad</div>text")
+    assert block.text == "ad" and "is=advert" in block.path and last.text == "text"
+    inside = pages.blocks_of('<p data-json="' + "y" * 5000 + " hidden class='ad' display:none" + '">kept</p>')[0]
+    assert inside.text == "kept" and not [f for f in inside.path if f.startswith("is=")]
+
+
+def test_open_quotes_are_followed_once():
+    assert texts('<p a=">">b</p>' + '<a ">"' * 60_000 + "'")[0] == "b"
