@@ -8,6 +8,7 @@ tightest gaps. Each piece then finds its place from its length and its rank amon
 
 from __future__ import annotations
 
+import re
 from array import array
 from bisect import bisect_left, insort
 
@@ -23,6 +24,7 @@ END_ID = 1
 CACHED_WORDS = 1_000_000  # per Python worker, some 200 MB; the cache starts anew beyond it
 LONG_WORD = 64  # bytes; longer ones are not kept
 MARKS = b".,;:!?"
+_MAY_COMPOSE = re.compile(rb"[A-Z][\x80-\xff]")  # before another ASCII byte a letter stands alone
 GROUP = 1 << 18  # bytes of text encoded together
 PIECES = "doc_id long, piece int, start long, length int, ids binary, part int, nth long"
 
@@ -31,7 +33,8 @@ class _Encoder(dict):
     """Word -> its ids as little-endian uint32 bytes.
 
     The tokenizer composes, lowers the case, and drops white space before it merges, so a text's
-    ids are those of its words, and words that differ in A-Z only have the same ids. Special
+    ids are those of its words, and ASCII words that differ in A-Z only have the same ids. In other
+    words a mark behind a letter may compose with one case alone, so those keep their case. Special
     tokens are told by their case, so texts that may hold one keep it.
     """
 
@@ -54,7 +57,12 @@ class _Encoder(dict):
         words: list[bytes] = []
         ends = [0]
         for data in texts:
-            words += (data if b"<|" in data else data.lower()).split()
+            if b"<|" in data:
+                words += data.split()
+            elif _MAY_COMPOSE.search(data):
+                words += [w.lower() if w.isascii() else w for w in data.split()]
+            else:
+                words += data.lower().split()
             ends.append(len(words))
         found = list(map(self.get, words))
         if None in found:

@@ -103,3 +103,13 @@ def test_long_texts_are_sliced(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "some words here " * 30), (2, "x")], "doc_id long, text string").coalesce(1)
     rows = {r.doc_id: r for r in packing.pack(docs, tokenizer_path()).collect()}
     assert rows[1].length == 91 and rows[2].length == 2
+
+
+def test_marks_that_compose_with_one_case():
+    import tokenizers
+
+    tokenizer = tokenizers.Tokenizer.from_file(tokenizer_path())
+    rows = ["H\u0331a The", "T\u0308 x", "J\u030c", "W\u030aORD Word", "h\u0331a", "H\u1dfa\u0331", "CAF\u00c9 Abc"]
+    got = packing._Encoder(tokenizer_path()).texts([r.encode() for r in rows])
+    assert [np.frombuffer(g, dtype="<u4").tolist() for g in got] == [
+        tokenizer.encode(r, add_special_tokens=False).ids for r in rows]
