@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtide.llm import chat, decontam, langid, packing, pages, quality, simhash, urls, vectors, warc
+from fieldtide.llm import bpe, chat, decontam, langid, packing, pages, quality, simhash, urls, vectors, warc
 from fieldtide.llm.common import read_table, stored
 from fieldtide.session import shared_folder
 
@@ -160,3 +160,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(read_table(spark, sf_dir, "pages"), shared_folder(spark, "warc"))
     return warc.read_archives(manifest).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op13_bpe")
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents")
+    coded = bpe.encode(
+        docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
+    return coded.select(
+        "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
