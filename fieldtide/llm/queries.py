@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtide.llm import bpe, chat, decontam, langid, packing, pages, quality, simhash, urls, vectors, warc
+from fieldtide.llm import align, bpe, chat, decontam, langid, packing, pages, quality, simhash, urls, vectors, warc
 from fieldtide.llm.common import read_table, stored
 from fieldtide.session import shared_folder
 
@@ -162,6 +162,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.align(
+        read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op13_bpe")
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
