@@ -9,7 +9,7 @@ import corpus_pipeline as pipeline
 from fieldtide.llm import langid, quality
 from fieldtide.llm.queries import tokenizer_path
 from tests.llm.test_decontam import brute as brute_leaks
-from tests.llm.test_simhash import brute_groups, brute_mark
+from tests.llm.test_neardup import brute_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,8 +52,7 @@ def test_quality(spark, steps):
 
 
 def test_near_copies(steps):
-    rows = steps[2].collect()
-    groups = brute_groups({r.doc_id: brute_mark(r.text) for r in rows}, 3)
+    groups = brute_groups([(r.doc_id, r.text) for r in steps[2].collect()])
     assert ids(steps[3]) == {i for i, root in groups.items() if i == root}
     assert steps[3].count() == len(ids(steps[3]))
 
@@ -80,3 +79,22 @@ def test_packing(steps):
 def test_run_gives_the_last_stage(spark, steps):
     got = {(r.doc_id, r.piece, r.ids_crc32) for r in pipeline.run(spark, SF).collect()}
     assert got == {(r.doc_id, r.piece, r.ids_crc32) for r in steps[5].collect()}
+
+
+def test_empty_tables(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_nulls_and_repeats(spark, tmp_path):
+    """Rows with nulls in any column and repeated rows go through every stage."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs.limit(3).selectExpr("cast(null as bigint) doc_id", "text", "cast(null as string) lang", "source", "n_chars")
+    odd = odd.union(docs.limit(2)).union(docs.limit(2).selectExpr("doc_id + 90000", "cast(null as string)", "lang", "cast(null as string)", "cast(null as bigint)"))
+    docs.union(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = pipeline.run(spark, str(tmp_path)).collect()
+    places = [(r.doc_id, r.piece) for r in rows if r.doc_id is not None]
+    assert len(places) == len(set(places)) and not any((d or 0) >= 90000 for d, _ in places)
