@@ -4,7 +4,8 @@ Items and windows of documents are multisets of five-word shingles. A window of
 item gets a 64-bit SimHash weighted by those counts; a multi-index over blocks of the items'
 fingerprints gives every item within RADIUS bits, and the weighted Jaccard similarity of the
 multisets decides. Windows with too few shingles of the benchmark cannot reach the similarity by
-counting alone, so no fingerprint is made for them; this bound loses nothing.
+counting alone, so no fingerprint is made for them; this bound loses nothing. Windows of one size
+look up the items of that size only.
 
 The benchmark is the stated query set. It is dealt into blocks of bounded text, and each block
 goes over all documents, so what a task holds does not grow with the benchmark.
@@ -21,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldtide.llm.common import stored
+
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 20  # a pair of similarity 0.8 differs in 9.7 of 64 bits, standard deviation 2.9
@@ -70,8 +73,43 @@ def _pack(bits: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
+class Marks:
+    """Multi-index over the fingerprints of the items of one size.
+
+    For each block of the bits and each of its values a set of items, one bit each in words of 64,
+    whose block is near enough; of two fingerprints within the radius one block at least is.
+    """
+
+    def __init__(self, items: np.ndarray, marks: np.ndarray, radius: int):
+        self.items, self.marks, self.radius = items, marks[items], radius
+        width = 64 // INDEX_BLOCKS
+        values = np.arange(1 << width, dtype=np.uint64)
+        self.sets = []
+        for at in range(0, len(items), 64):
+            bit = np.uint64(1) << np.arange(len(self.marks[at:at + 64]), dtype=np.uint64)
+            self.sets.append([
+                (np.bitwise_count(values[:, None] ^ (self.marks[None, at:at + 64] >> np.uint64(k * width)) & values[-1])
+                 <= radius // INDEX_BLOCKS) @ bit for k in range(INDEX_BLOCKS)])
+
+    def within(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in marks, item) of all pairs within the radius, by the pigeonhole bound."""
+        parts = marks.astype("<u8").view(np.uint8).reshape(-1, INDEX_BLOCKS)
+        at, found = [], []
+        for k, sets in enumerate(self.sets):
+            some = sets[0][parts[:, 0]]
+            for block in range(1, INDEX_BLOCKS):
+                some = some | sets[block][parts[:, block]]
+            rows = np.flatnonzero(some)
+            own = self.marks[64 * k:64 * k + 64]
+            listed = (some[rows, None] >> np.arange(len(own), dtype=np.uint64)) & np.uint64(1) > 0
+            row, item = np.nonzero(listed & (np.bitwise_count(marks[rows, None] ^ own) <= self.radius))
+            at.append(rows[row])
+            found.append(self.items[64 * k + item])
+        return np.concatenate(at), np.concatenate(found)
+
+
 class Items:
-    """A block of benchmark items with their fingerprints and the index over them."""
+    """A block of benchmark items with their fingerprints and an index over those of each size."""
 
     def __init__(self, rows: list[tuple[int, str | None]], similarity: float = SIMILARITY, radius: int = RADIUS):
         self.words, self.similarity, self.radius = _Words(), similarity, radius
@@ -88,25 +126,7 @@ class Items:
         self.all = np.unique(np.array([h for b in self.bags for h in b], dtype=np.uint64))
         self.maybe = np.zeros(1 << 22, dtype=bool)  # 4 MB; a first test before the exact one
         self.maybe[self.all >> np.uint64(42)] = True
-        self.index = self._index()
-
-    def _index(self) -> list[list[np.ndarray]]:
-        """For each block and each of its 256 values the items whose block is near enough."""
-        width = 64 // INDEX_BLOCKS
-        values = np.arange(1 << width, dtype=np.uint64)
-        out = []
-        for k in range(INDEX_BLOCKS):
-            own = (self.marks >> np.uint64(k * width)) & np.uint64((1 << width) - 1)
-            near = np.bitwise_count(values[:, None] ^ own[None, :]) <= self.radius // INDEX_BLOCKS
-            out.append([np.flatnonzero(row) for row in near])
-        return out
-
-    def within(self, mark: np.uint64) -> np.ndarray:
-        """Items whose fingerprint is within the radius: all of them, by the pigeonhole bound."""
-        width = 64 // INDEX_BLOCKS
-        some = np.unique(np.concatenate([
-            self.index[k][(int(mark) >> (k * width)) & ((1 << width) - 1)] for k in range(INDEX_BLOCKS)]))
-        return some[np.bitwise_count(self.marks[some] ^ mark) <= self.radius]
+        self.by_size = {int(n): Marks(np.flatnonzero(self.sizes == n), self.marks, radius) for n in np.unique(self.sizes)}
 
     def hits(self, hashes: np.ndarray) -> np.ndarray:
         hit = self.maybe[hashes >> np.uint64(42)]
@@ -126,8 +146,8 @@ class Items:
         if not hit.any():
             return []
         before = np.concatenate([[0], np.cumsum(hit)])
-        for size in np.unique(self.sizes):
-            w = int(min(size, len(hashes)))
+        for size, index in self.by_size.items():
+            w = min(size, len(hashes))
             least = self.similarity * (size + w) / (1 + self.similarity)
             starts = np.flatnonzero(before[w:] - before[:-w] >= least - 1e-9)
             for part in self._runs(starts, w):
@@ -136,17 +156,15 @@ class Items:
                 np.cumsum(_bits(hashes[first:last]), axis=0, dtype=np.int32, out=sums[1:])
                 at = part - first
                 marks = _pack((sums[at + w] - sums[at]) * 2 > w)
-                for start, mark in zip(part.tolist(), marks):
-                    some = self.within(mark)
-                    some = some[self.sizes[some] == size]
-                    if not len(some):
-                        continue
-                    bag = Counter(hashes[start:start + w].tolist())
-                    for k in some.tolist():
-                        common = (bag & self.bags[k]).total()
-                        found = common / (w + int(size) - common)
-                        if found >= self.similarity and found > best.get(k, (0.0, 0))[0]:
-                            best[k] = (found, start)
+                bag_of = None
+                for nth, k in zip(*(x.tolist() for x in index.within(marks))):
+                    start = int(part[nth])
+                    if bag_of != start:
+                        bag_of, bag = start, Counter(hashes[start:start + w].tolist())
+                    common = (bag & self.bags[k]).total()
+                    found = common / (w + size - common)
+                    if found >= self.similarity and found > best.get(k, (0.0, 0))[0]:
+                        best[k] = (found, start)
         return [(self.ids[k], s, at, self.n_words[k]) for k, (s, at) in sorted(best.items())]
 
     @staticmethod
@@ -178,12 +196,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     One row per document and item: the best window, the first one of equals. Null or blank texts
     and items match nothing. Repeated documents or items count once by their ids; further
     columns are ignored. Empty tables give no rows. A document shorter than an item is compared
-    whole.
+    whole. An item of fewer than five words is one shingle of its own length, so it matches only
+    texts that are as short; inside longer texts no five-word similarity with it is defined.
+    The matches of each block of items are stored before the next one goes over the documents.
     """
     found = None
-    for rows in blocks(benchmark):
+    for k, rows in enumerate(blocks(benchmark)):
+        if k == 1:
+            found = stored(found, "leaks-0")
         part = _leaks_of(docs, rows, similarity)
-        found = part if found is None else found.union(part)
+        found = part if found is None else found.union(stored(part, f"leaks-{k}"))
     if found is None:
         found = docs.select(F.col("doc_id").cast("long")).where("false").selectExpr(
             "doc_id", "0L AS item_id", "0D AS similarity", "0L AS first_word", "0 AS words")
@@ -211,9 +233,13 @@ def _leaks_of(docs: DataFrame, rows: list, similarity: float) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Rows of docs that contain no item of the benchmark. Nothing is shuffled."""
-    for rows in blocks(benchmark):
-        docs = docs.where(~_contains(rows, similarity)(F.col("text")))
+    """Rows of docs that contain no item of the benchmark. Nothing is shuffled.
+
+    What is left after a block of items is stored before the next one, so a plan holds one block.
+    Null and blank texts contain nothing; repeated rows and rows without doc_id are judged alike.
+    """
+    for k, rows in enumerate(blocks(benchmark)):
+        docs = (docs if k == 0 else stored(docs, f"clean-{k}")).where(~_contains(rows, similarity)(F.col("text")))
     return docs
 
 

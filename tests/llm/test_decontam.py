@@ -73,3 +73,29 @@ def test_repeats_extra_columns_and_empty_tables(spark):
     none = spark.createDataFrame([], ITEMS)
     assert decontam.find_leaks(docs, none).count() == 0 and decontam.drop_leaks(docs, none).count() == 2
     assert decontam.find_leaks(docs.limit(0), items).count() == 0
+
+
+def test_index_gives_all_marks_within_the_radius():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    marks = rng.integers(0, 2**64, 150, dtype=np.uint64)
+    near = marks[rng.integers(0, 150, 400)] ^ np.bitwise_or.reduce(
+        np.uint64(1) << rng.integers(0, 64, (400, 22)).astype(np.uint64), axis=1)
+    own = np.arange(3, 143)
+    got = set(zip(*(x.tolist() for x in decontam.Marks(own, marks, 20).within(near))))
+    assert got == {(i, int(k)) for i, m in enumerate(near) for k in own if int(m ^ marks[k]).bit_count() <= 20}
+    assert len(got) > 100
+
+
+def test_blocks_of_items_are_stored_between(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(
+        ["one two three four five six seven", "a b c d e f g h", "x one two three four five six seven y " * 3, None])],
+        "doc_id long, text string")
+    items = spark.createDataFrame(
+        [(1, "one two three four five six seven"), (2, "a b c d e f g h"), (3, "a b")], "item_id long, text string")
+    whole = sorted(map(tuple, decontam.find_leaks(docs, items).collect()))
+    kept = sorted(map(tuple, decontam.drop_leaks(docs, items).collect()), key=str)
+    monkeypatch.setattr(decontam.blocks, "__defaults__", (12,))
+    assert sorted(map(tuple, decontam.find_leaks(docs, items).collect())) == whole and len(whole) == 3
+    assert sorted(map(tuple, decontam.drop_leaks(docs, items).collect()), key=str) == kept and len(kept) == 1
