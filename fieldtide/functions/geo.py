@@ -14,6 +14,12 @@ GRS80_FLATTENING = 1 / 298.257222101
 ALBERS_PARALLELS = (29.5, 45.5)
 ALBERS_ORIGIN = (23.0, -96.0)
 
+# Universal transverse Mercator on the WGS84 ellipsoid: fixed values (EPSG:326zz and 327zz).
+WGS84_FLATTENING = 1 / 298.257223563
+UTM_SCALE = 0.9996
+UTM_FALSE_EASTING = 500_000.0
+UTM_SOUTH_NORTHING = 10_000_000.0
+
 
 def parse_bbox(text: Column) -> Column:
     """"a,b,c,d" (blanks allowed) to four integers."""
@@ -83,3 +89,93 @@ def albers_to_lonlat(x: Column, y: Column):
            + F.sin(beta * 6) * k["s6"])
     lon = F.degrees(F.atan2(x, rest) / k["n"]) + ALBERS_ORIGIN[1]
     return lon, F.degrees(lat)
+
+
+def mercator_series(flattening: float) -> dict[str, float | list[float]]:
+    """Constants of the Krüger series to the fourth order of the third flattening n.
+
+    a: rectifying radius per unit of the equatorial one; forward, back: from conformal to
+    rectified coordinates and back; lat: from conformal to geodetic latitude. Beyond the fourth
+    order less than a micrometre is left within 3000 km of the central meridian.
+    """
+    n = flattening / (2 - flattening)
+    return {
+        "e": math.sqrt(flattening * (2 - flattening)),
+        "a": (1 + n**2 / 4 + n**4 / 64) / (1 + n),
+        "forward": [
+            n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180,
+            13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440,
+            61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280],
+        "back": [
+            n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360,
+            n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440,
+            17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280],
+        "lat": [
+            2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45,
+            7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45,
+            56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630],
+    }
+
+
+def _complex_sine(c: list[float], xi: Column, eta: Column) -> tuple[Column, Column]:
+    """Real and imaginary part of the sum of c[j] sin(2 (j + 1) (xi + i eta))."""
+    real, imaginary = F.lit(0.0), F.lit(0.0)
+    for j, k in enumerate(c, 1):
+        real += F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * k
+        imaginary += F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * k
+    return real, imaginary
+
+
+def transverse_mercator(
+    lon: Column, lat: Column, meridian: Column, scale: float = UTM_SCALE,
+    radius: float = EARTH_RADIUS, flattening: float = WGS84_FLATTENING,
+) -> tuple[Column, Column]:
+    """(x, y) in metres from the central meridian and the equator."""
+    k = mercator_series(flattening)
+    sine, along = F.sin(F.radians(lat)), F.radians(lon - meridian)
+    t = F.sinh(F.atanh(sine) - F.atanh(sine * k["e"]) * k["e"])
+    xi, eta = F.atan2(t, F.cos(along)), F.atanh(F.sin(along) / F.sqrt(t * t + 1))
+    real, imaginary = _complex_sine(k["forward"], xi, eta)
+    return (eta + imaginary) * (scale * radius * k["a"]), (xi + real) * (scale * radius * k["a"])
+
+
+def inverse_transverse_mercator(
+    x: Column, y: Column, meridian: Column, scale: float = UTM_SCALE,
+    radius: float = EARTH_RADIUS, flattening: float = WGS84_FLATTENING,
+) -> tuple[Column, Column]:
+    """(lon, lat) in degrees of metres from the central meridian and the equator."""
+    k = mercator_series(flattening)
+    xi, eta = y / (scale * radius * k["a"]), x / (scale * radius * k["a"])
+    real, imaginary = _complex_sine(k["back"], xi, eta)
+    xi, eta = xi - real, eta - imaginary
+    chi = F.asin(F.sin(xi) / F.cosh(eta))
+    lat = chi
+    for j, d in enumerate(k["lat"], 1):
+        lat += F.sin(chi * (2 * j)) * d
+    return F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + meridian, F.degrees(lat)
+
+
+def utm_meridian(epsg: Column) -> Column:
+    """Central meridian of a UTM zone by its EPSG code; null for any other system."""
+    utm = epsg.between(32601, 32660) | epsg.between(32701, 32760)
+    return F.when(utm, (epsg % 100) * 6 - 183)
+
+
+def _southern(epsg: Column) -> Column:
+    return F.when(epsg >= 32700, UTM_SOUTH_NORTHING).otherwise(0.0)
+
+
+def lonlat_to_crs(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
+    """(x, y) in the system of each row: a UTM zone, or degrees (4326). Others give null."""
+    x, y = transverse_mercator(lon, lat, utm_meridian(epsg))
+    degrees = epsg == 4326
+    return (F.when(degrees, lon).otherwise(x + UTM_FALSE_EASTING),
+            F.when(degrees, lat).otherwise(y + _southern(epsg)))
+
+
+def crs_to_lonlat(x: Column, y: Column, epsg: Column) -> tuple[Column, Column]:
+    """(lon, lat) in degrees of coordinates in the system of each row, as in `lonlat_to_crs`."""
+    lon, lat = inverse_transverse_mercator(
+        x - UTM_FALSE_EASTING, y - _southern(epsg), utm_meridian(epsg))
+    degrees = epsg == 4326
+    return F.when(degrees, x).otherwise(lon), F.when(degrees, y).otherwise(lat)

@@ -89,6 +89,30 @@ def sample_at_points(
     return placed.join(cells.select(*keys, "code"), keys, "left")
 
 
+def sample_rasters(
+    points: DataFrame, rasters: DataFrame, cells: DataFrame, on: Sequence[str],
+) -> DataFrame:
+    """Value of every raster at every point it is asked for, each in its own system and grid.
+
+    points: lon and lat in degrees and the columns `on`, which tell the rasters a point is asked
+    of (its tile, its scene). rasters: one row per raster and value of `on` with raster, epsg, origin_x, origin_y (upper left corner) and cell (its side, in units
+    of the system). cells: raster, row, col, code. A point outside a raster, a raster that could
+    not be read (it has no cells), a missing coordinate and a system that is neither degrees nor
+    a UTM zone give a null code. The result has the point's columns, raster, row, col and code.
+
+    Points meet the grid table first, so the cell lookup is one equi-join on (raster, row, col),
+    dealt by all three; the grid table is small and adaptive execution broadcasts it if it is.
+    """
+    grid = rasters.select(*on, "raster", "epsg", "origin_x", "origin_y", "cell")
+    asked = points.join(grid, list(on))
+    x, y = geo.lonlat_to_crs(F.col("lon"), F.col("lat"), F.col("epsg"))
+    row = F.floor((F.col("origin_y") - F.col("_y")) / F.col("cell")).cast("bigint")
+    col = F.floor((F.col("_x") - F.col("origin_x")) / F.col("cell")).cast("bigint")
+    placed = asked.withColumns({"_x": x, "_y": y}).select(
+        *points.columns, "raster", row.alias("row"), col.alias("col"))
+    return placed.join(cells.select("raster", "row", "col", "code"), ["raster", "row", "col"], "left")
+
+
 def crop_window(
     cells: DataFrame, size: int | None, top: int = 0, left: int = 0,
 ) -> DataFrame:

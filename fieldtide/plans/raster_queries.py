@@ -123,6 +123,67 @@ def sample_rasters_at_points(spark, sf_dir):
     return hit.groupBy("raster", "row", "col", "code").agg(F.count(F.lit(1)).alias("points"))
 
 
+#: Rasters of two tiles, each in the zone of its tile at three cell sizes, and one per tile that
+#: could not be read: (tile, raster, epsg, origin_x, origin_y, cell).
+GRIDS = [
+    (tile, f"{tile}-{cell}", epsg, x, y, float(cell))
+    for tile, epsg, x, y in (("15SYV", 32615, 717_500.0, 3_933_800.0), ("16SBE", 32616, 173_500.0, 3_936_400.0))
+    for cell in (10, 20, 60, 30)]
+UNREAD = 30
+_LON0, _LAT0 = "(-90.6e0 + (l_suppkey % 100)*0.0003e0)", "(35.5e0 + (l_partkey % 200)*0.0001e0)"
+
+
+def _mercator_sql() -> tuple[str, str]:
+    """Easting and northing of lon, lat in the zone of epsg, from the same constants."""
+    k = geo.mercator_series(geo.WGS84_FLATTENING)
+    size = f"{geo.UTM_SCALE * geo.EARTH_RADIUS * k['a']!r}::DOUBLE"
+    real = " + ".join(f"sin(xi*{2 * j})*cosh(eta*{2 * j})*{c!r}::DOUBLE" for j, c in enumerate(k["forward"], 1))
+    imaginary = " + ".join(f"cos(xi*{2 * j})*sinh(eta*{2 * j})*{c!r}::DOUBLE" for j, c in enumerate(k["forward"], 1))
+    return f"(500000e0 + (eta + {imaginary})*{size})", f"((xi + {real})*{size})"
+
+
+_EAST, _NORTH = _mercator_sql()
+_E = repr(geo.mercator_series(geo.WGS84_FLATTENING)["e"]) + "::DOUBLE"
+_PLACED = [
+    "grids(tile, raster, epsg, ox, oy, cell) AS (VALUES " + ", ".join(
+        f"('{t}', '{r}', {e}, {x!r}::DOUBLE, {y!r}::DOUBLE, {c!r}::DOUBLE)" for t, r, e, x, y, c in GRIDS) + ")",
+    f"""pts AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN '15SYV' ELSE '16SBE' END AS tile,
+  {_LON0} AS lon, {_LAT0} AS lat FROM lineitem)""",
+    f"""turned AS (SELECT *, sinh(atanh(sin(radians(lat))) - atanh(sin(radians(lat))*{_E})*{_E}) AS t,
+  radians(lon - ((epsg % 100)*6 - 183)) AS along FROM pts JOIN grids USING (tile))""",
+    "angles AS (SELECT *, atan2(t, cos(along)) AS xi, atanh(sin(along)/sqrt(t*t + 1)) AS eta FROM turned)",
+    f"""placed AS (SELECT raster, floor((oy - {_NORTH})/cell)::BIGINT AS "row", floor(({_EAST} - ox)/cell)::BIGINT AS col,
+  raster LIKE '%-{UNREAD}' AS failed FROM angles)""",
+]
+
+
+@query("sample_rasters_by_crs", o.with_(o.CELLS, *_PLACED, select="""
+SELECT raster, p."row", p.col, CASE WHEN NOT failed THEN c.code END AS code, count(*) AS points
+FROM placed p LEFT JOIN cells c ON p."row" = c."row" AND p.col = c.col GROUP BY ALL"""))
+def sample_rasters_by_crs(spark, sf_dir):
+    """Every point in all rasters of its tile: two zones, three cell sizes, one failed raster."""
+    grids = spark.createDataFrame(
+        GRIDS, "tile string, raster string, epsg int, origin_x double, origin_y double, cell double")
+    pts = derived.table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_linenumber") % 2 == 0, "15SYV").otherwise("16SBE").alias("tile"),
+        F.expr(_LON0).alias("lon"), F.expr(_LAT0).alias("lat"))
+    read = [g[1] for g in GRIDS if g[5] != UNREAD]
+    cells = _cells(spark, sf_dir).select("row", "col", "code", F.explode(F.array(*map(F.lit, read))).alias("raster"))
+    hit = rs.sample_rasters(pts, grids, cells, ["tile"])
+    return hit.groupBy("raster", "row", "col", "code").agg(F.count(F.lit(1)).alias("points"))
+
+
+@query("utm_cells", o.with_(o.CELLS, select=f"""
+SELECT "row", col, round({_LON}, 6) AS lon, round({_LAT}, 6) AS lat FROM cells"""))
+def utm_cells(spark, sf_dir):
+    """Cell centres through zone 15 and back are where they were."""
+    c = rs.raster_cells(_cells(spark, sf_dir), ORIGIN_X, ORIGIN_Y, CELL)
+    x, y = geo.lonlat_to_crs(F.col("lon"), F.col("lat"), F.lit(32615))
+    lon, lat = geo.crs_to_lonlat(F.col("east"), F.col("north"), F.lit(32615))
+    there = c.select("row", "col", x.alias("east"), y.alias("north"))
+    return there.select("row", "col", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
 @query("random_crop", o.with_(o.CELLS, """
 corner AS (SELECT ('0x' || substr(md5('42|top'), 1, 8))::BIGINT % greatest(1, max("row") - 10) AS t,
   ('0x' || substr(md5('42|left'), 1, 8))::BIGINT % greatest(1, max(col) - 10) AS l FROM cells)""", select="""
