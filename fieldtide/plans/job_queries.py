@@ -29,7 +29,7 @@ from fieldtide.plans.series_queries import (
 )
 from fieldtide.session import shared_folder
 from fieldtide.sources import derived, sinks, tables
-from fieldtide.streaming import ingest
+from fieldtide.streaming import commits, ingest
 
 WIDTH = len(CHANNELS)
 
@@ -399,13 +399,27 @@ def stream_dedup_scene(spark, sf_dir):
     return spark.read.parquet(root).select("id")
 
 
+@query("stream_dedup_observations", o.with_(o.OBS, select="""
+SELECT DISTINCT bbox, "year", tile, scene_date, lon, lat, 1::BIGINT AS images FROM obs"""))
+def stream_dedup_observations(spark, sf_dir):
+    """One observation per pixel, tile and date; the second run has lost its checkpoint."""
+    root, mark = shared_folder(spark, "unique-obs"), shared_folder(spark, "progress")
+    for attempt in (0, 1):
+        rows = ingest.read_files(spark, sf_dir, schemas.SOURCES["lineitem"], "lineitem.parquet")
+        ingest.dedup_observations(derived.observations_of(rows), root, f"{mark}-{attempt}", "4000 days")
+    return spark.read.parquet(root).groupBy(*ingest.OBSERVATION).agg(F.count(F.lit(1)).alias("images"))
+
+
 @query("stream_series_refresh", o.with_(*o.SERIES_CTES, select=f"""
 SELECT {o.KEY}, num_images, last_day FROM img GROUP BY ALL"""))
 def stream_series_refresh(spark, sf_dir):
+    """Refreshed from a stream, compacted, and refreshed again without its checkpoint."""
     root = shared_folder(spark, "refresh")
-    rows = ingest.read_files(spark, sf_dir, schemas.SOURCES["lineitem"], "lineitem.parquet")
-    ingest.refresh_series(derived.observations_of(rows), f"{root}/obs", f"{root}/series",
-                          f"{root}/progress")
+    for attempt in (0, 1):
+        rows = ingest.read_files(spark, sf_dir, schemas.SOURCES["lineitem"], "lineitem.parquet")
+        ingest.refresh_series(derived.observations_of(rows), f"{root}/obs", f"{root}/series",
+                              f"{root}/progress-{attempt}")
+        commits.compact(spark, f"{root}/obs", ingest.AOI_YEAR)
     return spark.read.parquet(f"{root}/series").select(*SERIES, "num_images", "last_day")
 
 

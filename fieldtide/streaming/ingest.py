@@ -1,12 +1,13 @@
 """Restartable ingestion with Structured Streaming.
 
-Every sink below is idempotent: a batch that runs again after a failure leaves
-the table as one successful run would.
+Every sink below is idempotent: a batch that runs again after a failure, or files that come again
+in other batches after the checkpoint is lost, leave the table as one successful run would.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldtide.operators import quality, series as sr
-from fieldtide.session import durable
+from fieldtide.session import durable, shared_folder
 from fieldtide.sources import sinks
+from fieldtide.streaming import commits
 
 
 def read_files(
@@ -30,13 +32,39 @@ def read_files(
     return reader.parquet(folder)
 
 
-def drain(stream: DataFrame, sink: Callable, checkpoint: str, mode: str = "append") -> None:
-    """Process what is there now and stop; the checkpoint remembers it for the next run."""
-    query = (
-        stream.writeStream.foreachBatch(sink).outputMode(mode)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+#: State of streams on disk with a log of its changes, so a checkpoint writes what has changed.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """A query keeps the state store it was started with; the session gets its own back."""
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def drain(stream: DataFrame, sink: Callable, checkpoint: str, mode: str = "append") -> list[int]:
+    """Process what is there now and stop; the checkpoint remembers it for the next run.
+
+    Returns the number of keys in state behind each batch of the run (of stateful streams).
+    """
+    with _state_on_disk(stream.sparkSession):
+        query = (
+            stream.writeStream.foreachBatch(sink).outputMode(mode)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    return [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in query.recentProgress if p["stateOperators"]]
 
 
 def stored_or_none(spark: SparkSession, root: str) -> DataFrame | None:
@@ -55,6 +83,16 @@ def _touched(spark: SparkSession, root: str, batch: DataFrame, partitions: Seque
     return done.join(F.broadcast(mine), list(partitions), "left_semi")  # one row per partition
 
 
+def _append_fresh(batch: DataFrame, root: str, partitions: Sequence[str], keys: Sequence[str]) -> None:
+    """Append the rows whose keys are not stored yet, each once."""
+    fresh = batch.dropDuplicates(list(keys))
+    done = _touched(batch.sparkSession, root, batch, partitions)
+    if done is not None:
+        same = [fresh[c].eqNullSafe(done[c]) for c in keys]
+        fresh = fresh.join(done, reduce(and_, same), "left_anti")
+    fresh.write.partitionBy(*partitions).mode("append").parquet(root)
+
+
 def ingest_scenes(
     stream: DataFrame, root: str, checkpoint: str, partitions: Sequence[str],
     keys: Sequence[str] | None = None,
@@ -65,17 +103,7 @@ def ingest_scenes(
     batches is stored whole, and a row that arrives again, in the same batch, in a later file or
     in a repeated batch, is stored once.
     """
-
-    def store(batch: DataFrame, _: int) -> None:
-        names = list(keys or batch.columns)
-        fresh = batch.dropDuplicates(names)
-        done = _touched(batch.sparkSession, root, batch, partitions)
-        if done is not None:
-            same = [fresh[c].eqNullSafe(done[c]) for c in names]
-            fresh = fresh.join(done, reduce(and_, same), "left_anti")
-        fresh.write.partitionBy(*partitions).mode("append").parquet(root)
-
-    drain(stream, store, checkpoint)
+    drain(stream, lambda batch, _: _append_fresh(batch, root, partitions, keys or batch.columns), checkpoint)
 
 
 def ingest_observations(
@@ -85,34 +113,65 @@ def ingest_observations(
     ingest_scenes(quality.clean_numeric(quality.scl_mask(stream)), root, checkpoint, partitions)
 
 
+def _once(sink: Callable) -> Callable:
+    """A sink that reads its batch from a table: the state of a stream is run once per batch."""
+    def store(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        root = shared_folder(spark, "batch")
+        batch.write.parquet(root)
+        sink(spark.read.schema(batch.schema).parquet(root), number)
+        sinks.drop_table(spark, root)
+
+    return store
+
+
+#: What makes an observation: a pixel in one image of one tile of an AOI and year.
+OBSERVATION = ["bbox", "year", "tile", "scene_date", "lon", "lat"]
+
+
 def dedup_scenes(
     stream: DataFrame, root: str, checkpoint: str, keys: Sequence[str], time: str, delay: str,
-) -> None:
-    """Drop repeats of a key that arrive within the watermark; state ends with it."""
-    unique = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(
-        time, delay).dropDuplicatesWithinWatermark(list(keys))
+    partitions: Sequence[str] = (),
+) -> list[int]:
+    """Store the first row of every key that arrives within the watermark; state ends with it.
+
+    Repeats in one batch, in later files and behind a restart are dropped by the state of the
+    stream. Rows that come again because the checkpoint was lost, or behind the watermark, are
+    dropped against the table, of which only the `partitions` a batch touches are read (by
+    default the day of `time`). Returns the number of keys in state behind each batch.
+    """
+    names = list(partitions) or ["day"]
+    rows = stream.withColumn(time, F.col(time).cast("timestamp"))
+    if not partitions:
+        rows = rows.withColumn("day", F.to_date(time))
+    unique = rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
+    return drain(unique, _once(lambda batch, _: _append_fresh(batch, root, names, keys)), checkpoint)
+
+
+def dedup_observations(stream: DataFrame, root: str, checkpoint: str, delay: str) -> list[int]:
+    """One observation per AOI, year, tile, date and pixel, stored by (bbox, year)."""
+    days = stream.withColumn("seen", F.col("scene_date").cast("timestamp"))
+    return dedup_scenes(days, root, checkpoint, OBSERVATION, "seen", delay, ["bbox", "year"])
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        sinks.replace_partitions(
-            batch.select(*keys, time).withColumn("batch", F.lit(batch_id)), root, ["batch"])
 
-    drain(unique, store, checkpoint)
+#: What decides which series a batch touches.
+AOI_YEAR = ["bbox", "year"]
 
 
 def refresh_series(stream: DataFrame, obs_root: str, series_root: str, checkpoint: str) -> None:
-    """Store new observations and rebuild only the series of the (bbox, year) they touch."""
+    """Store new observations by source file and rebuild the series of the (bbox, year) they touch.
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        sinks.replace_partitions(
-            batch.withColumn("batch", F.lit(batch_id)), obs_root, ["bbox", "year", "batch"])
-        obs = spark.read.parquet(obs_root)
-        touched = obs.where(F.col("batch") == batch_id).select("bbox", "year").distinct()
-        # both sides are partition columns: untouched partitions are never read
-        affected = obs.join(touched, ["bbox", "year"], "left_semi").drop("batch")
+    Files are told apart, not batches: whatever batches the same files come in, they are stored
+    once. The series of all files of a batch are rebuilt, so a run that stopped behind its commit
+    is made good by the next.
+    """
+    def store(batch: DataFrame, _: int) -> None:
+        commits.commit(batch, obs_root, AOI_YEAR)
+        touched = batch.select(*AOI_YEAR).distinct()
+        affected = commits.read(batch.sparkSession, obs_root, AOI_YEAR, touched)
         sinks.write_series(sr.build_series(affected), series_root)
 
-    drain(quality.clean_numeric(quality.scl_mask(stream)), store, checkpoint)
+    drain(commits.tagged(quality.clean_numeric(quality.scl_mask(stream))), store, checkpoint)
 
 
 def class_counts(
@@ -122,7 +181,7 @@ def class_counts(
     """Running count per event-time window and class, stored by day.
 
     Update mode: a batch carries the windows that changed and replaces them in the days it
-    touches. The watermark ends windows, so the state stays as long as the delay.
+    touches; a null class is a class. The watermark ends windows, so the state stays as long as the delay.
     """
     counts = (
         stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
@@ -134,8 +193,9 @@ def class_counts(
     def store(batch: DataFrame, _: int) -> None:
         done = _touched(batch.sparkSession, root, batch, ["day"])
         if done is not None:
-            old = done.join(batch, ["window_start", group], "left_anti")
+            same = [done[c].eqNullSafe(batch[c]) for c in ("window_start", group)]
+            old = done.join(batch, reduce(and_, same), "left_anti")
             batch = durable(batch.unionByName(old.select(*batch.columns)))
         sinks.replace_partitions(batch, root, ["day"])
 
-    drain(counts, store, checkpoint, "update")
+    drain(counts, _once(store), checkpoint, "update")

@@ -6,7 +6,7 @@ from fieldtide import schemas
 from fieldtide.constants import SERIES
 from fieldtide.operators import quality, series as sr
 from fieldtide.sources import derived
-from fieldtide.streaming import ingest
+from fieldtide.streaming import commits, ingest
 
 
 def _halves(spark, sf_dir, folder):
@@ -73,3 +73,97 @@ def test_counts_are_updated_in_place(spark, sf_dir, tmp_path):
     got = spark.read.parquet(out).groupBy("window_start", "event_type").agg(F.sum("count").alias("n"), F.count("*").alias("k"))
     assert got.where("k > 1").isEmpty()
     assert got.agg(F.sum("n")).first()[0] == rows.count()
+
+
+def _refreshed(spark, tmp_path, progress, per_batch):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    files = ingest.read_files(spark, src, schemas.SOURCES["lineitem"], "*.parquet", per_batch)
+    ingest.refresh_series(derived.observations_of(files), f"{out}/obs", f"{out}/series", str(tmp_path / progress))
+    return commits.read(spark, f"{out}/obs", ingest.AOI_YEAR)
+
+
+def _equals_batch(spark, sf_dir, tmp_path):
+    cols = [*SERIES, "num_images", "last_day", "day_sum"]
+    got = spark.read.parquet(str(tmp_path / "out" / "series")).select(*cols)
+    want = sr.build_series(_wanted(spark, sf_dir)).select(*cols)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def _parts(spark, tmp_path):
+    rows = spark.read.parquet(str(tmp_path / "out" / "obs" / "rows"))
+    return rows.groupBy(*ingest.AOI_YEAR).agg(F.countDistinct("part").alias("n")).agg(F.max("n")).first()[0]
+
+
+def test_lost_checkpoint_and_other_batches_store_nothing_twice(spark, sf_dir, tmp_path):
+    for _ in _halves(spark, sf_dir, str(tmp_path / "in")):
+        pass
+    want = _wanted(spark, sf_dir).count()
+    assert _refreshed(spark, tmp_path, "one", 1).count() == want
+    assert _refreshed(spark, tmp_path, "lost", None).count() == want  # both files in one batch
+    _equals_batch(spark, sf_dir, tmp_path)
+    assert _parts(spark, tmp_path) == 2
+    root = str(tmp_path / "out" / "obs")
+    commits.compact(spark, root, ingest.AOI_YEAR)
+    assert _parts(spark, tmp_path) == 1 and commits.read(spark, root, ingest.AOI_YEAR).count() == want
+    assert _refreshed(spark, tmp_path, "again", 1).count() == want  # files merged long ago
+    assert _parts(spark, tmp_path) == 1
+    _equals_batch(spark, sf_dir, tmp_path)
+
+
+def test_files_that_come_after_a_merge_are_added(spark, sf_dir, tmp_path):
+    halves = _halves(spark, sf_dir, str(tmp_path / "in"))
+    next(halves)
+    _refreshed(spark, tmp_path, "p", 1)
+    commits.compact(spark, str(tmp_path / "out" / "obs"), ingest.AOI_YEAR)
+    next(halves)
+    assert _refreshed(spark, tmp_path, "p", 1).count() == _wanted(spark, sf_dir).count()
+    commits.compact(spark, str(tmp_path / "out" / "obs"), ingest.AOI_YEAR)
+    assert _parts(spark, tmp_path) == 1
+    _equals_batch(spark, sf_dir, tmp_path)
+
+
+def test_runs_that_stop_half_way(spark, sf_dir, tmp_path, monkeypatch):
+    """Rows without their log entry, and a log entry without its cleaning, count neither twice nor not at all."""
+    for _ in _halves(spark, sf_dir, str(tmp_path / "in")):
+        pass
+    want, root = _wanted(spark, sf_dir).count(), str(tmp_path / "out" / "obs")
+    with monkeypatch.context() as broken:
+        broken.setattr(commits, "remove_dead", lambda *_: 0)
+        _refreshed(spark, tmp_path, "p", 1)
+        commits.compact(spark, root, ingest.AOI_YEAR)
+    assert commits.read(spark, root, ingest.AOI_YEAR).count() == want and _parts(spark, tmp_path) == 3
+    assert commits.remove_dead(spark, root, ingest.AOI_YEAR) > 0 and _parts(spark, tmp_path) == 1
+    # parts of a run that stopped before its log entry
+    stray = commits.read(spark, root, ingest.AOI_YEAR).limit(50).withColumn("part", F.lit("stray"))
+    stray.write.partitionBy(*ingest.AOI_YEAR, "part").mode("append").parquet(f"{root}/rows")
+    assert commits.read(spark, root, ingest.AOI_YEAR).count() == want
+    commits.compact(spark, root, ingest.AOI_YEAR)
+    assert _parts(spark, tmp_path) == 1 and commits.read(spark, root, ingest.AOI_YEAR).count() == want
+
+
+def test_dedup_over_files_restarts_and_lost_checkpoints(spark, sf_dir, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = derived.table(spark, sf_dir, "lineitem")
+    want = derived.observations(spark, sf_dir).select(*ingest.OBSERVATION).distinct()
+    states = []
+    for progress in ("p", "p", "lost"):  # each file holds rows twice and repeats those of the last
+        rows.union(rows.limit(500)).coalesce(1).write.mode("append").parquet(src)
+        stream = ingest.read_files(spark, src, schemas.SOURCES["lineitem"], "*.parquet", 1)
+        states += ingest.dedup_observations(
+            derived.observations_of(stream), out, str(tmp_path / progress), "4000 days")
+        got = spark.read.parquet(out)
+        assert got.count() == want.count() == got.select(*ingest.OBSERVATION).distinct().count()
+    assert max(states) == want.count()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "HDFS").count("RocksDB") == 0
+    assert list((tmp_path / "p" / "state").rglob("*.changelog"))
+
+
+def test_counts_of_a_null_class_are_replaced(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for n in (1, 1):
+        spark.createDataFrame([(k, "2024-01-01 05:00:00", None) for k in range(n)], "event_id long, ts string, event_type string") \
+            .selectExpr("event_id", "cast(ts as timestamp) ts", "event_type").coalesce(1).write.mode("append").parquet(src)
+    stream = ingest.read_files(
+        spark, src, spark.read.parquet(src).schema, "*.parquet", 1)
+    ingest.class_counts(stream, out, str(tmp_path / "p"), "ts", "event_type", delay="4000 days")
+    assert [r["count"] for r in spark.read.parquet(out).collect()] == [2]
