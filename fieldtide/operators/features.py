@@ -11,7 +11,6 @@ from fieldtide.constants import BANDS, CHANNELS, INDICES, LEGEND
 from fieldtide.functions import spectral, vectors
 from fieldtide.operators import labels, windows as wn
 from fieldtide.operators.windows import WindowSpec
-from fieldtide.session import durable
 
 #: Band positions the index channels read.
 BLUE, RED, NIR, SWIR = (BANDS.index(b) for b in ("blue", "red", "nir", "swir16"))
@@ -153,27 +152,26 @@ def value_counts(rows: DataFrame, channels: Sequence[str] = CHANNELS) -> DataFra
 def feature_profile(rows: DataFrame, channels: Sequence[str] = CHANNELS) -> DataFrame:
     """Exact five-number summary per channel, raw and normalised, padding removed.
 
-    Value frequencies are dealt by ranges of (channel, value); running counts inside a range plus
-    the counts of earlier ranges give each value its ranks, and the quantiles are read off them.
-    No task holds the values of a channel. Normalising is linear and increasing: the quantiles
-    of the normalised values are the normalised quantiles.
+    Value frequencies are counted once; their sums by bins of 256 neighbouring values say in which
+    bin a rank lies, and running counts inside a bin give each value its ranks. So no task holds
+    the values of a channel, only its bins; both levels read the same exchange. Normalising is
+    linear and increasing: the quantiles of the normalised values are the normalised quantiles.
     """
     value = F.col("value").cast("double")
-    counts = durable(
-        value_counts(rows, channels).repartitionByRange("channel", "value")
-        .withColumn("_range", F.spark_partition_id()))
-    sizes = counts.groupBy("_range", "channel").agg(F.sum("n").alias("m"))
-    earlier = Window.partitionBy("channel").orderBy("_range").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_range", "channel", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("_before"))
-    facts = counts.groupBy("channel").agg(
-        F.sum("n").alias("count"), (F.sum(value * F.col("n")) / F.sum("n")).alias("mean"),
-        F.min(value).alias("min"), F.max(value).alias("max"))
-    running = Window.partitionBy("_range", "channel").orderBy("value")
+    counts = value_counts(rows, channels).withColumn("_bin", F.shiftright("value", 8))
+    channel = Window.partitionBy("channel")
+    earlier = channel.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = counts.groupBy("channel", "_bin").agg(
+        F.sum("n").alias("_m"), F.sum(value * F.col("n")).alias("_sum"),
+        F.min(value).alias("_least"), F.max(value).alias("_most"),
+    ).select(
+        "channel", "_bin", F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_m").over(channel).alias("count"), (F.sum("_sum").over(channel) / F.sum("_m").over(channel)).alias("mean"),
+        F.min("_least").over(channel).alias("min"), F.max("_most").over(channel).alias("max"))
+    running = Window.partitionBy("channel", "_bin").orderBy("value")
     ranked = (
-        counts.withColumn("_upto", F.sum("n").over(running)).join(offsets, ["_range", "channel"])
-        .withColumn("_end", F.col("_before") + F.col("_upto")).join(facts, "channel"))
+        counts.withColumn("_upto", F.sum("n").over(running)).join(bins, ["channel", "_bin"])
+        .withColumn("_end", F.col("_before") + F.col("_upto")))
     last = F.col("count") - 1
 
     def at(rank: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldtide.constants import CHANNELS, LEGEND
+from fieldtide.functions import vectors
 from fieldtide.sources.sinks import replace_partitions
 
 
@@ -38,11 +39,10 @@ def train_classifier(examples: DataFrame, name: str, width: int) -> PipelineMode
 
 
 def score(model: PipelineModel, examples: DataFrame, classes: int = len(LEGEND)) -> DataFrame:
-    """Examples with `probs`, one entry per legend class."""
+    """Examples with `probs`, one entry per legend class; the model runs once per row."""
     scored = model.transform(examples.withColumn("vector", array_to_vector("features")))
-    probs = vector_to_array("probability")
-    full = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)),
-                       lambda i: F.coalesce(F.get(probs, i), F.lit(0.0)))
+    full = vectors.let(vector_to_array("probability"), lambda probs: F.transform(
+        F.sequence(F.lit(0), F.lit(classes - 1)), lambda i: F.coalesce(F.get(probs, i), F.lit(0.0))))
     return scored.withColumn("probs", full).drop(
         "vector", "rawPrediction", "probability", "prediction")
 

@@ -21,7 +21,7 @@ from fieldtide.operators import (
 )
 from fieldtide.plans import oracle as o
 from fieldtide.plans.feature_queries import (
-    _HASH, _ROWS, _SUMMARY, _TRAIN0,
+    _HASH, _ROWS, _SUMMARY, _TRAIN0, _stats_sql,
 )
 from fieldtide.plans.registry import query
 from fieldtide.plans.series_queries import (
@@ -239,15 +239,21 @@ def _centroids(train):
 _PREFIXED = ", ".join(f"avg({c}::DOUBLE) FILTER ({c} <> 0) AS m_{c}" for c in CHANNELS)
 
 
-@query("centroid_score", o.with_(
-    *o.SERIES_CTES, *_TRAIN0, _ROWS,
-    f"cent AS (SELECT label AS candidate, bucket, {_PREFIXED} FROM rows_ JOIN labels USING ({o.KEY}, start_day) GROUP BY ALL)",
+#: Picked rows of all windows of the sweep, beside those of the training windows.
+_SWEPT_ROWS = [
     "swept AS (SELECT *, unnest([" + ", ".join(map(str, SWEEP_START_DAYS)) + "]) AS begin_day FROM img)",
     *[c.replace("starts AS", "starts2 AS").replace("inside AS", "inside2 AS").replace("FROM inside ", "FROM inside2 ")
        .replace("kept AS", "kept2 AS").replace("FROM kept)", "FROM kept2)").replace("placed AS", "placed2 AS")
        .replace("picks AS", "picks2 AS").replace("FROM placed\n", "FROM placed2\n")
       for c in o.windows("begin_day", source="swept")[:5]],
     f"rows2 AS (SELECT *, {o.INDEX_LIST} FROM picks2)",
+]
+
+
+@query("centroid_score", o.with_(
+    *o.SERIES_CTES, *_TRAIN0, _ROWS,
+    f"cent AS (SELECT label AS candidate, bucket, {_PREFIXED} FROM rows_ JOIN labels USING ({o.KEY}, start_day) GROUP BY ALL)",
+    *_SWEPT_ROWS,
     f"""dist AS (SELECT {o.KEY}, start_day, candidate, sum({' + '.join(
         f'CASE WHEN {c} <> 0 AND m_{c} IS NOT NULL THEN pow({c} - m_{c}, 2) ELSE 0 END' for c in CHANNELS)})
         / nullif(sum({' + '.join(f'CASE WHEN {c} <> 0 AND m_{c} IS NOT NULL THEN 1 ELSE 0 END' for c in CHANNELS)}), 0) AS distance
@@ -316,7 +322,19 @@ def score_sweep(spark, sf_dir):
         _r("confidence_score").alias("confidence_score"))
 
 
-@query("score_external")
+_LOGITS = " + ".join(
+    f"sum(CASE WHEN {c} <> 0 THEN ({c} - (SELECT mean FROM stats WHERE name = '{c}'))/"
+    f"(SELECT std FROM stats WHERE name = '{c}') ELSE 0 END * cos((bucket*{WIDTH} + {k + 1})*j::DOUBLE))"
+    for k, c in enumerate(CHANNELS))
+
+
+@query("score_external", o.with_(
+    *o.SERIES_CTES, *_TRAIN0, _ROWS, "stats AS (" + _stats_sql(CHANNELS).replace(", 6)", ", 12)") + ")", *_SWEPT_ROWS,
+    f"logits AS (SELECT {o.KEY}, start_day, j, {_LOGITS} AS z FROM rows2, range(1, {len(LEGEND) + 1}) t(j) GROUP BY ALL)",
+    f"""best AS (SELECT {o.KEY}, start_day, (j - 1)::INTEGER AS prediction FROM logits
+  QUALIFY row_number() OVER (PARTITION BY {o.KEY}, start_day ORDER BY z DESC, j) = 1)""", select=f"""
+SELECT s.start_day, coalesce(prediction, 0) AS prediction, count(*) AS "count"
+FROM starts2 s LEFT JOIN best USING ({o.KEY}, start_day) GROUP BY ALL"""))
 def score_external(spark, sf_dir):
     """The sweep under a model from outside Spark, here a fixed projection of the features."""
     whole, stats, _ = _model_inputs(spark, sf_dir)
@@ -340,16 +358,18 @@ def score_external(spark, sf_dir):
     *o.windows("begin_day", source="swept"), select="""
 SELECT start_day, label, count(*) AS windows FROM labels GROUP BY ALL"""))
 def resume_sweep(spark, sf_dir):
+    """A run that stopped early and the run that goes on read one stored series."""
     root = shared_folder(spark, "resume")
-    run = lambda days: _sweep_days(spark, sf_dir, days)
+    folder = shared_folder(spark, "sweep-series")
+    wn.slim(series(spark, sf_dir)).write.parquet(folder)
+    run = lambda days: _sweep_days(spark.read.parquet(folder), days)
     model.resume_sweep(spark, root, SWEEP_START_DAYS[:6], run)  # a run that stopped early
     whole = model.resume_sweep(spark, root, SWEEP_START_DAYS, run)
     return whole.groupBy("start_day", "label").agg(F.count(F.lit(1)).alias("windows"))
 
 
-def _sweep_days(spark, sf_dir, days):
-    s = wn.sweep_start_days(wn.slim(series(spark, sf_dir)), days)
-    return labels.label_windows(wn.cut(s, SPEC), FRAMES_TO_CHECK).select(
+def _sweep_days(slim, days):
+    return labels.label_windows(wn.cut(wn.sweep_start_days(slim, days), SPEC), FRAMES_TO_CHECK).select(
         *SERIES, "start_day", "label")
 
 
