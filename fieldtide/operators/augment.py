@@ -99,27 +99,24 @@ def mixup(
 ) -> DataFrame:
     """Mix each example with a shuffled one of its batch; one weight per batch.
 
-    Positions inside a batch come from one hash, partners from another. Batches
-    have a fixed size, so their windows and the self-join stay small.
+    Positions inside a batch come from one hash, partners from another. A batch has a fixed size,
+    so it is gathered once, put into both orders there, and its rows leave with their partners:
+    one exchange of the rows and no join.
     """
-    first = Window.partitionBy("batch_id").orderBy("_h1", "_key")
-    second = Window.partitionBy("batch_id").orderBy("_h2", "_key")
-    rows = (
-        examples.withColumn("_h1", row_hash).withColumn("_h2", partner_hash)
-        .withColumn("_key", F.struct("_h1", "_h2"))
-        .withColumn("position", F.row_number().over(first))
-        .withColumn("slot", F.row_number().over(second))
-        .drop("_h1", "_h2", "_key")
-    )
+    columns = [c for c in examples.columns if c != "batch_id"]
+    gathered = examples.groupBy("batch_id").agg(F.collect_list(F.struct(
+        row_hash.alias("_h1"), partner_hash.alias("_h2"), F.struct(*columns).alias("row"))).alias("rows"))
+    placed = F.sort_array("rows")
+    partners = F.sort_array(F.transform("rows", lambda r: F.struct(
+        r["_h2"].alias("_h2"), r["_h1"].alias("_h1"), r["row"]["features"].alias("_x2"), r["row"]["one_hot"].alias("_y2"))))
+    pairs = F.transform(F.arrays_zip(placed.alias("a"), partners.alias("b")), lambda p, i: F.struct(
+        p["a"]["row"].alias("row"), p["b"]["_x2"].alias("_x2"), p["b"]["_y2"].alias("_y2"), (i + 1).alias("position")))
     weight = F.lit(lam) if lam is not None else beta_draw(batch_hash(seed), alpha)
-    partner = rows.select(
-        "batch_id", F.col("slot").alias("position"), F.col("features").alias("_x2"),
-        F.col("one_hot").alias("_y2"))
     blend = lambda a, b: F.zip_with(a, b, lambda x, y: (
         F.col("weight") * x.cast("double") + (1 - F.col("weight")) * y.cast("double")).cast("float"))
     return (
-        rows.drop("slot").join(partner, ["batch_id", "position"]).withColumn("weight", weight)
-        .withColumn("features", blend("features", "_x2"))
+        gathered.select("batch_id", F.inline(pairs)).select("batch_id", "row.*", "position", "_x2", "_y2")
+        .withColumn("weight", weight).withColumn("features", blend("features", "_x2"))
         .withColumn("one_hot", blend("one_hot", "_y2")).drop("_x2", "_y2")
     )
 

@@ -158,7 +158,9 @@ def feature_profile(rows: DataFrame, channels: Sequence[str] = CHANNELS) -> Data
     linear and increasing: the quantiles of the normalised values are the normalised quantiles.
     """
     value = F.col("value").cast("double")
-    counts = value_counts(rows, channels).withColumn("_bin", F.shiftright("value", 8))
+    # said here, so that the join below adds no filter to one of the two uses of this exchange
+    counts = value_counts(rows, channels).withColumn("_bin", F.shiftright("value", 8)).where(
+        F.col("channel").isNotNull() & F.col("_bin").isNotNull())
     channel = Window.partitionBy("channel")
     earlier = channel.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = counts.groupBy("channel", "_bin").agg(

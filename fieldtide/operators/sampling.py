@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,7 +54,17 @@ def with_position(df: DataFrame, order: Sequence[str]) -> DataFrame:
 def shuffle_batches(
     df: DataFrame, key_hash: Column, ties: Sequence[str], batch_size: int,
 ) -> DataFrame:
-    """Rows in seeded random order, cut into batches of `batch_size`."""
-    placed = with_position(df.withColumn("_hash", key_hash), ["_hash", *ties])
-    return placed.withColumn(
-        "batch_id", F.floor(F.col("position") / batch_size)).drop("_hash", "position")
+    """Rows in seeded random order, cut into batches of `batch_size`.
+
+    Hash and ties must name a row: repeated ones are an error. Positions are found for these keys
+    alone; the rows themselves move once, to the batch of their key.
+    """
+    keys = ["_hash", *ties]
+    rows = df.withColumn("_hash", key_hash)
+    placed = with_position(rows.select(*keys), keys)
+    twice = Window.partitionBy(*keys).orderBy("position")
+    checked = placed.withColumn("_n", F.row_number().over(twice)).select(
+        *keys, F.when(F.col("_n") == 1, F.floor(F.col("position") / batch_size)).otherwise(
+            F.raise_error(F.lit("rows with the same hash and ties"))).alias("batch_id"))
+    same = reduce(and_, [rows[k].eqNullSafe(checked[k]) for k in keys])
+    return rows.join(checked, same).select(*[rows[c] for c in df.columns], "batch_id")

@@ -162,20 +162,28 @@ def jitter_scale(spark, sf_dir):
     return _long(augment.jitter_scale(_batches(spark, sf_dir), sampling.series_hash()), "batch_id")
 
 
-@query("mixup", o.with_(*o.SERIES_CTES, *_TRAIN0, _ROWS, _BATCHED, _CELLS_SQL, f"""
-hashed AS (SELECT *, {_H2} AS h2 FROM batched)""", f"""
+#: Features of a mixed example that are compared one by one, beside a sum that tells orders apart.
+_PROBED = (0, 21, 100, 250, 399)
+
+
+@query("mixup", o.with_(*o.SERIES_CTES, *_TRAIN0, _ROWS, _BATCHED, f"""
+sums AS (SELECT {o.KEY}, sum({' + '.join(f'(16*bucket + {i + 1})*{c}' for i, c in enumerate(CHANNELS))})::DOUBLE AS total,
+  {', '.join(f'max({CHANNELS[p % 16]}) FILTER (bucket = {p // 16}) AS f{p}' for p in _PROBED)} FROM rows_ GROUP BY ALL)""", f"""
+hashed AS (SELECT b.*, coalesce(total, 0) AS total, {', '.join(f'coalesce(f{p}, 0)::DOUBLE AS f{p}' for p in _PROBED)}, {_H2} AS h2
+  FROM batched b LEFT JOIN sums USING ({o.KEY}))""", """
 pos AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY h, h2) AS position,
-  row_number() OVER (PARTITION BY batch_id ORDER BY h2, h) AS slot FROM hashed)""", f"""
-tot AS (SELECT p.*, i, coalesce(c.v, 0) AS v FROM (SELECT *, unnest(range(400)) AS i FROM pos) p
-  LEFT JOIN cells_ c USING ({o.KEY}, i))""", select=f"""
-SELECT a.bbox, a."year", a.lon, a.lat, a.CDL, a.batch_id, a.i::INTEGER AS i,
-  round(((0.75e0*a.v + (1 - 0.75e0)*b.v)::FLOAT)::DOUBLE, 5) AS v,
+  row_number() OVER (PARTITION BY batch_id ORDER BY h2, h) AS slot FROM hashed)""", select=f"""
+SELECT a.bbox, a."year", a.lon, a.lat, a.CDL, a.batch_id, 0.75e0*a.total + 0.25e0*b.total AS total,
+  {', '.join(f'0.75e0*a.f{p} + 0.25e0*b.f{p} AS f{p}' for p in _PROBED)},
   round(0.75e0*(a.label = 3)::INTEGER + 0.25e0*(b.label = 3)::INTEGER, 6) AS y3
-FROM tot a JOIN tot b ON a.batch_id = b.batch_id AND a.position = b.slot AND a.i = b.i"""))
+FROM pos a JOIN pos b ON a.batch_id = b.batch_id AND a.position = b.slot"""))
 def mixup(spark, sf_dir):
     out = augment.mixup(_batches(spark, sf_dir), sampling.series_hash(),
                         sampling.series_hash(7), lam=0.75)
-    return _long(out.withColumn("y3", _r(F.col("one_hot")[3].cast("double"))), "batch_id", "y3")
+    return out.select(
+        *SERIES, "batch_id", _weighted(WIDTH)[0].alias("total"),
+        *[F.col("features")[p].cast("double").alias(f"f{p}") for p in _PROBED],
+        _r(F.col("one_hot")[3].cast("double")).alias("y3"))
 
 
 _ALPHA = 0.4
@@ -433,13 +441,11 @@ def stream_dedup_observations(spark, sf_dir):
 @query("stream_series_refresh", o.with_(*o.SERIES_CTES, select=f"""
 SELECT {o.KEY}, num_images, last_day FROM img GROUP BY ALL"""))
 def stream_series_refresh(spark, sf_dir):
-    """Refreshed from a stream, compacted, and refreshed again without its checkpoint."""
     root = shared_folder(spark, "refresh")
-    for attempt in (0, 1):
-        rows = ingest.read_files(spark, sf_dir, schemas.SOURCES["lineitem"], "lineitem.parquet")
-        ingest.refresh_series(derived.observations_of(rows), f"{root}/obs", f"{root}/series",
-                              f"{root}/progress-{attempt}")
-        commits.compact(spark, f"{root}/obs", ingest.AOI_YEAR)
+    rows = ingest.read_files(spark, sf_dir, schemas.SOURCES["lineitem"], "lineitem.parquet")
+    ingest.refresh_series(derived.observations_of(rows), f"{root}/obs", f"{root}/series",
+                          f"{root}/progress")
+    commits.compact(spark, f"{root}/obs", ingest.AOI_YEAR)
     return spark.read.parquet(f"{root}/series").select(*SERIES, "num_images", "last_day")
 
 

@@ -23,8 +23,12 @@ SOURCE, PART, VERSION = "source", "part", "version"
 
 
 def tagged(stream: DataFrame) -> DataFrame:
-    """Rows with the file they come from. Only selections and filters may lie before."""
-    return stream.select("*", F.md5(F.col("_metadata.file_path")).alias(SOURCE))
+    """Rows with the file they come from. Only selections and filters may lie before.
+
+    (The metadata column of the reader would say the same, but keeps the selections before it
+    from being merged, which made the scan seven times as long.)
+    """
+    return stream.withColumn(SOURCE, F.md5(F.input_file_name()))
 
 
 def _log(spark: SparkSession, root: str) -> DataFrame | None:

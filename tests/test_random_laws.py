@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldtide.operators import augment
+from fieldtide.operators import augment, sampling
 
 
 def draws(spark, column, n=40_000):
@@ -53,3 +53,24 @@ def test_beta_quantile_solves_its_equation(spark):
         t = np.linspace(0, min(x, 1 - x) ** a, 200_001)  # the integral after t = x^a
         f = (1 - t ** (1 / a)) ** (a - 1) / a / (math.gamma(a) ** 2 / math.gamma(2 * a))
         assert math.isclose(np.trapezoid(f, t), min(u, 1 - u), rel_tol=1e-6)
+
+
+def test_repeated_keys_are_an_error(spark):
+    rows = spark.range(20).selectExpr("id % 19 AS k", "id AS v")
+    with pytest.raises(Exception, match="same hash and ties"):
+        sampling.shuffle_batches(rows, F.xxhash64("k"), ["k"], 5).collect()
+    whole = sampling.shuffle_batches(spark.range(20).selectExpr("id AS k"), F.xxhash64("k"), ["k"], 6).collect()
+    assert sorted(r.batch_id for r in whole) == [0] * 6 + [1] * 6 + [2] * 6 + [3] * 2
+
+
+def test_partners_are_a_permutation_of_the_batch(spark):
+    rows = spark.range(90).selectExpr(
+        "id", "id div 30 AS batch_id", "array(cast(id AS float)) AS features", "array(cast(1 AS float)) AS one_hot")
+    out = augment.mixup(rows, F.xxhash64("id"), F.xxhash64("id", F.lit(1)), lam=0.0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    for batch in range(3):
+        got = out.where(F.col("batch_id") == batch).collect()
+        assert sorted(r.features[0] for r in got) == list(range(30 * batch, 30 * batch + 30))
+        assert sorted(r.position for r in got) == list(range(1, 31)) and {r.one_hot[0] for r in got} == {1.0}
+        assert any(r.features[0] != r.id for r in got)
