@@ -1,7 +1,7 @@
 """Chat formatting on built-in functions only.
 
 A conversation is a list of turns, a turn a list of typed parts (text, image, audio, document).
-The visitor below turns every part into text: text parts have their control strings escaped,
+The visitor below turns the parts into text: runs of texts have their control strings escaped,
 the others become a placeholder. Attachments keep order, kind, reference and token count.
 
     <s>role\\ntext of the turn</s><s>role\\n...</s>
@@ -51,13 +51,26 @@ def text_part(text: Column) -> Column:
         F.lit(0).cast("long").alias("tokens"))
 
 
-def _visit(part: Column) -> Column:
-    """The text that stands for a part. Null parts and text parts without text are empty."""
-    said = F.when(part["kind"] == "text", escape(F.coalesce(part["text"], F.lit(""))))
-    for kind in PLACEHOLDERS:
-        said = said.when(part["kind"] == kind, F.lit(f"<{kind}>"))
-    return said.when(part["kind"].isNull(), F.lit("")).otherwise(
-        F.raise_error(F.concat(F.lit("unknown part kind: "), part["kind"])))
+def _visit(parts: Column) -> Column:
+    """The text that stands for the parts: neighbouring texts are one run, escaped as a whole.
+
+    So no control string can be put together from the ends of two parts. A placeholder ends a
+    run. Null parts and text parts without text are empty and end none; no parts, no text.
+    """
+    kind = lambda p: F.coalesce(p["kind"], F.lit("text"))
+
+    def placeholder(p: Column) -> Column:
+        return F.when(kind(p).isin(*PLACEHOLDERS), F.concat(F.lit("<"), kind(p), F.lit(">"))).otherwise(
+            F.raise_error(F.concat(F.lit("unknown part kind: "), kind(p))))
+
+    def step(so_far: Column, p: Column) -> Column:
+        said = F.when(p["kind"] == "text", F.coalesce(p["text"], F.lit(""))).otherwise(F.lit(""))
+        return F.when(kind(p) == "text", F.struct(
+            so_far["done"].alias("done"), F.concat(so_far["run"], said).alias("run"))).otherwise(F.struct(
+                F.concat(so_far["done"], escape(so_far["run"]), placeholder(p)).alias("done"), F.lit("").alias("run")))
+
+    none = F.struct(F.lit("").alias("done"), F.lit("").alias("run"))
+    return F.aggregate(parts, none, step, lambda x: F.concat(x["done"], escape(x["run"])))
 
 
 def flatten_parts(turns: DataFrame) -> DataFrame:
@@ -68,7 +81,7 @@ def flatten_parts(turns: DataFrame) -> DataFrame:
     media = F.filter("parts", lambda p: p["kind"].isin(*PLACEHOLDERS))
     return turns.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce(F.array_join(F.transform("parts", _visit), ""), F.lit("")).alias("body"),
+        F.coalesce(_visit(F.col("parts")), F.lit("")).alias("body"),
         F.coalesce(F.transform(media, lambda p: F.struct(
             p["kind"].alias("kind"), p["ref"].alias("ref"),
             F.coalesce(p["tokens"], F.lit(0)).cast("long").alias("tokens"))),

@@ -27,6 +27,7 @@ BLOCKS = frozenset(
     "thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object noembed noframes".split())
+NEVER_EMPTY = frozenset(["script", "style"])  # a slash before `>` does not close these
 CLOSES_P = BLOCKS - frozenset("button label option optgroup td th tr tbody thead tfoot caption body html head title legend".split())
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"),
                 "td": ("td", "th"), "th": ("td", "th")}
@@ -51,7 +52,7 @@ MEANINGS = {
 _MEANING = {word: group for group, words in MEANINGS.items() for word in words.split()}
 
 _TAG = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)"  # its attributes: see _Attributes
     r"|<[!?/][^>]*+(?:>|\Z)", re.S)
 _STOP = re.compile(r"""[>"']""")
@@ -69,16 +70,45 @@ class Block:
     link: int  # characters of the text that are in links
 
 
-def _path_of(stack: list[tuple[str, tuple[str, ...]]]) -> tuple[str, ...]:
-    leaf = next((tag for tag, _ in reversed(stack) if tag in BLOCKS), "none")
-    parts = [tag for tag, _ in stack if tag in SECTIONS]
-    near = ">".join(parts[-2:])
-    out = {f"leaf={leaf}", f"near={near}", f"{leaf} near {near}"}
-    for tag, names in stack:
-        if tag in BLOCKS:
-            out.add(f"in={tag}")
-        out.update(names)
-    return tuple(sorted(out))
+@dataclass(frozen=True)
+class _Open:
+    """An open element and what it and its ancestors say of the text inside; shared where it says nothing new."""
+
+    tag: str
+    leaf: str = "none"
+    near: tuple[str, ...] = ()
+    features: frozenset = frozenset()
+    links: int = 0
+
+    def inner(self, tag: str, names: tuple[str, ...]) -> _Open:
+        new = {*names, f"in={tag}"} if tag in BLOCKS else set(names)
+        return _Open(tag, tag if tag in BLOCKS else self.leaf,
+                     (*self.near[-1:], tag) if tag in SECTIONS else self.near,
+                     self.features if new <= self.features else self.features | new, self.links + (tag == "a"))
+
+    def path(self) -> tuple[str, ...]:
+        near = ">".join(self.near)
+        return tuple(sorted({f"leaf={self.leaf}", f"near={near}", f"{self.leaf} near {near}"} | self.features))
+
+
+class _Stack:
+    """Open elements with the places of each tag, so no step walks over them."""
+
+    def __init__(self):
+        self.open, self.places = [_Open("")], {}
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append(self.open[-1].inner(tag, names))
+
+    def pop_to(self, names: tuple[str, ...], stop: frozenset) -> None:
+        """Close the last element of one of the names, unless one of `stop` is open inside it."""
+        last = lambda tags: max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+        at = last(names)
+        if at and at >= last(stop):
+            for element in self.open[at:]:
+                self.places[element.tag].pop()
+            del self.open[at:]
 
 
 class _Attributes:
@@ -123,7 +153,7 @@ def _meanings(attributes: str) -> tuple[str, ...]:
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks of a page in order; white space inside a block is one space, blanks are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Stack()
     pieces: list[str] = []
     link = 0
 
@@ -132,24 +162,16 @@ def blocks_of(page: str) -> list[Block]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append(Block(text, _path_of(stack), min(link, len(text))))
+                out.append(Block(text, stack.open[-1].path(), min(link, len(text))))
             pieces, link = [], 0
 
     def say(raw: str) -> None:
         nonlocal link
         text = entities.unescape(raw) if "&" in raw else raw
         pieces.append(text)
-        if any(tag == "a" for tag, _ in stack):
+        if stack.open[-1].links:
             link += len(text)
 
-    def pop_to(names: tuple[str, ...], stop: frozenset) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                del stack[k:]
-                return
-            if stack[k][0] in stop:
-                return
-
     at, end, attributes = 0, len(page), _Attributes(page)
     while at < end:
         m = _TAG.search(page, at)
@@ -169,9 +191,9 @@ def blocks_of(page: str) -> list[Block]:
         if m.group(1):
             if tag in BLOCKS:
                 flush()
-            pop_to((tag,), frozenset())
+            stack.pop_to((tag,), frozenset())
             continue
-        if tag in RAW and not inside.endswith("/>"):
+        if tag in RAW and (tag in NEVER_EMPTY or not inside.endswith("/>")):
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = close.end() if close else end
             continue
@@ -181,11 +203,11 @@ def blocks_of(page: str) -> list[Block]:
         if tag in BLOCKS:
             flush()
             if tag in CLOSES_P:
-                pop_to(("p",), SCOPE)
+                stack.pop_to(("p",), SCOPE)
             if tag in SELF_CLOSING:
-                pop_to(SELF_CLOSING[tag], SCOPE)
+                stack.pop_to(SELF_CLOSING[tag], SCOPE)
         if tag not in VOID:
-            stack.append((tag, _meanings(inside)))
+            stack.push(tag, _meanings(inside))
     flush()
     return out
 
@@ -442,7 +464,9 @@ def trained(pages: int = TRAINING_PAGES, seed: int = 7) -> Chain:
 def extract(pages: DataFrame, chain: Chain | None = None) -> DataFrame:
     """pages with `text`: the main text of html, blocks joined by line feeds.
 
-    Null, empty or textless html: empty text. Rows are independent, so repeated rows and hosts of
+    Null, empty or textless html: empty text. A page without any tag has no block that its
+    ancestors or neighbours mark as an article; the field decides by its text alone. Time is linear
+    in the page, also for elements nested to any depth. Rows are independent, so repeated rows and hosts of
     any size do no harm; an existing column `text` is replaced.
     """
     model = chain or trained()

@@ -25,6 +25,8 @@ from fieldtide.llm.common import grouped_batches, stored
 
 BEST = 20
 BLOCK_POSTINGS = 1 << 17  # postings of a block, in expectation; some 1 MB
+BLOCK_DOCS = 1000  # documents of a block, in expectation
+OPEN_STRATA = 64  # strata rows ranked together, some 130 MB when all are opened
 BLOCK_CHARS = 4_000_000  # text of the items that go over the index together
 STRATUM = ("m long, block int, docs binary, terms binary, dfs binary, most binary, runs binary, "
            "run_tf binary, run_docs binary, places binary")
@@ -75,8 +77,8 @@ def build_index(docs: DataFrame, block: int = BLOCK_POSTINGS) -> Index:
     total = lengths.agg(F.sum("docs"), F.sum(F.col("n") * F.col("docs"))).first()
     n_docs, n_terms = total[0] or 0, total[1] or 0
     m = F.expr(f"75 + cast((25bd * n * {n_docs}bd) div {max(n_terms, 1)}bd as bigint)")
-    hot = lengths.groupBy(m.alias("m")).agg(F.sum("postings").alias("postings")).where(
-        F.col("postings") > block).select("m", F.ceil(F.col("postings") / block).cast("int").alias("blocks"))
+    blocks = F.ceil(F.greatest(F.sum("postings") / block, F.sum("docs") / BLOCK_DOCS)).cast("int")
+    hot = lengths.groupBy(m.alias("m")).agg(blocks.alias("blocks")).where("blocks > 1")
 
     def count(batches):
         import pyarrow as pa
@@ -280,9 +282,8 @@ def _ranked(index: Index, items: Items, best: int) -> DataFrame:
 
         found = Ranking(items, weights, best)
         for batch in batches:
-            strata = [Stratum(row, items) for row in batch.to_pylist()]
-            if strata:
-                found.see(strata)
+            for at in range(0, batch.num_rows, OPEN_STRATA):
+                found.see([Stratum(row, items) for row in batch.slice(at, OPEN_STRATA).to_pylist()])
         nth = np.repeat(np.arange(len(items.ids)), [len(d) for d in found.docs])
         yield pa.RecordBatch.from_arrays(
             [pa.array(nth), pa.array(np.concatenate(found.docs)), pa.array(np.concatenate(found.score))],

@@ -104,3 +104,46 @@ def test_long_attributes(quote):
 
 def test_open_quotes_are_followed_once():
     assert texts('<p a=">">b</p>' + '<a ">"' * 60_000 + "'")[0] == "b"
+
+
+@pytest.mark.parametrize("html", [
+    "<div>" * 20_000 + "t", "<b>" * 20_000 + "t", "<p><table>" + "<b>x<div>" * 10_000, "<a>" * 20_000 + "t</x>" * 20_000,
+    "<div class=footer><ul><li>" * 7_000, "<li>" * 20_000 + "</ul>" * 20_000, "<section><i>" * 10_000 + "t" + "</i>" * 10_000])
+def test_deep_nesting_takes_linear_time(html):
+    import time
+
+    start = time.perf_counter()
+    pages.blocks_of(html)
+    assert time.perf_counter() - start < 2
+
+
+def plain_blocks(html):
+    """Path features by walking over the open elements, as they are defined."""
+    out = []
+    for block in pages.blocks_of(html):
+        leaf = [f for f in block.path if f.startswith("leaf=")]
+        out.append((block.text, leaf, [f for f in block.path if f.startswith("near=")]))
+    return out
+
+
+def test_paths_of_nested_sections():
+    found = plain_blocks("<main><article><section><p>a</p></section><p>b</p></article></main><p>c")
+    assert found == [("a", ["leaf=p"], ["near=article>section"]), ("b", ["leaf=p"], ["near=main>article"]), ("c", ["leaf=p"], ["near="])]
+    block = pages.blocks_of('<div class="sidebar"><b><a href=x>l</a> t</b></div><p>u')
+    assert "is=side" in block[0].path and block[0].link == 1 and "is=side" not in block[1].path and block[1].link == 0
+
+
+def test_hand_written_page_of_another_make(spark):
+    """No grammar made this page: the article stays, what stands around it goes."""
+    said = "The council voted on Tuesday to reopen the old harbour bridge after three years of repairs. "
+    html = f"""<!DOCTYPE html><html><head><title>Bridge</title><script>let a = "<p>x</p>";</script></head><body>
+    <div id="masthead"><a href="/">Home</a> <a href="/news">News</a> <a href="/sport">Sport</a></div>
+    <div class="post-content"><h1>Harbour bridge reopens</h1><p>{said}</p><p>{said * 2}</p>
+    <p>Engineers said the steel deck had been replaced in full.&nbsp;Traffic starts at noon.</p></div>
+    <div class="related-links"><ul><li><a href="/1">Ten best walks</a></li><li><a href="/2">Weather today</a></li></ul></div>
+    <div id="comments"><p class="comment">First! Great news.</p></div>
+    <div class="cookie-notice">We use cookies. <button>Accept</button></div>
+    <div id="footer">Copyright 2024 <a href="/imprint">Imprint</a></div></body></html>"""
+    text = pages.extract(spark.createDataFrame([(1, html)], "page_id long, html string")).first().text
+    assert said.strip() in text and "Traffic starts at noon." in text
+    assert not any(x in text for x in ("cookies", "Ten best", "First!", "Imprint", "Sport", "let a"))

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from fieldtide.llm import queries, search
@@ -79,7 +80,6 @@ def test_strata_out_of_reach_are_not_visited():
     strata = []
     for k in range(0, 300, 10):
         own = bags[k:k + 10]
-        import numpy as np
         row = dict(zip([f.split()[0] for f in search.STRATUM.split(", ")], (75 + k, 0, *search._stratum(
             np.arange(k, k + 10), [b" ".join(b) for b in own], [np.array(list(b.values()), "<u4").tobytes() for b in own]))))
         strata.append(search.Stratum(row, items))
