@@ -9,14 +9,15 @@ vocabulary tells the id of B that has the bytes of an id of A, and documents are
 vectors as long as A's vocabulary. Only other pairs go through a shuffle; the most frequent of
 them are handed to the tasks like the vectors (a fixed number), so no key of the shuffle is hot.
 
-Long texts are coded in slices that begin with a space behind a character that is no white space.
-Neither tokenizer joins over such a place (checked for B's vocabulary when it is read).
+A text is cut before spaces that follow no white space. Neither tokenizer joins over such a place
+(checked for B's vocabulary when it is read), so each chunk is coded once and remembered.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +26,15 @@ from pyspark.sql import functions as F
 
 from fieldtide.llm.common import stored
 
-BATCH = 1 << 20  # characters of text coded together; the slices of long texts
+BATCH = 1 << 20  # characters of text coded together
+CACHED_CHUNKS = 400_000  # per Python worker, some 130 MB; the cache starts anew beyond it
+LONG_CHUNK = 64  # characters; longer chunks are not kept
 LARGE_GROUP = 4096  # links; larger groups are multiplied out by distinct ids
 HELD_PAIRS = 2_000_000  # pairs of documents a task counts before it hands them on
 HOT_PAIRS = 1 << 19  # most frequent pairs handed to the tasks, 9 MB; the rest are joined
 CODED = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
          "same binary, other binary")
-_CUT = re.compile(r"(?<=\S) ")
+_CHUNK = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")
 _SPACE = "▁"
 
 
@@ -47,10 +50,12 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(re.search(f"[^{_SPACE}]{_SPACE}", p) for p in pieces):
-            raise ValueError("B joins pieces over a space, so texts cannot be coded in slices")
+            raise ValueError("B joins pieces over a space, so texts cannot be coded in chunks")
         self.bytes_a, self.bytes_b = self._bytes_of_a(), [self._piece(p) for p in pieces]
         self.length_a, self.length_b = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
         self.same = self.identity()
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.space = [self.b.piece_to_id(_SPACE)]  # B codes nothing where a text's last space is its chunk
         self.says_a = [f"{i}{end}" for end in ",|" for i in range(len(self.bytes_a))]
         self.says_b = [f"{i}{end}" for end in ",;" for i in range(len(self.bytes_b))]
 
@@ -82,20 +87,25 @@ class Aligner:
             self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))}
         return np.array([ids.get(data, -1) for data in self.bytes_a], dtype=np.int64)
 
-    def _ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A and B of each text behind a space. Texts of over BATCH characters go in slices."""
-        slices, owner = [], []
-        for k, text in enumerate(texts):
-            own = list(_slices(" " + text))
-            slices += own
-            owner += [k] * len(own)
-        coded_a = [e.ids for e in self.a.encode_batch_fast(slices, add_special_tokens=False)]
-        coded_b = self.b.encode([x[1:] for x in slices], num_threads=1)
-        a, b = [[] for _ in texts], [[] for _ in texts]
-        for k, x, y in zip(owner, coded_a, coded_b):
-            a[k] += x
-            b[k] += y or [self.b.piece_to_id(_SPACE)]  # a space that ends the text
-        return a, b
+    def _learn(self, chunks: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Ids of A and B of chunks that are not remembered, coded together."""
+        coded = self.a.encode_batch_fast(chunks, add_special_tokens=False)
+        found = {
+            chunk: (array("I", a.ids).tobytes(), array("I", b or self.space).tobytes())
+            for chunk, a, b in zip(chunks, coded, self.b.encode([c[1:] for c in chunks], num_threads=1))}
+        if len(self.known) + len(found) > CACHED_CHUNKS:
+            self.known.clear()
+        self.known.update((c, ids) for c, ids in found.items() if len(c) <= LONG_CHUNK)
+        return found
+
+    def _ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of A and B of each text behind a space, chunk by chunk."""
+        chunks = [_CHUNK.findall(" " + text) for text in texts]
+        held = {c: self.known.get(c) for own in chunks for c in own}
+        held |= self._learn([c for c, ids in held.items() if ids is None])
+        each = [list(map(held.__getitem__, own)) for own in chunks]
+        return tuple([np.frombuffer(b"".join([ids[side] for ids in own]), "<u4").astype(np.int64) for own in each]
+                     for side in (0, 1))
 
     def rows(self, texts: list[str | None]) -> Iterator[tuple]:
         """Columns of CODED behind doc_id, of each text."""
@@ -103,10 +113,11 @@ class Aligner:
         fine, a, b = [], [], []
         for k, (text, (x, y)) in enumerate(zip(texts, ids)):
             data = (" " + text).encode("utf-8") if text else b""
-            if data and b"".join(map(self.bytes_a.__getitem__, x)) == data == b"".join(map(self.bytes_b.__getitem__, y)):
+            if data and (b"".join(map(self.bytes_a.__getitem__, x.tolist())) == data
+                         == b"".join(map(self.bytes_b.__getitem__, y.tolist()))):
                 fine.append(k)
-                a.append(np.array(x, dtype=np.int64))
-                b.append(np.array(y, dtype=np.int64))
+                a.append(x)
+                b.append(y)
         out = [(0, 0, 0, 0, "", b"", b"")] * len(texts)
         if fine:
             for k, row in zip(fine, self._aligned(a, b)):
@@ -178,14 +189,6 @@ class Aligner:
         return tuple(map(np.concatenate, zip(*found)))
 
 
-def _slices(text: str) -> Iterator[str]:
-    at = 0
-    while len(text) - at > BATCH and (cut := _CUT.search(text, at + BATCH)):
-        yield text[at:cut.start()]
-        at = cut.start()
-    yield text[at:]
-
-
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the sums of their counts."""
     order = np.argsort(keys, kind="stable")

@@ -89,11 +89,16 @@ def test_equals_groups_of_one_text(text):
     assert row[4] == said(found) and row[2] == len(found)
 
 
-def test_long_texts_go_in_slices(monkeypatch):
-    texts = ["naïve café  über\t\n x und so weiter " * 9 + "x" * 90, " ", "a  b "]
+def test_cache_that_starts_anew(monkeypatch):
+    texts = ["naïve café  über\t\n x und so weiter " * 9 + "x" * 90, " ", "a  b ", "so weiter x"]
     whole = [(said(groups(t)), len(groups(t))) for t in texts]
+    monkeypatch.setattr(align, "CACHED_CHUNKS", 3)
+    monkeypatch.setattr(align, "LONG_CHUNK", 6)
     monkeypatch.setattr(align, "BATCH", 5)
-    assert [(r[4], r[2]) for r in ALIGNER.rows(texts)] == whole
+    fresh = align.Aligner(A, B)
+    for _ in range(2):
+        assert [(r[4], r[2]) for t in texts for r in fresh.rows([t])] == whole
+    assert [(r[4], r[2]) for r in fresh.rows(texts)] == whole
 
 
 def test_large_groups_are_multiplied_out(monkeypatch):
