@@ -180,6 +180,6 @@ def test_no_local_folder_on_a_cluster(monkeypatch):
         session.shared_root(fake)
 
 
-def test_storage_size(spark, tmp_path):
+def test_storage_size_of_any_file(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"12345")
     assert tuple(tables.storage_size(spark, str(tmp_path)).first()) == (1, 5)
