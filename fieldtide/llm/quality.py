@@ -1,9 +1,9 @@
 """Quality classifier by co-training.
 
 Two views of a document learn from the same labels: its text content, and its metadata (source,
-language tag, declared length, line layout). Over some rounds each view labels the unlabelled
-documents it is surest of for the other one. Both are calibrated on labels kept apart, and a
-calibrated combination of the two scores every document.
+language tag, declared length, line layout). Over some rounds each view labels, out of all
+unlabelled documents, those it is surest of for the other one. Both are calibrated on labels kept
+apart, and a calibrated combination of the two scores every document.
 """
 
 from __future__ import annotations
@@ -16,15 +16,15 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtide.llm.common import sample_up_to, unit_hash, word_slices
+from fieldtide.llm.common import sample_up_to, stored, word_slices
 
 LABELLED = 8_000  # labelled documents the fit looks at, at most (in expectation)
-UNLABELLED = 6_000  # unlabelled documents for the exchange, at most (in expectation)
 ROUNDS = 4
 EXCHANGED = 200  # documents a view labels for the other in a round, at most
+SALTS = 64  # parts in which the surest documents are found before they meet
 SURE = 0.95
 LOST = 0.002  # share of good calibration documents that the threshold may lose
 WORD_SLOTS, SOURCE_SLOTS, LANG_SLOTS = 128, 64, 16
@@ -102,32 +102,87 @@ class Model:
         return _sigmoid(np.clip(np.stack(z, axis=1) @ self.mix[:-1] + self.mix[-1], -30, 30)), [_sigmoid(v) for v in z]
 
 
-def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS,
-             exchanged: int = EXCHANGED, lost: float = LOST) -> Model | None:
+Given = list[tuple[list[np.ndarray], np.ndarray]]  # for each view: both views of its surest rows, their marks
+
+
+class ArrayPool:
+    """Unlabelled rows in memory, as one array for each view."""
+
+    def __init__(self, views: list[np.ndarray]):
+        self.views, self.free = views, np.ones(len(views[0]), dtype=bool)
+
+    def surest(self, weights: list[np.ndarray], goods: int, bads: int) -> Given:
+        """Rows each view is surest of, at most so many good and bad ones; they are not free any more."""
+        rows = []
+        for view, w in zip(self.views, weights):
+            p = _sigmoid(_margin(view, w))
+            good, bad = np.flatnonzero(self.free & (p >= SURE)), np.flatnonzero(self.free & (p <= 1 - SURE))
+            rows.append((good[np.argsort(-p[good], kind="stable")][:goods], bad[np.argsort(p[bad], kind="stable")][:bads]))
+        for pair in rows:
+            self.free[np.concatenate(pair)] = False
+        return [([v[np.concatenate(pair)] for v in self.views], np.repeat([1.0, 0.0], [len(k) for k in pair]))
+                for pair in rows]
+
+
+class StoredPool:
+    """All rows of a table (key, text, meta: packed views), judged on the executors in every round.
+
+    Rows of one key are one document. Keys and probabilities alone are shuffled: the best of each
+    of SALTS parts, then the best of those. At most 4 x `exchanged` rows a round reach the driver.
+    """
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.used = stored(rows, "quality-pool"), []
+
+    def surest(self, weights: list[np.ndarray], goods: int, bads: int) -> Given:
+        def each(text: pd.Series, meta: pd.Series) -> pd.DataFrame:
+            p = [_sigmoid(_margin(_unpacked(v, len(w) - 1), w)) for v, w in zip((text, meta), weights)]
+            return pd.DataFrame({"p0": p[0], "p1": p[1]})
+
+        judged = F.pandas_udf(each, "p0 double, p1 double")
+        sure = [F.struct(F.lit(i).alias("view"), F.col(f"p.p{i}").alias("p")) for i in (0, 1)]
+        found = (
+            self.rows.where(~F.col("key").isin(self.used)) if self.used else self.rows
+        ).select("key", judged("text", "meta").alias("p")).select("key", F.inline(F.array(*sure))).where(
+            (F.col("p") >= SURE) | (F.col("p") <= 1 - SURE)
+        ).groupBy("view", "key").agg(F.first("p").alias("p")).withColumn("good", F.col("p") >= SURE)
+        order = F.abs(F.col("p") - 0.5).desc(), F.col("key")
+        most = max(goods, bads)
+        for by in (["view", "good", F.pmod("key", F.lit(SALTS))], ["view", "good"]):
+            found = found.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("n") <= most)
+        picks = found.where(F.col("n") <= F.when(F.col("good"), goods).otherwise(bads)).orderBy("view", F.desc("good"), "n").toPandas()
+        keys = sorted({int(k) for k in picks["key"]})
+        self.used += keys
+        sizes = [len(w) - 1 for w in weights]
+        if not keys:
+            return [([np.zeros((0, n)) for n in sizes], np.zeros(0))] * 2
+        rows = self.rows.where(F.col("key").isin(keys)).dropDuplicates(["key"]).toPandas().set_index("key")
+        given = []
+        for view in (0, 1):
+            mine = picks[picks["view"] == view]
+            at = rows.loc[mine["key"]]
+            given.append(([_unpacked(at[k], n) for k, n in zip(("text", "meta"), sizes)], mine["good"].to_numpy(dtype=float)))
+        return given
+
+
+def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray] | ArrayPool | StoredPool,
+             rounds: int = ROUNDS, exchanged: int = EXCHANGED, lost: float = LOST) -> Model | None:
     """Model from the two views of labelled and unlabelled rows; None without both classes."""
     fold = np.arange(len(y)) % 4 == 3  # rows come in the order of a hash
     train, hold = ~fold, fold
     if len(set(y[train])) < 2 or len(set(y[hold])) < 2:
         return None
     sets = [(v[train], y[train]) for v in labelled]
-    free = np.ones(len(pool[0]), dtype=bool)
+    pool = ArrayPool(pool) if isinstance(pool, list) else pool
     weights = [logistic(*s) for s in sets]
     share = max(y[train].mean(), 1e-9)
     for _ in range(rounds):
-        given: list[tuple[np.ndarray, np.ndarray]] = []
-        for view in (0, 1):
-            p = _sigmoid(_margin(pool[view], weights[view]))
-            good, bad = np.flatnonzero(free & (p >= SURE)), np.flatnonzero(free & (p <= 1 - SURE))
-            good = good[np.argsort(-p[good], kind="stable")][: int(np.ceil(exchanged * share))]
-            bad = bad[np.argsort(p[bad], kind="stable")][: int(np.ceil(exchanged * (1 - share)))]
-            given.append((np.concatenate([good, bad]), np.repeat([1.0, 0.0], [len(good), len(bad)])))
+        given = pool.surest(weights, int(np.ceil(exchanged * share)), int(np.ceil(exchanged * (1 - share))))
         for view in (0, 1):
             rows, marks = given[1 - view]
-            sets[view] = (np.vstack([sets[view][0], pool[view][rows]]), np.concatenate([sets[view][1], marks]))
-        for rows, _ in given:
-            free[rows] = False
+            sets[view] = (np.vstack([sets[view][0], rows[view]]), np.concatenate([sets[view][1], marks]))
         weights = [logistic(*s) for s in sets]
-        if not len(given[0][0]) and not len(given[1][0]):
+        if not any(len(marks) for _, marks in given):
             break
     margins = [_margin(v[hold], w) for v, w in zip(labelled, weights)]
     calibration = [logistic(m[:, None], y[hold], 0.1) for m in margins]
@@ -149,34 +204,45 @@ def _packed_views(text: pd.Series, source: pd.Series, lang: pd.Series, n_chars:
     return pd.DataFrame({k: [r.tobytes() for r in v] for k, v in zip(("text", "meta"), both)})
 
 
+def _unpacked(packed: pd.Series, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), dtype=np.float32).reshape(len(packed), size).astype(np.float64)
+
+
 COLUMNS = ("text", "source", "lang", "n_chars")
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model | None:
+def packed_views(docs: DataFrame, *more: str) -> DataFrame:
+    """key (a hash of both views), text and meta (packed views) and the columns `more` of docs with text."""
+    packed = F.pandas_udf(_packed_views, "text binary, meta binary")
+    return (
+        docs.where(F.trim("text") != "").select(*more, packed(*COLUMNS).alias("v"))
+        .select(*more, F.xxhash64("v.text", "v.meta").alias("key"), "v.text", "v.meta")
+    )
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, exchanged: int = EXCHANGED) -> Model | None:
     """Co-trained model from docs (doc_id, text, source, lang, n_chars) and labels (doc_id, quality).
 
-    Bounded samples by hash: about `labelled` labelled and `unlabelled` other documents, reduced
-    to feature vectors on the executors. Null labels and blank texts teach nothing. Labels that
-    contradict each other count by their mean, 0.5 and more as good. None if a class is missing.
+    A bounded sample of labelled ids by hash, about `labelled`, reduced to feature vectors on the
+    executors; rows of one id teach once, by the views with the smallest hash. The exchange looks
+    at all other documents, those without an id too; documents with equal views count once. Null
+    labels and blank texts teach nothing. Labels that contradict each other count by their mean,
+    0.5 and more as good. None if a class is missing.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(
         (F.avg("quality") >= 0.5).cast("double").alias("__y"))
-    known = sample_up_to(known, labelled, "doc_id")
-    packed = F.pandas_udf(_packed_views, "text binary, meta binary")
-    total = docs.count()
-    share = min(1.0, unlabelled / total) if total else 1.0
+    known = F.broadcast(sample_up_to(known, labelled, "doc_id"))  # bounded by `labelled`
     rows = (
-        docs.join(F.broadcast(known), "doc_id", "left")  # bounded by `labelled`
-        .where(F.col("__y").isNotNull() | (unit_hash(F.lit("pool"), "doc_id") < share))
-        .where(F.trim("text") != "")
-        .select("__y", F.xxhash64("doc_id").alias("__h"), packed(*COLUMNS).alias("v"))
-        .select("__y", "__h", "v.text", "v.meta").toPandas()
-        .sort_values(["__h", "text"], kind="stable")
+        packed_views(docs.join(known, "doc_id"), "doc_id", "__y")
+        .groupBy("doc_id", "__y").agg(F.min(F.struct("key", "text", "meta")).alias("v"))
+        .select(F.xxhash64("doc_id").alias("__h"), "__y", "v.text", "v.meta").toPandas()
+        .sort_values("__h", kind="stable")
     )
+    if rows["__y"].nunique() < 2:
+        return None
     views = [np.array([np.frombuffer(b, dtype=np.float32) for b in rows[k]], dtype=np.float64) for k in ("text", "meta")]
-    y = rows["__y"].to_numpy(dtype=float)
-    has = ~np.isnan(y)
-    return co_train([v[has] for v in views], y[has], [v[~has] for v in views]) if has.any() else None
+    pool = StoredPool(packed_views(docs.join(known, "doc_id", "left_anti")))
+    return co_train(views, rows["__y"].to_numpy(dtype=float), pool, exchanged=exchanged)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -57,3 +57,32 @@ def test_text_view_of_slices(monkeypatch):
     monkeypatch.setattr(quality, "word_slices", lambda data, size: iter(parts))
     cut = quality.text_view(text)
     assert np.allclose(whole[:256 + quality.WORD_SLOTS], cut[:256 + quality.WORD_SLOTS]) and np.isclose(whole[-2], cut[-2])
+
+
+def test_pool_on_executors_gives_what_arrays_give(spark):
+    rng = np.random.default_rng(5)
+    views = [rng.standard_normal((900, k)).astype(np.float32) for k in (6, 4)]
+    rows = [(i, views[0][i].tobytes(), views[1][i].tobytes()) for i in range(900)]
+    pool = spark.createDataFrame(rows + rows[:50] * 3, "key long, text binary, meta binary").repartition(7)
+    stored, arrays = quality.StoredPool(pool), quality.ArrayPool([v.astype(np.float64) for v in views])
+    weights = [np.append(rng.standard_normal(k) * 3, 0.1) for k in (6, 4)]
+    for goods, bads in ((20, 30), (5, 0), (400, 400), (400, 400)):
+        for got, want in zip(stored.surest(weights, goods, bads), arrays.surest(weights, goods, bads)):
+            assert (got[1] == want[1]).all()
+            assert all((a == b).all() and a.shape == b.shape for a, b in zip(got[0], want[0]))
+    assert len(got[1]) == 0  # the last round found nothing that was not given before
+    empty = quality.StoredPool(pool.limit(0)).surest(weights, 3, 3)
+    assert [(v[0].shape, v[1].shape, len(marks)) for v, marks in empty] == [((0, 6), (0, 4), 0)] * 2
+
+
+def test_rows_of_one_id_teach_once_and_ids_may_be_null(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "co_train", lambda views, y, pool, **more: seen.append((len(y), pool.rows)))
+    text = [("fine words " if i % 2 else "BAD!! ") * 20 for i in range(60)]
+    rows = [(1, t + str(i), "en", "s", 9) for i, t in enumerate(text)] + [(i, t, "en", "s", 9) for i, t in enumerate(text)]
+    rows += [(None, "no id " * (i % 3 + 1), None, None, None) for i in range(30)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    quality.fit(spark.createDataFrame(rows, SCHEMA), labels)
+    (labelled, pool), = seen
+    assert labelled == 40  # one row for each labelled id
+    assert pool.count() == 20 + 30 and pool.select("key").distinct().count() == 2 + 3
