@@ -179,3 +179,32 @@ def crs_to_lonlat(x: Column, y: Column, epsg: Column) -> tuple[Column, Column]:
         x - UTM_FALSE_EASTING, y - _southern(epsg), utm_meridian(epsg))
     degrees = epsg == 4326
     return F.when(degrees, x).otherwise(lon), F.when(degrees, y).otherwise(lat)
+
+
+def polygon_bounds(points: Column) -> tuple[Column, Column, Column, Column]:
+    """min x, min y, max x, max y of an array of struct(x, y)."""
+    xs, ys = points.getField("x"), points.getField("y")
+    return F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
+
+
+def convex_overlap(a: Column, b: Column) -> Column:
+    """Whether two convex polygons (arrays of struct(x, y), open or closed) share a point.
+
+    Separating axis test: they are apart exactly if the normal of one edge tells them apart.
+    Touching polygons overlap. Null or empty polygons give null.
+    """
+    def normals(p: Column) -> Column:
+        def normal(v: Column, i: Column) -> Column:
+            to = F.get(p, F.pmod(i + 1, F.size(p)))
+            return F.struct((to["y"] - v["y"]).alias("x"), (v["x"] - to["x"]).alias("y"))
+
+        return F.transform(p, normal)
+
+    def along(p: Column, n: Column) -> Column:
+        return F.transform(p, lambda v: v["x"] * n["x"] + v["y"] * n["y"])
+
+    def apart(n: Column) -> Column:
+        return (F.array_max(along(a, n)) < F.array_min(along(b, n))) | (F.array_max(along(b, n)) < F.array_min(along(a, n)))
+
+    filled = (F.size(a) > 0) & (F.size(b) > 0)
+    return F.when(filled, ~F.exists(F.concat(normals(a), normals(b)), apart))

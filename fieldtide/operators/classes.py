@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldtide.constants import (
@@ -12,6 +13,8 @@ from fieldtide.constants import (
     TARGETED_CROPS,
 )
 from fieldtide.functions import text
+from fieldtide.sources.sinks import replace_partitions
+from fieldtide.sources.tables import read_observations
 
 
 def class_distribution(decoded: DataFrame, *by: str, min_percent: float = 1.0) -> DataFrame:
@@ -68,6 +71,59 @@ def asset_profile(obs: DataFrame, exact: bool = True) -> DataFrame:
         F.count("value").alias("distinct_values"))
 
 
+SKETCH = 12  # log2 of the buckets of a sketch: standard error about 1.04 / sqrt(4096), 1.6 %
+
+
+def asset_sketches(obs: DataFrame, precision: int = SKETCH) -> DataFrame:
+    """Minimum, maximum and a mergeable sketch of the distinct values per (bbox, year, asset).
+
+    One aggregate over the wide rows with a sketch of bounded size for each asset; nothing is
+    unpivoted before it. Null values count nowhere; an asset without any has a null sketch.
+    """
+    wide = obs.groupBy("bbox", "year").agg(*[F.struct(
+        F.lit(a).alias("asset"), F.min(a).alias("min"), F.max(a).alias("max"),
+        F.when(F.count(a) > 0, F.hll_sketch_agg(a, F.lit(precision))).alias("sketch")).alias(a) for a in ASSETS])
+    return wide.select(F.inline(F.array(*ASSETS)), "bbox", "year")
+
+
+def refresh_sketches(spark: SparkSession, source: str, root: str, precision: int = SKETCH) -> int:
+    """Add the (bbox, year) stored below source that the sketches below root lack; how many.
+
+    New partitions come from the listing of files and are a literal filter on the partition
+    columns, so files of finished ones are not opened. The driver holds as many names as that
+    listing has folders. A partition that has sketches counts as complete; one is replaced as a
+    whole, so a repeated refresh changes nothing.
+    """
+    keys = ["bbox", "year"]
+    here = (
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(source)
+        .select(F.col("bbox").cast("string"), F.col("year").cast("int")).distinct()
+    )
+    try:
+        here = here.join(spark.read.parquet(root).select(*keys).distinct(), keys, "left_anti")
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    years: dict[int, list[str]] = {}
+    for r in here.collect():
+        years.setdefault(r.year, []).append(r.bbox)
+    if not years:
+        return 0
+    new = F.lit(False)
+    for year, boxes in years.items():
+        new = new | ((F.col("year") == year) & F.col("bbox").isin(boxes))
+    obs = read_observations(spark, source).where(new)
+    replace_partitions(asset_sketches(obs, precision), root, keys)
+    return sum(map(len, years.values()))
+
+
+def sketch_profile(sketches: DataFrame) -> DataFrame:
+    """Minimum, maximum and estimated distinct values per asset, from stored sketches alone."""
+    return sketches.groupBy("asset").agg(
+        F.min("min").alias("min"), F.max("max").alias("max"),
+        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0)).alias("distinct_values"))
+
+
 def is_non_crop(name: Column, words: Sequence[str] = NON_CROP_CLASSES) -> Column:
     """Whether a class name is, or contains, one of the non-crop names."""
     hit = name.contains(words[0])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtide.constants import ASSETS, COVERAGE_MIN, SCENE, SCL_DROP
-from fieldtide.functions import text
+from fieldtide.functions import geo, text
 
 
 def catalog_search(
@@ -23,6 +23,43 @@ def catalog_search(
                                     F.lit(last).cast("timestamp_ntz")))
 
 
+def footprint_search(
+    scenes: DataFrame, areas: DataFrame, first: str, last: str, collections: Sequence[str],
+    cell: float = 0.25,
+) -> DataFrame:
+    """Scenes of the collections and the closed time range whose footprint meets an area.
+
+    areas holds (area, polygon), scenes a `footprint`: convex polygons as arrays of
+    struct(x, y). Both sides are dealt over the cells of a coarse grid that their boxes touch and
+    meet by equality of cells, so areas are not compared with all scenes; a pair is looked at in
+    one of its common cells only. Boxes come first, the exact test after them. Cells should be
+    about as large as a footprint. Null or empty polygons and a null area id meet nothing.
+    """
+    def dealt(df: DataFrame, polygon: str, mark: str) -> DataFrame:
+        names = [f"{mark}{k}" for k in ("x0", "y0", "x1", "y1")]
+        boxed = df.where(F.size(polygon) > 0).withColumns(dict(zip(names, geo.polygon_bounds(F.col(polygon)))))
+        at = {n: F.floor(F.col(n) / cell) for n in names}
+        return (
+            boxed.withColumn("_cx", F.explode(F.sequence(at[names[0]], at[names[2]])))
+            .withColumn("_cy", F.explode(F.sequence(at[names[1]], at[names[3]])))
+        )
+
+    wanted = scenes.where(
+        F.col("collection").isin(list(collections))
+        & F.col("datetime").between(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz")))
+    left = dealt(areas.where("area is not null").select(
+        F.col("area").alias("_area"), F.col("polygon").alias("_polygon")), "_polygon", "_a")
+    right = dealt(wanted.withColumn("_footprint", F.col("footprint")), "_footprint", "_s")
+    common = [F.floor(F.greatest(f"_a{k}", f"_s{k}") / cell) for k in ("x0", "y0")]
+    return (
+        right.join(left, ["_cx", "_cy"])
+        .where((F.col("_cx") == common[0]) & (F.col("_cy") == common[1]))
+        .where("_ax0 <= _sx1 and _ax1 >= _sx0 and _ay0 <= _sy1 and _ay1 >= _sy0")
+        .where(geo.convex_overlap(F.col("_footprint"), F.col("_polygon")))
+        .select(F.col("_area").alias("area"), *[F.col(c) for c in scenes.columns if c != "area"])
+    )
+
+
 def parse_scene_id(scenes: DataFrame) -> DataFrame:
     """Add base id, grid square, version and tile key."""
     sid = F.col("id")

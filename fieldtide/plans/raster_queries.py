@@ -12,7 +12,8 @@ from fieldtide.functions import geo
 from fieldtide.operators import classes as cl, raster as rs
 from fieldtide.plans import oracle as o
 from fieldtide.plans.registry import query
-from fieldtide.sources import aoi, derived
+from fieldtide.session import shared_folder
+from fieldtide.sources import aoi, derived, sinks
 from fieldtide.sources.derived import CLASS_BY_KEY
 
 ORIGIN_X, ORIGIN_Y, CELL = 480000.0, 1540000.0, 30.0
@@ -306,6 +307,23 @@ def asset_profile(spark, sf_dir):
     return cl.asset_profile(masked(spark, sf_dir))
 
 
+@query("asset_sketches", o.with_(o.OBS, select=" UNION ALL ".join(
+    f"SELECT '{a}' AS asset, min({a}) AS \"min\", max({a}) AS \"max\", count(DISTINCT {a}) AS distinct_values, TRUE AS within_bound FROM obs"
+    for a in ASSETS)))
+def asset_sketches(spark, sf_dir):
+    """Sketches of the years before 1996, of the other years when they are there; exact counts beside them."""
+    root = shared_folder(spark, "sketched")
+    obs = derived.observations(spark, sf_dir)
+    for part in (obs.where("year < 1996"), obs.where("year >= 1996")):
+        sinks.append_observations(part, f"{root}/observations", ["bbox", "year"])
+        cl.refresh_sketches(spark, f"{root}/observations", f"{root}/sketches")
+    found = cl.sketch_profile(spark.read.parquet(f"{root}/sketches"))
+    exact = cl.asset_profile(obs).select("asset", F.col("distinct_values").alias("exact"))
+    error = F.abs(F.col("distinct_values") / F.col("exact") - 1)
+    return found.join(exact, "asset").select(
+        "asset", "min", "max", F.col("exact").alias("distinct_values"), (error < 0.05).alias("within_bound"))
+
+
 _NON_CROP = f"list_bool_or([contains(CDL, w) FOR w IN {o.strings(NON_CROP_CLASSES)}])"
 _PROFILE = f"""profile AS (SELECT CDL, n AS "count", kind, n*100e0/sum(n) OVER () AS "percent",
   row_number() OVER (PARTITION BY kind ORDER BY n DESC, CDL) AS rank,

@@ -34,6 +34,34 @@ def catalog_search(spark, sf_dir):
         "2024-01-20 23:59:59").select("id", "seq", "datetime")
 
 
+_TILT = "(user_id % 5)*0.01e0"
+_AX, _AY = "-91e0 + (n_nationkey % 5)*0.2e0", "35e0 + (n_nationkey // 5)*0.1e0"
+_SIDE = """SELECT {id}, i, x, y, coalesce(lead(x) OVER w, first(x) OVER w) AS tx, coalesce(lead(y) OVER w, first(y) OVER w) AS ty
+  FROM {source} WINDOW w AS (PARTITION BY {id} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
+
+
+@query("footprint_search", o.with_(o.SCENES, f"""
+kinds AS (SELECT DISTINCT user_id % 100 AS kind, min_lon, min_lat, max_lon, max_lat, {_TILT} AS t FROM scenes)""", """
+corners AS (SELECT kind, 1 AS i, min_lon + t AS x, max_lat AS y FROM kinds UNION ALL SELECT kind, 2, max_lon, max_lat - t FROM kinds
+  UNION ALL SELECT kind, 3, max_lon - t, min_lat FROM kinds UNION ALL SELECT kind, 4, min_lon, min_lat + t FROM kinds)""", f"""
+points AS (SELECT n_nationkey AS area, 1 AS i, {_AX} AS x, {_AY} AS y FROM nation
+  UNION ALL SELECT n_nationkey, 2, {_AX} + 0.07e0, {_AY} + 0.02e0 FROM nation
+  UNION ALL SELECT n_nationkey, 3, {_AX} + 0.01e0, {_AY} + 0.06e0 FROM nation)""",
+    f"ks AS ({_SIDE.format(id='kind', source='corners')})", f"pts AS ({_SIDE.format(id='area', source='points')})", """
+axes AS (SELECT kind, area, ks.ty - ks.y AS nx, ks.x - ks.tx AS ny FROM ks, (SELECT DISTINCT area FROM points)
+  UNION SELECT kind, area, pts.ty - pts.y, pts.x - pts.tx FROM pts, (SELECT DISTINCT kind FROM corners))""", """
+spans AS (SELECT a.kind, a.area, nx, ny, min(c.x*nx + c.y*ny) AS c0, max(c.x*nx + c.y*ny) AS c1,
+  min(p.x*nx + p.y*ny) AS p0, max(p.x*nx + p.y*ny) AS p1
+  FROM axes a JOIN corners c ON c.kind = a.kind JOIN points p ON p.area = a.area GROUP BY ALL)""", """
+meets AS (SELECT kind, area FROM spans GROUP BY ALL HAVING NOT bool_or(c1 < p0 OR p1 < c0))""", select="""
+SELECT area, id, seq, datetime FROM scenes JOIN meets ON kind = user_id % 100 WHERE seq % 4 <> 0
+  AND datetime BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 23:59:59'"""))
+def footprint_search(spark, sf_dir):
+    return sc.footprint_search(
+        derived.footprints(spark, sf_dir), derived.areas(spark, sf_dir), "2024-01-05 00:00:00",
+        "2024-01-20 23:59:59", ["l2a"]).select("area", "id", "seq", "datetime")
+
+
 @query("parse_scene_id", o.with_(o.SCENES, select=f"""
 SELECT id, {_BASE} AS base, split_part(id, '_', 2) AS grid, split_part(id, '_', 4)::INTEGER AS version,
   {_TILE} AS tile, count(*) AS n FROM scenes GROUP BY ALL"""))
@@ -190,10 +218,13 @@ def split_by_year(spark, sf_dir):
     return split.groupBy("split", "year").agg(F.count(F.lit(1)).alias("images"))
 
 
-@query("scan_pruned_tolerant", o.with_(o.OBS, select="SELECT CDL, count(*) AS \"count\" FROM obs GROUP BY CDL"))
+@query("scan_pruned_tolerant", o.with_(o.OBS, select="""
+SELECT CDL, count(*) AS "count", NULL::VARCHAR AS unread_file FROM obs GROUP BY CDL"""))
 def scan_pruned_tolerant(spark, sf_dir):
-    classes, _ = tables.scan_class_column(spark, _stored_observations(spark, sf_dir))
-    return classes.groupBy("CDL").count()
+    """Classes with their counts, and a row for each file that gave none."""
+    classes, unread = tables.scan_class_column(spark, _stored_observations(spark, sf_dir))
+    return classes.groupBy("CDL").count().withColumn("unread_file", F.lit(None).cast("string")).unionByName(
+        unread.withColumnRenamed("path", "unread_file"), allowMissingColumns=True)
 
 
 @query("partition_inventory", o.with_(o.OBS, select="""

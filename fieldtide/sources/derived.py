@@ -111,6 +111,25 @@ def scenes_of(events: DataFrame) -> DataFrame:
     )
 
 
+def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scene catalog of two collections with the tilted outline inside each box."""
+    tilt = "(user_id % 5) * 0.01D"
+    corners = [f"min_lon + {tilt}, 'y', max_lat", f"max_lon, 'y', max_lat - {tilt}",
+               f"max_lon - {tilt}, 'y', min_lat", f"min_lon, 'y', min_lat + {tilt}"]
+    return scenes(spark, sf_dir).selectExpr(
+        "id", "seq", "datetime", "if(seq % 4 = 0, 'l1c', 'l2a') as collection",
+        f"array({', '.join(f"named_struct('x', {c})" for c in corners)}) as footprint")
+
+
+def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A triangle of interest for every nation."""
+    x, y = "-91.0D + (n_nationkey % 5) * 0.2D", "35.0D + (n_nationkey div 5) * 0.1D"
+    corners = [f"{x}, 'y', {y}", f"{x} + 0.07D, 'y', {y} + 0.02D", f"{x} + 0.01D, 'y', {y} + 0.06D"]
+    nation = spark.read.schema("n_nationkey int").parquet(f"{sf_dir}/nation.parquet")
+    return nation.selectExpr(
+        "n_nationkey as area", f"array({', '.join(f"named_struct('x', {c})" for c in corners)}) as polygon")
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label raster as a cell table."""
     return table(spark, sf_dir, "part").selectExpr(
