@@ -68,25 +68,60 @@ def plain_score(train, url):
     return sum(math.log(p(tuple(s[i - urls.ORDER:i]), s[i])) for i in range(urls.ORDER, len(s))) / (len(s) - urls.ORDER)
 
 
-def test_models_equal_the_recursion():
+@pytest.mark.parametrize("frequent", [1 << 19, 20, 0])
+def test_models_equal_the_recursion(spark, monkeypatch, frequent):
+    monkeypatch.setattr(urls, "CALIBRATED", 0.0)
     good = ["http://a.com/fr/1", "http://bb.com/fr/22", "http://c.org/x"]
     bad = ["http://a.com/de/1", "http://c.example.org/es/7"]
-    model = urls.Model(urls.Counts.of(good), urls.Counts.of(bad), 0.0)
-    ask = ["http://q.net/fr/3", "http://q.net/de/3", "", "é", "http://a.com/fr/1"]
-    want = [plain_score(good, u) - plain_score(bad, u) for u in ask]
-    assert model.scores(ask) == pytest.approx(want)
+    ask = ["http://q.net/fr/3", "http://q.net/de/3", "", "é", "http://a.com/fr/1", "http://a.com/fr/1"] * 3
+    rows = [(u, "allow") for u in good] + [(u, "block") for u in bad]
+    asked = spark.createDataFrame([(u,) for u in ask + [None]], "url string").repartition(3)
+    model = urls.fit(spark.createDataFrame(rows * 2, "url string, verdict string"), asked, frequent)
+    assert len(model.grams) <= frequent and (model.least is None) == (frequent == 1 << 19)
+    got = model.score(asked).collect()
+    assert sorted(r.url or "" for r in got) == sorted(ask + [""])
+    for r in got:
+        url = r.url or ""
+        assert r.url_score == pytest.approx(plain_score(good, url) - plain_score(bad, url))
+
+
+def test_all_labelled_urls_are_counted(spark):
+    good, bad = ([f"http://{w}{i % 7}.net/{w}/{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)] for w in ("ok", "no"))
+    sides = [(u, "accepted") for u in good] + [(u, "rejected") for u in bad] + [(good[0], "asked")]
+    counts = urls.gram_counts(spark.createDataFrame(sides, "url string, side string").repartition(5)).toPandas()
+    assert counts.accepted.sum() == sum(len(u) + 1 for u in good)  # every character of every URL, and the end marks
+    assert counts.rejected.sum() == sum(len(u) + 1 for u in bad) and counts.gram.is_unique
+    end = int.from_bytes(b"t/ok/" + b"a", "big")
+    assert counts.set_index("gram").accepted[end] == sum("t/ok/a" in u for u in good)
+
+
+def test_threshold_tells_the_classes_apart(spark):
+    rows = [(f"http://s{i}.net/{w}/{i % 10}{chr(97 + i % 26)}", v) for i in range(300) for w, v in (("fine", "allow"), ("poor", "block"))]
+    ask = spark.createDataFrame([("http://q.net/fine/x",), ("http://q.net/poor/x",)], "url string")
+    labelled = spark.createDataFrame(rows, "url string, verdict string")
+    for frequent in (1 << 19, 10):
+        model = urls.fit(labelled, ask, frequent)
+        good, bad = (r.url_score for r in sorted(model.score(ask).collect()))
+        assert bad < model.threshold <= good
 
 
 def test_held_out_urls(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     apart = F.pmod(F.xxhash64("page_id"), F.lit(3)) == 0
     known = urls.ruled(pages.select("page_id", "url")).where("verdict is not null")
-    model = urls.fit(known.where(~apart))
-    held = known.where(apart).toPandas()
-    says = model.scores(held.url.tolist()) >= model.threshold
+    model = urls.fit(known.where(~apart), known.where(apart))
+    held = model.score(known.where(apart)).toPandas()
+    says = held.url_score >= model.threshold
     assert (says == (held.verdict == "allow")).mean() > 0.9
 
 
+def test_rare_grams_change_no_verdict(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    whole, joined = (urls.judge(pages, frequent=n).toPandas().sort_values("page_id") for n in (1 << 19, 500))
+    assert (whole.verdict.to_numpy() == joined.verdict.to_numpy()).all()
+    assert whole.url_score.to_numpy() == pytest.approx(joined.url_score.to_numpy())
+
+
 def test_every_row_is_judged(spark):
     rows = list(enumerate(ODD)) * 2
     docs = spark.createDataFrame([(i, u, "old") for i, u in rows], SCHEMA + ", host string")
