@@ -5,6 +5,10 @@ and `index.cdxj` (one line per record: key, offset, length, digest). The reader
 of the file for the central directory, with ZIP64 records where sizes or offsets exceed 32 bits,
 finds the stored members, reads the index, and fetches records by byte range. Nothing is unpacked.
 
+Packages of other writers are read too: every stored member that ends in `.warc.gz` is an archive,
+and the lines of stored `.cdxj`, `.cdx` and `.cdx.gz` members that hold JSON are their index (by
+file name). An archive that no index names is read from end to end, one gzip member at a time.
+
 Files are opened by `pyarrow.fs`, so any store it knows will do for the shared folder.
 """
 
@@ -75,37 +79,85 @@ class Record:
     headers: dict[str, str]
     payload: bytes
 
+    def get(self, name: str) -> str | None:
+        """A header; names differ in case between writers."""
+        return self.headers.get(name, self.headers.get(name.lower()))
+
+    @property
+    def own(self) -> bool:
+        return self.get("X-Payload-Length") is not None
+
+    @property
+    def kind(self) -> str | None:
+        return self.get("WARC-Type")
+
     @property
     def id(self) -> int | None:
-        named = self.headers["WARC-Record-ID"].removeprefix("<urn:page:").removesuffix(">")
-        return int(named) if named else None
+        return _page_of(self.get("WARC-Record-ID"))
 
     @property
     def uri(self) -> str:
-        return json.loads(f'"{self.headers["WARC-Target-URI"]}"')
+        named = self.get("WARC-Target-URI") or ""
+        return json.loads(f'"{named}"') if self.own else named.removeprefix("<").removesuffix(">")
 
     @property
-    def digest(self) -> str:
-        return self.headers["WARC-Payload-Digest"].removeprefix("sha1:")
+    def digest(self) -> str | None:
+        """Of the payload, as named; counted where a record of another writer names none."""
+        named = self.get("WARC-Payload-Digest")
+        if named is not None:
+            return named.removeprefix("sha1:")
+        return None if self.kind == "revisit" else payload_digest(self.payload)
 
     @property
     def refers_to(self) -> int | None:
-        named = self.headers.get("WARC-Refers-To")
-        return int(named.removeprefix("<urn:page:").removesuffix(">")) if named else None
+        return _page_of(self.get("WARC-Refers-To"))
+
+    @property
+    def payload_bytes(self) -> int | None:
+        """Of the full payload; null for a revisit that does not tell."""
+        if self.own:
+            return int(self.get("X-Payload-Length"))
+        return None if self.kind == "revisit" else len(self.payload)
+
+
+def _page_of(record_id: str | None) -> int | None:
+    """The page of an id that this module gave, else null."""
+    named = (record_id or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(named) if named.removeprefix("-").isdecimal() else None
+
+
+def parse_records(data: bytes):
+    """All records of a gzip member, usually one.
+
+    A record of this module is checked by its payload's digest, one of another writer by its
+    block's, if that is a SHA-1 in base32.
+    """
+    at = 0
+    while at < len(data):
+        end = data.find(b"\r\n\r\n", at)
+        lines = data[at:end].decode("utf-8", "surrogatepass").split("\r\n") if end >= 0 else [""]
+        if not lines[0].startswith("WARC/1."):
+            raise ValueError("not a WARC record")
+        headers = {}
+        for line in lines[1:]:
+            name, _, value = line.partition(":")
+            headers[name] = headers[name.lower()] = value[1:] if value.startswith(" ") else value
+        length = int(headers["content-length"])
+        block, at = data[end + 4:end + 4 + length], end + 8 + length
+        if len(block) != length or data[at - 4:at] != b"\r\n\r\n":
+            raise ValueError("the record's length is not what it says")
+        http = headers.get("content-type", "").startswith("application/http")
+        found = Record(headers, block.partition(b"\r\n\r\n")[2] if http else block)
+        named = headers.get("warc-block-digest", "")
+        if found.own and found.get("WARC-Refers-To") is None and payload_digest(found.payload) != found.digest:
+            raise ValueError("the payload does not match its digest")
+        if not found.own and named.startswith("sha1:") and len(named) == 37 and payload_digest(block) != named[5:].upper():
+            raise ValueError("the block does not match its digest")
+        yield found
 
 
 def parse_record(data: bytes) -> Record:
-    head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "surrogatepass").split("\r\n")
-    if not lines[0].startswith("WARC/1."):
-        raise ValueError("not a WARC record")
-    headers = dict(line.split(": ", 1) for line in lines[1:])
-    length = int(headers["Content-Length"])
-    if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
-        raise ValueError("the record's length is not what it says")
-    found = Record(headers, rest[:length].partition(b"\r\n\r\n")[2])
-    if found.refers_to is None and payload_digest(found.payload) != found.digest:
-        raise ValueError("the payload does not match its digest")
+    found, = parse_records(data)
     return found
 
 
@@ -313,19 +365,32 @@ def write_archives(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_B
     return stored(with_originals(pages, least_bytes).mapInArrow(each, MANIFEST), "manifest")
 
 
-def read_index(reader: PackageReader) -> list[tuple[int, int]]:
-    """(offset, length) of every record, in the order of the archive."""
-    at, size = reader.members[INDEX]
-    found = []
-    for line in io.BytesIO(reader.read(at, size)):
-        entry = json.loads(line.split(b" ", 1)[1])
-        found.append((entry["offset"], entry["length"]))
-    return sorted(found)
-
-
-def records_in(reader: PackageReader, places: list[tuple[int, int]], most: int = READ_BYTES):
+def read_index(reader: PackageReader) -> dict[str, list[tuple[int, int]] | None]:
+    """Archive member -> (offset, length) of its records in order; None where no index names it."""
+    archives = sorted(n for n in reader.members if n.endswith(".warc.gz"))
+    by_file = {n.rsplit("/", 1)[-1]: n for n in archives}
+    found = {n: [] for n in archives}
+    for name, (at, size) in reader.members.items():
+        if not name.endswith((".cdxj", ".cdx", ".cdx.gz", ".cdxj.gz")):
+            continue
+        data = reader.read(at, size)
+        for line in io.BytesIO(gzip.decompress(data) if name.endswith(".gz") else data):
+            start = line.find(b"{")
+            if start < 0:
+                continue
+            entry = json.loads(line[start:])
+            if "filename" in entry:
+                archive = by_file.get(str(entry["filename"]).rsplit("/", 1)[-1])
+            else:
+                archive = archives[0] if len(archives) == 1 else None
+            if archive is not None and "offset" in entry and "length" in entry:
+                found[archive].append((int(entry["offset"]), int(entry["length"])))
+    return {n: sorted(set(places)) or None for n, places in found.items()}
+
+
+def records_in(reader: PackageReader, places: list[tuple[int, int]], most: int = READ_BYTES, archive: str = DATA):
     """Records at the places, neighbouring ones fetched in one range read."""
-    base, size = reader.members[DATA]
+    base, size = reader.members[archive]
     k = 0
     while k < len(places):
         first, j = places[k][0], k + 1
@@ -336,22 +401,43 @@ def records_in(reader: PackageReader, places: list[tuple[int, int]], most: int =
             raise ValueError("the index points beyond the archive")
         data = reader.read(base + first, last - first)
         for offset, length in places[k:j]:
-            yield parse_record(gzip.decompress(data[offset - first:offset - first + length]))
+            yield from parse_records(gzip.decompress(data[offset - first:offset - first + length]))
         k = j
 
 
+def all_records(reader: PackageReader, archive: str, most: int = READ_BYTES):
+    """Records of an archive without an index; one gzip member is in memory at once."""
+    base, size = reader.members[archive]
+    at, rest, unpack, held = 0, b"", None, []
+    while at < size or rest:
+        if not rest:
+            rest = reader.read(base + at, min(most, size - at))
+            at += len(rest)
+        unpack = unpack or zlib.decompressobj(31)
+        held.append(unpack.decompress(rest))
+        rest = b""
+        if unpack.eof:
+            rest = unpack.unused_data
+            yield from parse_records(b"".join(held))
+            unpack, held = None, []
+    if unpack is not None:
+        raise ValueError("the archive is cut off")
+
+
 def read_archives(manifest: DataFrame, most_tasks: int = 20_000) -> DataFrame:
-    """(page_id, url, record_type, payload, payload_bytes, payload_digest, refers_to) of all records.
+    """(page_id, url, record_type, payload, payload_bytes, payload_digest, refers_to, record_id) of all records.
 
-    payload: null for a revisit; bytes and digest are those of the full payload. Packages are
+    payload: null for a revisit; bytes and digest are those of the full payload, so far as the
+    record tells. Records of other writers, of any type, have the page_id and refers_to null, and
+    their payload is what follows the HTTP head, or the block where there is none. Packages are
     dealt out one to a task up to most_tasks; their size is bounded by the writer.
     """
-    names = ["page_id", "url", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to"]
+    names = ["page_id", "url", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to", "record_id"]
 
     def each(batches):
         import pyarrow as pa
 
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string()]
 
         def batch_of(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
@@ -360,14 +446,15 @@ def read_archives(manifest: DataFrame, most_tasks: int = 20_000) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 reader = open_package(path)
                 rows, held = [], 0
-                for r in records_in(reader, read_index(reader)):
-                    kind = r.headers["WARC-Type"]
-                    rows.append((r.id, r.uri, kind, r.payload if kind == "response" else None,
-                                 int(r.headers["X-Payload-Length"]), r.digest, r.refers_to))
-                    held += len(r.payload) + 200
-                    if held > READ_BYTES:
-                        yield batch_of(rows)
-                        rows, held = [], 0
+                for archive, places in read_index(reader).items():
+                    found = all_records(reader, archive) if places is None else records_in(reader, places, archive=archive)
+                    for r in found:
+                        rows.append((r.id, r.uri, r.kind, None if r.kind == "revisit" else r.payload, r.payload_bytes,
+                                     r.digest, r.refers_to, r.get("WARC-Record-ID")))
+                        held += len(r.payload) + 200
+                        if held > READ_BYTES:
+                            yield batch_of(rows)
+                            rows, held = [], 0
                 if rows:
                     yield batch_of(rows)
                 reader.source.close()
@@ -375,4 +462,4 @@ def read_archives(manifest: DataFrame, most_tasks: int = 20_000) -> DataFrame:
     tasks = max(1, min(manifest.count(), most_tasks))
     return manifest.select("path").repartition(tasks).mapInArrow(
         each, "page_id long, url string, record_type string, payload binary, payload_bytes long, "
-              "payload_digest string, refers_to long")
+              "payload_digest string, refers_to long, record_id string")

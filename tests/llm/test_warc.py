@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import io
+import json
 import os
 import zipfile
 
@@ -119,3 +120,60 @@ def test_only_the_ranges_are_read(tmp_path):
     reader.read = lambda at, n: read.append(n) or plain(at, n)
     got = list(warc.records_in(reader, [places[3], places[4], places[40]]))
     assert [r.id for r in got] == [3, 4, 40] and read == [places[3][1] + places[4][1], places[40][1]]
+
+
+def foreign(kind, block, more=(), http=True):
+    head = ["WARC/1.0", f"warc-type: {kind}", "WARC-Record-ID: <urn:uuid:%s>" % hashlib.md5(block).hexdigest(),
+            f"Content-Type: {'application/http; msgtype=response' if http else 'application/warc-fields'}",
+            "WARC-Block-Digest: sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode(), *more, f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    records = [foreign("warcinfo", b"software: x\r\n", http=False)]
+    records += [foreign("response", HTTP + b"page %d" % i, [f"WARC-Target-URI: http://x.net/{i}"]) for i in range(40)]
+    records += [foreign("revisit", HTTP, ["WARC-Target-URI: <http://x.net/40>", "WARC-Payload-Digest: sha1:ABC"])]
+    packed = [gzip.compress(r) for r in records]
+    at = [sum(map(len, packed[:i])) for i in range(len(packed))]
+    lines = [b'net,x)/%d 20200101000000 ' % i + json.dumps(
+        {"offset": str(at[i]), "length": str(len(packed[i])), "filename": "b.warc.gz"}).encode() + b"\n" for i in range(1, 42)]
+    paths = []
+    for k, index in enumerate([None, ("indexes/index.cdxj", b"".join(lines)), ("indexes/index.cdx.gz", gzip.compress(b"".join(lines)))]):
+        paths.append(os.path.join(tmp_path, f"{k}.wacz"))
+        with zipfile.ZipFile(paths[-1], "w") as z:
+            z.writestr("datapackage.json", "{}", zipfile.ZIP_DEFLATED)
+            z.writestr("archive/b.warc.gz", b"".join(packed))
+            z.writestr("archive/a.warc.gz", gzip.compress(b"".join(records[1:4])))  # several records in one member, no index
+            if index:
+                z.writestr(*index)
+    for path, infos in zip(paths, (1, 0, 0)):
+        got = warc.read_archives(spark.createDataFrame([(path, 0, 0)], warc.MANIFEST)).collect()
+        kinds = [r.record_type for r in got]
+        assert (kinds.count("warcinfo"), kinds.count("response"), kinds.count("revisit")) == (infos, 43, 1)
+        pages = {r.url: r for r in got if r.record_type == "response"}
+        for i in range(40):
+            r = pages[f"http://x.net/{i}"]
+            want = b"page %d" % i
+            assert (r.page_id, bytes(r.payload), r.payload_bytes, r.payload_digest) == (None, want, len(want), sha(want.decode()))
+        again, = (r for r in got if r.record_type == "revisit")
+        assert (again.url, again.payload, again.payload_bytes, again.payload_digest) == ("http://x.net/40", None, None, "ABC")
+
+
+@pytest.mark.parametrize("most", [7, 1 << 20])
+def test_archive_is_walked_in_ranges(most):
+    records = [foreign("response", HTTP + b"page %d" % i) for i in range(9)]
+    data = b"".join(map(gzip.compress, records))
+    sink = io.BytesIO()
+    with zipfile.ZipFile(sink, "w") as z:
+        z.writestr("x.warc.gz", data)
+        z.writestr("cut.warc.gz", data[:-3])
+        z.writestr("harmed.warc.gz", gzip.compress(records[0].replace(b"page", b"pAge")))
+    reader = warc.PackageReader(sink, len(sink.getvalue()))
+    assert warc.read_index(reader) == {"cut.warc.gz": None, "harmed.warc.gz": None, "x.warc.gz": None}
+    assert [r.payload for r in warc.all_records(reader, "x.warc.gz", most)] == [b"page %d" % i for i in range(9)]
+    for name in ("cut.warc.gz", "harmed.warc.gz"):
+        with pytest.raises(ValueError):
+            list(warc.all_records(reader, name, most))
