@@ -1,7 +1,10 @@
 """Language ID: held-out accuracy, and what is never looked at."""
 
+import math
+import re
 import zlib
 
+import zstandard
 from pyspark.sql import functions as F
 
 from fieldtide.llm import langid
@@ -52,3 +55,45 @@ def test_held_out_is_crc(spark):
     got = spark.range(200).withColumnRenamed("id", "doc_id").select("doc_id", langid.held_out().alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
     assert spark.sql("SELECT CAST(NULL AS BIGINT) AS doc_id").select(langid.held_out()).first()[0] is False
+
+
+def plain_judgement(model, text, margin=langid.MARGIN):
+    """The smallest encoding, from fresh coders for every block and text."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0, False
+
+    def coded(data, book, level):
+        book = zstandard.ZstdCompressionDict(book, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(
+            level=level, dict_data=book, write_content_size=False, write_checksum=False, write_dict_id=False).compress(data))
+
+    words, word = [], ""
+    for c in text.lower() + " ":
+        if c.isalnum() and not re.match(r"\d", c):
+            word += c
+        elif word:
+            words.append(word)
+            word = ""
+    data = f" {' '.join(words)} ".encode()
+    sizes = {}
+    for name, book in model.items():
+        sizes[name] = sum(coded(data[i:i + langid.BLOCK], book, langid.LEVEL) for i in range(0, len(data), langid.BLOCK))
+        if len(data) < langid.SHORT:
+            step = math.ceil(len(book) / langid.SHORT_PARTS)
+            parts = [coded(data, book[i:i + step], langid.SHORT_LEVEL) for i in range(0, len(book), step)]
+            sizes[name] += sum(parts) / len(parts)
+    best, second = sorted(sizes.items(), key=lambda kv: (kv[1], kv[0]))[:2]
+    score = (second[1] - best[1]) / second[1]
+    return best[0], score, score >= margin
+
+
+def test_judgement_equals_plain_compression(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs.where(langid.learned_rows()))
+    rows = langid.classify(docs, model).collect()
+    odd = [(None,), ("",), ("12 - 34",), ("a",), ("word1word_Word É" * 3000,)]
+    rows += langid.classify(spark.createDataFrame(odd, "text string"), model).collect()
+    assert len(model) > 1 and len(rows) == docs.count() + len(odd)
+    for r in rows:
+        lang, score, accepted = plain_judgement(model, r.text)
+        assert (r.lang_pred, r.accepted) == (lang, accepted) and abs(r.score - score) < 1e-12

@@ -1,5 +1,7 @@
 """Co-training: held-out accuracy and odd inputs."""
 
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -86,3 +88,70 @@ def test_rows_of_one_id_teach_once_and_ids_may_be_null(spark, monkeypatch):
     (labelled, pool), = seen
     assert labelled == 40  # one row for each labelled id
     assert pool.count() == 20 + 30 and pool.select("key").distinct().count() == 2 + 3
+
+
+def plain_logistic(rows, marks, ridge):
+    """Ridge logistic regression by small gradient steps with momentum, until the slope is nothing."""
+    x = np.hstack([np.asarray(rows), np.ones((len(rows), 1))])
+    penalty = np.full(x.shape[1], ridge)
+    penalty[-1] = 1e-6
+    w, v, k = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0
+    step = 1 / (np.linalg.norm(x, 2) ** 2 / 4 + ridge)
+    for _ in range(300_000):
+        ahead = w + k / (k + 3) * v
+        slope = x.T @ (1 / (1 + np.exp(-x @ ahead)) - marks) + penalty * ahead
+        new = ahead - step * slope
+        k = k + 1 if slope @ (new - w) <= 0 else 0  # uphill: start anew without momentum
+        w, v = new, new - w
+        if np.abs(slope).max() < 1e-8:
+            break
+    else:
+        raise AssertionError("the plain form has not converged")
+    return w
+
+
+def test_co_training_equals_a_plain_form():
+    rng = np.random.default_rng(11)
+    y = (rng.random(700) < 0.6).astype(float)
+    views = [np.hstack([(y[:, None] - 0.5) * s + rng.standard_normal((700, 1)), rng.standard_normal((700, 3))]) for s in (4, 6)]
+    few, rest = slice(0, 100), slice(100, 700)
+    model = quality.co_train([v[few] for v in views], y[few], [v[rest] for v in views], rounds=2, exchanged=30)
+    train = [i for i in range(100) if i % 4 != 3]
+    hold = [i for i in range(100) if i % 4 == 3]
+    rows = [[v[i] for i in train] for v in views]
+    marks = [[y[i] for i in train] for _ in views]
+    share, free = np.mean(y[train]), set(range(100, 700))
+    p = lambda w, row: 1 / (1 + np.exp(-(row @ w[:-1] + w[-1])))
+    for _ in range(2):
+        weights = [plain_logistic(r, np.array(m), 1.0) for r, m in zip(rows, marks)]
+        picks = []
+        for v, w in zip(views, weights):
+            sure = sorted((-abs(p(w, v[i]) - 0.5), i) for i in free)
+            good = [i for _, i in sure if p(w, v[i]) >= quality.SURE][:int(np.ceil(30 * share))]
+            bad = [i for _, i in sure if p(w, v[i]) <= 1 - quality.SURE][:int(np.ceil(30 * (1 - share)))]
+            picks.append([(i, 1.0) for i in good] + [(i, 0.0) for i in bad])
+        for view in (0, 1):
+            rows[view] += [views[view][i] for i, _ in picks[1 - view]]
+            marks[view] += [mark for _, mark in picks[1 - view]]
+        free -= {i for pair in picks for i, _ in pair}
+    assert all(len(m) > 75 + 10 for m in marks)  # both views were taught
+    weights = [plain_logistic(r, np.array(m), 1.0) for r, m in zip(rows, marks)]
+    z = [[v[i] @ w[:-1] + w[-1] for i in range(700)] for v, w in zip(views, weights)]
+    scaled = []
+    for m in z:
+        a, b = plain_logistic([[m[i]] for i in hold], y[hold], 0.1)
+        scaled.append([a * k + b for k in m])
+    mix = plain_logistic([[s[i] for s in scaled] for i in hold], y[hold], 0.1)
+    want = [1 / (1 + np.exp(-(sum(s[i] * k for s, k in zip(scaled, mix)) + mix[-1]))) for i in range(700)]
+    got, parts = model.scores(views)
+    assert np.allclose(got, want, atol=1e-3)
+    assert all(np.allclose(part, 1 / (1 + np.exp(-np.array(s))), atol=1e-3) for part, s in zip(parts, scaled))
+
+
+def test_text_view_marks_bytes_and_words_that_occur():
+    text = "Aa bb bb é\n\n2 bb bb  Aa"
+    got = quality.text_view(text)
+    data, words = text.encode(), text.encode().split()
+    assert got[:256].sum() > 0 and all((got[b] > 0) == (b in data) for b in range(256))
+    slots = {zlib.crc32(w) % quality.WORD_SLOTS for w in words}
+    assert {i for i in range(quality.WORD_SLOTS) if got[256 + i] > 0} == slots
