@@ -67,8 +67,13 @@ def scene_asset_health(obs: DataFrame) -> DataFrame:
 
 
 def assemble_assets(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Sampled assets side by side on (pixel, scene); values combine before the shuffle."""
-    return samples.groupBy(*keys).pivot("asset", ASSETS).agg(F.max("value"))
+    """Sampled assets side by side on (pixel, scene).
+
+    One aggregate for all assets: the samples of a scene meet before the shuffle, which carries
+    one row for a pixel and scene. (A pivot groups by key and asset first and shuffles each sample.)
+    """
+    return samples.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("asset") == a, F.col("value"))).alias(a) for a in ASSETS])
 
 
 def unpadded_rows(rows: DataFrame, normalised: bool) -> DataFrame:
