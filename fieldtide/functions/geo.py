@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldtide.functions import vectors
+
 EARTH_RADIUS = 6378137.0
 
 # Conus Albers equal area on the GRS80 ellipsoid: fixed values (EPSG:5070).
@@ -132,11 +134,22 @@ def transverse_mercator(
 ) -> tuple[Column, Column]:
     """(x, y) in metres from the central meridian and the equator."""
     k = mercator_series(flattening)
-    sine, along = F.sin(F.radians(lat)), F.radians(lon - meridian)
+    sine = F.sin(F.radians(lat))
     t = F.sinh(F.atanh(sine) - F.atanh(sine * k["e"]) * k["e"])
-    xi, eta = F.atan2(t, F.cos(along)), F.atanh(F.sin(along) / F.sqrt(t * t + 1))
-    real, imaginary = _complex_sine(k["forward"], xi, eta)
-    return (eta + imaginary) * (scale * radius * k["a"]), (xi + real) * (scale * radius * k["a"])
+
+    def angles(v: Column) -> Column:
+        return F.struct(F.atan2(v["t"], F.cos(v["along"])).alias("xi"),
+                        F.atanh(F.sin(v["along"]) / F.sqrt(v["t"] * v["t"] + 1)).alias("eta"))
+
+    def metres(v: Column) -> Column:
+        real, imaginary = _complex_sine(k["forward"], v["xi"], v["eta"])
+        return F.struct(((v["eta"] + imaginary) * (scale * radius * k["a"])).alias("x"),
+                        ((v["xi"] + real) * (scale * radius * k["a"])).alias("y"))
+
+    # each step once per row: written out, t alone would stand in the result some thirty times
+    placed = vectors.let(vectors.let(
+        F.struct(t.alias("t"), F.radians(lon - meridian).alias("along")), angles), metres)
+    return placed["x"], placed["y"]
 
 
 def inverse_transverse_mercator(

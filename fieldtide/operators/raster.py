@@ -73,6 +73,11 @@ def decode_classes(cells: DataFrame, legend: DataFrame) -> DataFrame:
     return joined.select(*[c for c in joined.columns if c not in ("red", "green", "blue")], *black)
 
 
+def counted_points(points: DataFrame) -> DataFrame:
+    """Distinct points with `points`, how often each occurs: equal ones are sampled once."""
+    return points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("points"))
+
+
 def sample_at_points(
     points: DataFrame, cells: DataFrame, x: Column, y: Column,
     origin_x: float, origin_y: float, size: float, rasters: Sequence[str] = (),
@@ -101,14 +106,18 @@ def sample_rasters(
     a UTM zone give a null code. The result has the point's columns, raster, row, col and code.
 
     Points meet the grid table first, so the cell lookup is one equi-join on (raster, row, col),
-    dealt by all three; the grid table is small and adaptive execution broadcasts it if it is.
+    dealt by all three. The grid table (a row per raster, no cells) is broadcast: dealt by `on`,
+    all points of a tile would lie in one task. A point is projected once for all rasters that
+    share a system.
     """
-    grid = rasters.select(*on, "raster", "epsg", "origin_x", "origin_y", "cell")
-    asked = points.join(grid, list(on))
+    grid = F.struct("raster", "origin_x", "origin_y", "cell")
+    grids = rasters.groupBy(*on, "epsg").agg(F.collect_list(grid).alias("_grids"))
+    asked = points.join(F.broadcast(grids), list(on))
     x, y = geo.lonlat_to_crs(F.col("lon"), F.col("lat"), F.col("epsg"))
     row = F.floor((F.col("origin_y") - F.col("_y")) / F.col("cell")).cast("bigint")
     col = F.floor((F.col("_x") - F.col("origin_x")) / F.col("cell")).cast("bigint")
     placed = asked.withColumns({"_x": x, "_y": y}).select(
+        *points.columns, "_x", "_y", F.inline("_grids")).select(
         *points.columns, "raster", row.alias("row"), col.alias("col"))
     return placed.join(cells.select("raster", "row", "col", "code"), ["raster", "row", "col"], "left")
 

@@ -96,8 +96,8 @@ def sample_raster_at_points(spark, sf_dir):
         (F.lit(ORIGIN_X) + (F.col("l_partkey") % 52) * CELL + 7).alias("x"),
         (F.lit(ORIGIN_Y) - (F.col("l_orderkey") % 45) * CELL - 11).alias("y"))
     hit = rs.sample_at_points(
-        pts, _cells(spark, sf_dir), F.col("x"), F.col("y"), ORIGIN_X, ORIGIN_Y, CELL)
-    return hit.groupBy("row", "col", "code").agg(F.count(F.lit(1)).alias("points"))
+        rs.counted_points(pts), _cells(spark, sf_dir), F.col("x"), F.col("y"), ORIGIN_X, ORIGIN_Y, CELL)
+    return hit.groupBy("row", "col", "code").agg(F.sum("points").alias("points"))
 
 
 @query("crop_window", o.with_(o.CELLS, select="""
@@ -116,12 +116,13 @@ def sample_rasters_at_points(spark, sf_dir):
     ids = lambda n: F.explode(F.array(*map(F.lit, range(n)))).alias("raster")
     pts = derived.table(spark, sf_dir, "lineitem").select(
         (F.lit(ORIGIN_X) + (F.col("l_partkey") % 52) * CELL + 7).alias("x"),
-        (F.lit(ORIGIN_Y) - (F.col("l_orderkey") % 45) * CELL - 11).alias("y"), ids(4))
+        (F.lit(ORIGIN_Y) - (F.col("l_orderkey") % 45) * CELL - 11).alias("y"))
+    pts = rs.counted_points(pts).select("*", ids(4))
     cells = _cells(spark, sf_dir).select("row", "col", "code", ids(3)).withColumn(
         "code", F.col("code") + F.col("raster"))
     hit = rs.sample_at_points(
         pts, cells, F.col("x"), F.col("y"), ORIGIN_X, ORIGIN_Y, CELL, ["raster"])
-    return hit.groupBy("raster", "row", "col", "code").agg(F.count(F.lit(1)).alias("points"))
+    return hit.groupBy("raster", "row", "col", "code").agg(F.sum("points").alias("points"))
 
 
 #: Rasters of two tiles, each in the zone of its tile at three cell sizes, and one per tile that
@@ -170,8 +171,8 @@ def sample_rasters_by_crs(spark, sf_dir):
         F.expr(_LON0).alias("lon"), F.expr(_LAT0).alias("lat"))
     read = [g[1] for g in GRIDS if g[5] != UNREAD]
     cells = _cells(spark, sf_dir).select("row", "col", "code", F.explode(F.array(*map(F.lit, read))).alias("raster"))
-    hit = rs.sample_rasters(pts, grids, cells, ["tile"])
-    return hit.groupBy("raster", "row", "col", "code").agg(F.count(F.lit(1)).alias("points"))
+    hit = rs.sample_rasters(rs.counted_points(pts), grids, cells, ["tile"])
+    return hit.groupBy("raster", "row", "col", "code").agg(F.sum("points").alias("points"))
 
 
 @query("utm_cells", o.with_(o.CELLS, select=f"""
