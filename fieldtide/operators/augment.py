@@ -1,4 +1,4 @@
-"""Augmentation of example tables (features: flat float array, steps x width).
+"""Augmentation of example tables (features: flat array of numbers, steps x width).
 
 Draws come from a seeded hash of the row or batch, so a task that runs again
 after a lost executor produces the same rows.
@@ -126,7 +126,7 @@ def time_channel(examples: DataFrame, steps: int, width: int) -> DataFrame:
     def rows(features: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.concat(
             F.slice(features, i * width + 1, F.lit(width)),
-            F.array((i / (steps - 1)).cast("float"))))
+            F.array(i / (steps - 1))))
 
     return examples.withColumn("features", F.flatten(vectors.let(F.col("features"), rows)))
 

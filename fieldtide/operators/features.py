@@ -80,7 +80,7 @@ def stats_array(stats: DataFrame) -> Column:
 def _row_features(bands: Column, num_features: int, stats: str | None) -> Column:
     row = channels_of(bands, num_features)
     if stats is None:
-        return F.transform(row, lambda x: x.cast("float"))
+        return F.transform(row, lambda x: x.cast("double"))
     return F.transform(row, lambda x, i: vectors.zscore(
         x.cast("double"), F.col(stats)[i]["mean"], F.col(stats)[i]["std"]).cast("float"))
 
@@ -88,12 +88,14 @@ def _row_features(bands: Column, num_features: int, stats: str | None) -> Column
 def flat_features(
     spec: WindowSpec, num_features: int = len(CHANNELS), stats: str | None = None,
 ) -> Column:
-    """Padded matrix of `picks` as one flat float array (bucket-major).
+    """Padded matrix of `picks` as one flat array (bucket-major).
 
+    Raw values are doubles: the enhanced index has no bound, and a float keeps whole numbers up to
+    2^24 only. Normalised values are floats.
     Only filled buckets are computed; the gaps before, between and after them are
     filled with zeros in place.
     """
-    zeros = F.array_repeat(F.lit(0.0).cast("float"), num_features)
+    zeros = F.array_repeat(F.lit(0.0).cast("double" if stats is None else "float"), num_features)
     by_bucket = F.map_from_entries(F.transform("picks", lambda p: F.struct(
         p["bucket"], _row_features(p["bands"], num_features, stats))))
     slots = F.sequence(F.lit(0), F.lit(spec.size - 1))
