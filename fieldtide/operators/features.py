@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fieldtide.constants import BANDS, CHANNELS, INDICES, LEGEND
+from fieldtide.constants import (
+    BANDS, CHANNELS, DAY_CLIP, INDICES, LEGEND, NO_CROP, SCL_VEGETATION, UNCULTIVATED,
+)
 from fieldtide.functions import spectral, vectors
+from fieldtide.functions.spectral import EPS
 from fieldtide.operators import labels, windows as wn
 from fieldtide.operators.windows import WindowSpec
 
+# Executors get the functions of this module with the task, so they need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Band positions the index channels read.
 BLUE, RED, NIR, SWIR = (BANDS.index(b) for b in ("blue", "red", "nir", "swir16"))
 
@@ -140,6 +149,99 @@ def make_examples(
         vectors.one_hot(F.col("label"), len(LEGEND)).alias("one_hot"))
 
 
+def _picked(day, owner, start: int, days: int, width: int):
+    """Images (positions) that open a bucket of the window, with their bucket; as windows.cut."""
+    import numpy as np
+
+    at = np.flatnonzero((day >= start) & (day <= start + days))
+    who = owner[at]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = who[1:] != who[:-1]
+    first = day[at][new][np.cumsum(new) - 1]
+    bucket = np.clip(day[at] - first, 0, DAY_CLIP) // width
+    new[1:] |= bucket[1:] != bucket[:-1]
+    return at[new], bucket[new]
+
+
+def _channel_rows(bands, stats):
+    """Channels of every image, raw or normalised; the arithmetic of functions.spectral."""
+    import numpy as np
+
+    blue, red, nir, swir = (bands[:, i].astype("float64") for i in (BLUE, RED, NIR, SWIR))
+    eps = EPS
+    index = [np.clip((nir - red) / (nir + red + eps), -1.0, 1.0),
+             (nir - red) * 2.5 / (nir + red * 6 - blue * 7.5 + 1 + eps),
+             (nir - swir) / (nir + swir + eps), (swir - nir) / (swir + nir + eps)]
+    rows = np.column_stack([bands, *[np.trunc(x * 100) for x in index]]).astype("float64")
+    if stats is None:
+        return rows + 0.0
+    mean, std = stats
+    with np.errstate(divide="raise"):
+        return np.divide(rows - mean, std, out=np.zeros_like(rows), where=rows != 0).astype("float32")
+
+
+def _no_crop(who, scl, n: int, frames: int):
+    """Windows whose last `frames` buckets with a mask class show no vegetation, of those that have any."""
+    import numpy as np
+
+    who, scl = who[scl != 0], scl[scl != 0]
+    held = np.bincount(who, minlength=n)
+    left = np.cumsum(held)[who] - np.arange(len(who))  # 1 for the last of a window
+    green = np.zeros(n, dtype=bool)
+    green[who[(left <= frames) & (scl == SCL_VEGETATION)]] = True
+    return (held > 0) & ~green
+
+
+def swept_examples(
+    series: DataFrame, spec: WindowSpec, days: Sequence[int], keep: Sequence[str],
+    stats: DataFrame | None = None,
+) -> DataFrame:
+    """The rows of `make_examples` for every series at every start day, cut in Arrow batches.
+
+    The channels of an image are computed once for all windows, and a window costs a few array
+    operations for a whole batch of series; expressions over arrays are interpreted element by
+    element in Spark. stats: (channel, mean, std), 16 rows, collected. Bands must not be null.
+    """
+    days = list(days)
+    scale = None
+    if stats is not None:
+        table = sorted((r["channel"], r["mean"], r["std"]) for r in stats.collect())
+        scale = [[float("nan") if r[k] is None else r[k] for r in table] for k in (1, 2)]
+    kind = T.DoubleType() if stats is None else T.FloatType()
+    schema = series.select(*keep).schema.add("start_day", T.IntegerType()).add(
+        "features", T.ArrayType(kind)).add("label", T.IntegerType())
+    # plain numbers: a task has no copy of the package
+    size, width, length, bucket_days, frames = spec.size, len(CHANNELS), spec.days, spec.bucket, spec.frames
+
+    def cut(records):
+        import numpy as np
+        import pyarrow as pa
+
+        for record in records:
+            n, first = record.num_rows, len(keep)
+            if not n:
+                continue
+            base, day, scl, bands = record.columns[first:]
+            owner = np.repeat(np.arange(n), np.diff(day.offsets.to_numpy()))
+            day, scl, base = day.flatten().to_numpy(), scl.flatten().to_numpy(), base.to_numpy()
+            rows = _channel_rows(bands.flatten().to_numpy().reshape(len(day), len(BANDS)), scale)
+            ends = pa.array(np.arange(n + 1, dtype="int32") * (size * width))
+            for start in days:
+                at, bucket = _picked(day, owner, start, length, bucket_days)
+                matrix = np.zeros((n, size, width), dtype=rows.dtype)
+                matrix[owner[at], bucket] = rows[at]
+                label = np.where((base != UNCULTIVATED) & _no_crop(owner[at], scl[at], n, frames), NO_CROP, base)
+                yield pa.RecordBatch.from_arrays(
+                    [*record.columns[:first], pa.array(np.full(n, start, dtype="int32")),
+                     pa.ListArray.from_arrays(ends, pa.array(matrix.ravel())), pa.array(label.astype("int32"))],
+                    [*keep, "start_day", "features", "label"])
+
+    plain = series.select(
+        *keep, labels.base_label(F.col("CDL")).cast("int").alias("_base"), F.col("images.day").alias("_days"),
+        F.col("images.scl").alias("_scl"), F.flatten("images.bands").alias("_bands"))
+    return plain.mapInArrow(cut, schema).withColumn("one_hot", vectors.one_hot(F.col("label"), len(LEGEND)))
+
+
 def value_counts(rows: DataFrame, channels: Sequence[str] = CHANNELS) -> DataFrame:
     """(channel, value, n) of the non-zero values; shrinks before the shuffle."""
     table = F.array(*[

@@ -262,8 +262,7 @@ SELECT {o.KEY}, start_day, candidate AS prediction, round(distance, 2) AS distan
 QUALIFY row_number() OVER (PARTITION BY {o.KEY}, start_day ORDER BY distance, candidate) = 1"""))
 def centroid_score(spark, sf_dir):
     whole = _stored_series(spark, sf_dir)
-    ex = ft.make_examples(
-        wn.sweep_start_days(whole), SPEC, start_day=F.col("start_day"), keep=SERIES)
+    ex = ft.swept_examples(whole, SPEC, SWEEP_START_DAYS, SERIES)
     scored = model.centroid_score(
         ex, _centroids(tables.drop_double_crops(whole)), SPEC.size, [*SERIES, "start_day"])
     return scored.withColumn("distance", _r("distance", 2))
@@ -288,7 +287,7 @@ def _model_inputs(spark, sf_dir):
     root = shared_folder(spark, "statistics")
     ft.norm_stats(ft.pick_rows(window, *SERIES)).write.parquet(root)
     stats = spark.read.parquet(root)
-    ex = ft.make_examples(train, SPEC, stats, start_day=F.lit(0), keep=SERIES)
+    ex = ft.swept_examples(train, SPEC, [0], SERIES, stats)
     split = F.when(F.col("year") < FIRST_HELD_OUT, "train").otherwise("val")
     root = shared_folder(spark, "training")
     sinks.write_training_set(ex.withColumn("split", split), root)
@@ -306,8 +305,7 @@ def train_classifier(spark, sf_dir):
 
 
 def _swept_examples(whole, stats):
-    swept = wn.sweep_start_days(whole)
-    return ft.make_examples(swept, SPEC, stats, start_day=F.col("start_day"), keep=SERIES)
+    return ft.swept_examples(whole, SPEC, SWEEP_START_DAYS, SERIES, stats)
 
 
 @query("score_sweep")

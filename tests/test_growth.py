@@ -2,9 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from fieldtide.functions import geo
-from fieldtide.operators import quality, raster as rs
+from fieldtide.constants import SERIES
+from fieldtide.functions import geo, vectors
+from fieldtide.operators import features as ft, quality, raster as rs, series as sr, windows as wn
+from fieldtide.operators.windows import WindowSpec
 from fieldtide.plans import catalog
+from fieldtide.plans.series_queries import masked
 from fieldtide.sources import derived
 from tests.test_plans import exchanges, plan
 
@@ -42,3 +45,23 @@ def test_equal_points_are_sampled_once(spark):
 def test_stages_are_fused_as_far_as_they_are_compiled(spark, sf_dir):
     catalog.QUERIES["clean_numeric"](spark, sf_dir)
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_swept_examples_are_those_of_the_expressions(spark, sf_dir):
+    """Windows cut in Arrow batches: the same rows as windows cut by expressions, bit for bit."""
+    whole = sr.window_series(masked(spark, sf_dir))
+    days = [-15, 0, 45, 200, 400]
+    stats = ft.norm_stats(ft.pick_rows(wn.cut(whole.withColumn("start_day", F.lit(0)), WindowSpec()), *SERIES))
+    for given in (None, stats):
+        want = ft.make_examples(
+            wn.sweep_start_days(whole, days), WindowSpec(), given, start_day=F.col("start_day"), keep=SERIES)
+        got = ft.swept_examples(whole, WindowSpec(), days, SERIES, given).select(*want.columns)
+        assert dict(got.dtypes) == dict(want.dtypes)
+        rows = [sorted(map(str, df.collect())) for df in (want, got)]
+        assert rows[0] == rows[1] and len(rows[0]) == len(days) * whole.count()
+
+
+def test_derived_arrays_are_exploded_without_computing_them_again(spark):
+    wide = spark.range(3).select("id", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda x: F.sin(x + F.col("id"))).alias("v"))
+    rows = wide.select("id", F.posexplode(vectors.held("v")).alias("i", "x"))
+    assert plan(rows).split("== Physical")[0].lower().count("sin(") == 1 and rows.count() == 12
