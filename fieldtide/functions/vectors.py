@@ -48,6 +48,14 @@ def entries(values: str) -> Column:
     return F.when(F.size(values) > 0, F.col(values))
 
 
+def held(values: str) -> Column:
+    """An array column as the argument of explode, computed once per row.
+
+    Like `entries`; but a derived column would be computed there for its size and for its values.
+    """
+    return let(F.col(values), lambda v: F.when(F.size(v) > 0, v))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with the value computed once per row.
 

@@ -148,7 +148,7 @@ _CELLS_SQL = f"""cells_ AS (SELECT {o.KEY}, bucket*16 + pos AS i, v::DOUBLE AS v
 
 def _long(df, *keep):
     """One row per feature, so that the check compares the features themselves."""
-    return df.select(*SERIES, *keep, F.posexplode("features").alias("i", "v")).withColumn(
+    return df.select(*SERIES, *keep, F.posexplode(vectors.held("features")).alias("i", "v")).withColumn(
         "v", _r(F.col("v").cast("double"), 5))
 
 
