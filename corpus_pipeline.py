@@ -25,7 +25,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word similarity of 0.8 and more: the document with the smallest id of each group stays."""
+    """SimHash links, and five-word similarity of 0.8 and more beyond them: of each group the
+    document with the smallest id stays."""
     return neardup.drop_similar(docs)
 
 

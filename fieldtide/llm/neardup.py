@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtide.llm.common import components, forest, grouped_batches, pair_blocks, stored
-from fieldtide.llm.simhash import BITS, BLOCK, PART, _by_doc
+from fieldtide.llm.simhash import BITS, BLOCK, PART, _by_doc, simhash_groups
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -318,11 +318,28 @@ def similar_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return marked.select("doc_id", "digest").join(named, "digest").select("doc_id", "component")
 
 
+def near_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(doc_id, component): documents joined by SimHash links or by similar shingle sets.
+
+    The first are the links of `simhash.close_links`, from the range join over segment counts; the
+    second add what lies beyond their radius. component is the smallest doc_id of the group.
+    """
+    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    marked = simhash_groups(plain).select("doc_id", "component")
+    both = stored(marked.union(similar_groups(docs, block)).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("component").cast("long").alias("component")), "near-both")
+    groups = components(both.where("doc_id <> component").select(
+        F.col("component").alias("a"), F.col("doc_id").alias("b")).distinct())
+    ids = both.select("doc_id").distinct()
+    return ids.join(groups, ids.doc_id == groups.id, "left").select(
+        "doc_id", F.coalesce("component", "doc_id").alias("component"))
+
+
 def drop_similar(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One document of each group: the one with the smallest doc_id (one of its repeated rows).
 
     Rows without doc_id cannot be told apart from the document that stays, and are all kept.
     """
-    keep = similar_groups(docs, block).where("doc_id = component").select("doc_id").distinct()
+    keep = near_groups(docs, block).where("doc_id = component").select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").withColumn("__row", F.row_number().over(_by_doc()))
     return kept.where("__row = 1").drop("__row").select(*docs.columns).union(docs.where("doc_id is null"))

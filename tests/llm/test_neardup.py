@@ -112,3 +112,16 @@ def test_cells_meet_as_often_as_computed():
         pool = rng.integers(0, 2**64, 1000, dtype=np.uint64)
         met += bool((neardup.anchor_cells(pool[:800]) == neardup.anchor_cells(pool[200:])).any())
     assert 0.89 < met / 400 < 0.98
+
+
+def test_simhash_links_are_part_of_the_stage(spark):
+    """Fingerprints within the radius are one group, whatever the similarity of the word sets."""
+    from fieldtide.llm.simhash import fingerprint
+
+    words = [f"w{i}" for i in range(400)]
+    a = " ".join(words[:9] * 300)  # nine shingles in equal shares: no bit is near its half
+    b = a + " " + " ".join(words[10:30])  # few of all shingles, most of the distinct ones
+    assert bin((fingerprint(a) ^ fingerprint(b)) & (2**64 - 1)).count("1") <= 3
+    docs = spark.createDataFrame([(7, a), (9, b), (11, " ".join(words))], "doc_id long, text string")
+    assert {r.doc_id for r in neardup.similar_groups(docs).where("doc_id = component").collect()} == {7, 9, 11}
+    assert {r.doc_id for r in neardup.drop_similar(docs).collect()} == {7, 11}
