@@ -41,10 +41,14 @@ def pair_blocks(entries: DataFrame, bucket: str, key: str, limit: int) -> DataFr
 
     Every two entries of a bucket meet in exactly one (bucket, lo, hi). `own` tells the block of
     an entry; where lo < hi only entries of different blocks are to be compared, as each block
-    meets itself in (b, b). No bucket is dropped or capped.
+    meets itself in (b, b). No bucket is dropped or capped. The list of hot buckets always has
+    a row (bucket zero), as adaptive execution takes the join with an empty one out of the plan:
+    the join gives one row an entry, whether there is a hot bucket or not.
     """
+    zero = F.lit(0).cast(entries.schema[bucket].dataType)
+    listed = entries.select(bucket).union(entries.sparkSession.range(0, 1, 1, 1).select(zero.alias(bucket)))
     hot = (
-        entries.groupBy(bucket).count().where(F.col("count") > limit)
+        listed.groupBy(bucket).count().where((F.col("count") > limit) | (F.col(bucket) == zero))
         .select(bucket, F.ceil(F.col("count") / limit).cast("int").alias("blocks"))
     )
     blocks = F.coalesce("blocks", F.lit(1))

@@ -27,7 +27,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 RADIUS = 62  # of 256 bits; a pair of similarity 0.8 differs in 38.8, standard deviation 5.7
 SPREAD = 500  # links of a text that are decided in one place
-CACHED_WORDS = 400_000
+HELD = 500_000  # pairs of a table that wait for their forest
+FEW = 50  # rows of a cell block whose shingle sets are compared one by one
+MASKED_WORDS = 1 << 22  # of 64 bits: the masks of a cell block
+CACHED_WORDS = 100_000
 WIDE = ["w0", "w1", "w2", "w3"]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _DRAWS = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * ROWS, 1), dtype=np.uint64)
@@ -115,32 +118,32 @@ def sketches(docs: DataFrame) -> DataFrame:
         each, f"doc_id long, digest long, size long, {longs}, cells array<long>")
 
 
-def _candidates(table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions and bit distance of pairs of one cell whose groups differ, sizes fit and
-    fingerprints are near, the nearest first."""
-    cell, lo, hi, own, size, group = (table[c].to_numpy() for c in ("cell", "lo", "hi", "own", "size", "component"))
-    wide = np.stack([table[w].to_numpy().view(np.uint64) for w in WIDE], axis=1)
+def _runs(table) -> np.ndarray:
+    """Number of the cell block of each row of a sorted table."""
+    cell, lo, hi = (table[c].to_numpy() for c in ("cell", "lo", "hi"))
     new = np.ones(len(cell), dtype=bool)
     new[1:] = (cell[1:] != cell[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-    run = np.cumsum(new)
-    none = np.zeros(0, dtype=np.int64)
-    first, second, far = [none], [none], [none]
-    at, k = np.arange(len(cell)), 0
+    return np.cumsum(new) - 1
+
+
+def _candidates(table, run: np.ndarray):
+    """Positions and bit distance of pairs of one cell block whose groups differ, sizes fit and
+    fingerprints are near. They come by distance of their rows, at most one pair a row at a time,
+    so no task holds the pairs of a block."""
+    lo, hi, own, size, group = (table[c].to_numpy() for c in ("lo", "hi", "own", "size", "component"))
+    wide = np.stack([table[w].to_numpy().view(np.uint64) for w in WIDE], axis=1)
+    at, k = np.arange(len(run)), 0
     while len(at):
         k += 1
-        at = at[at + k < len(cell)]
+        at = at[at + k < len(run)]
         at = at[run[at] == run[at + k]]
         near = at[((lo[at] == hi[at]) | (own[at] != own[at + k])) & (group[at] != group[at + k])]
         small, large = np.minimum(size[near], size[near + k]), np.maximum(size[near], size[near + k])
         near = near[small >= SIMILARITY * large - 1e-9]
         bits = np.bitwise_count(wide[near] ^ wide[near + k]).sum(axis=1).astype(np.int64)
         near, bits = near[bits <= RADIUS], bits[bits <= RADIUS]
-        first.append(near)
-        second.append(near + k)
-        far.append(bits)
-    x, y, bits = np.concatenate(first), np.concatenate(second), np.concatenate(far)
-    order = np.argsort(bits, kind="stable")
-    return x[order], y[order], bits[order]
+        if len(near):
+            yield near, near + k, bits
 
 
 def nearest_forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -158,6 +161,24 @@ def nearest_forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.concatenate(kept) if kept else nth
 
 
+def nearest_pairs(n: int, steps, held: int = HELD) -> np.ndarray:
+    """The pairs (2 rows) of a minimum spanning forest of n nodes under the pairs x-y of all steps.
+
+    steps: (x, y, distance) in any order. At most `held` pairs beside a forest and one step are kept.
+    """
+    def least(parts):
+        found = np.concatenate(parts, axis=1)
+        found = found[:, np.argsort(found[2], kind="stable")]
+        return found[:, nearest_forest(n, found[0], found[1])]
+
+    parts = [np.zeros((3, 0), dtype=np.int64)]
+    for step in steps:
+        parts.append(np.stack(step))
+        if sum(p.shape[1] for p in parts[1:]) > held:
+            parts = [least(parts)]
+    return least(parts)[:2]
+
+
 def _met(entries: DataFrame, each, result: str, block: int | None) -> DataFrame:
     """entries dealt to their cells, and `each` over them; with `block` the cells are cut."""
     cut = entries if block is None else pair_blocks(entries, "cell", "digest", block)
@@ -170,10 +191,9 @@ def nearest_links(entries: DataFrame, block: int = BLOCK) -> DataFrame:
         import pyarrow as pa
 
         for table in grouped_batches(batches, ("cell", "lo", "hi")):
-            x, y, _ = _candidates(table)
             nodes, where = np.unique(table["digest"].to_numpy(), return_inverse=True)
-            some = nearest_forest(len(nodes), where[x], where[y])
-            a, b = nodes[where[x[some]]], nodes[where[y[some]]]
+            steps = ((where[x], where[y], bits) for x, y, bits in _candidates(table, _runs(table)))
+            a, b = nodes[nearest_pairs(len(nodes), steps)]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return _met(entries, each, "a long, b long", block).distinct()
@@ -241,48 +261,68 @@ def open_entries(entries: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def each(batches):
         for table in grouped_batches(batches, ("cell", "lo", "hi")):
-            x, y, _ = _candidates(table)
-            some = np.unique(np.concatenate([x, y]))
-            yield from table.select(names).take(some).to_batches()
+            some = np.zeros(table.num_rows, dtype=bool)
+            for x, y, _ in _candidates(table, _runs(table)):
+                some[x] = some[y] = True
+            yield from table.select(names).take(np.flatnonzero(some)).to_batches()
 
     wide = ", ".join(f"{w} long" for w in WIDE)
     return _met(entries, each, f"cell long, digest long, size long, {wide}, component long, own int, lo int, hi int", block)
 
 
-def settled(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between components, decided by the shingles in each cell block.
+def similarity(sets: list[np.ndarray]):
+    """Function of positions x and y: which of the pairs have a similarity of at least SIMILARITY.
 
-    Candidates are looked at by rising distance, those that earlier ones of the block have joined
-    not at all, so a block gives a forest.
+    Shingles of one set alone are common to no pair; the others are bits, if those fit in memory.
     """
+    sizes = np.array([len(s) for s in sets])
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[code]
+    words = int(place.max(initial=0)) // 64 + 1
+    if len(sets) * words > MASKED_WORDS:
+        return lambda x, y: np.array([_similar(sets[i], sets[j]) for i, j in zip(x, y)], dtype=bool)
+    owner, place = np.repeat(np.arange(len(sets)), sizes)[place >= 0], place[place >= 0]
+    mask = np.zeros((len(sets), words), dtype=np.uint64)
+    np.bitwise_or.at(mask, (owner, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+
+    def judged(x, y):
+        common = np.bitwise_count(mask[x] & mask[y]).sum(axis=1, dtype=np.int64)
+        return common >= SIMILARITY * (sizes[x] + sizes[y] - common) - 1e-9
+
+    return judged
+
+
+def decided(table) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the components of a sorted table with shingles: a forest, and no pair is held."""
+    nodes, where = np.unique(table["component"].to_numpy(), return_inverse=True)
+    own = [np.frombuffer(s.as_py(), np.uint64) for s in table["shingles"]]
+    run, label = _runs(table), np.arange(len(nodes))
+    first = np.flatnonzero(np.diff(run, prepend=-1))
+    rows = np.diff(np.append(first, len(run)))
+    judges = {}
+    for x, y, _ in _candidates(table, run):
+        apart = label[where[x]] != label[where[y]]  # not what earlier pairs have joined
+        x, y = x[apart], y[apart]
+        like = np.zeros(len(x), dtype=bool)
+        large = rows[run[x]] > FEW
+        like[~large] = [_similar(own[i], own[j]) for i, j in zip(x[~large], y[~large])]
+        for r in np.unique(run[x[large]]):
+            if r not in judges:
+                judges[r] = similarity(own[first[r]:first[r] + rows[r]])
+            mine = large & (run[x] == r)
+            like[mine] = judges[r](x[mine] - first[r], y[mine] - first[r])
+        label = forest(len(nodes), label[where[x[like]]], label[where[y[like]]])[label]
+    tied = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[tied]], nodes[tied]
+
+
+def settled(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components, decided by the shingles in each cell block."""
     def each(batches):
         import pyarrow as pa
 
         for table in grouped_batches(batches, ("cell", "lo", "hi"), rows=2000):
-            x, y, _ = _candidates(table)
-            nodes, where = np.unique(table["component"].to_numpy(), return_inverse=True)
-            own = [np.frombuffer(s.as_py(), np.uint64) for s in table["shingles"]]
-            root, a, b = list(range(len(nodes))), [], []
-
-            def find(k):
-                while root[k] != k:
-                    root[k] = k = root[root[k]]
-                return k
-
-            refuted = set()
-            digests = table["digest"].to_numpy()
-            for i, j in zip(x.tolist(), y.tolist()):
-                p, q = find(int(where[i])), find(int(where[j]))
-                pair = (min(digests[i], digests[j]), max(digests[i], digests[j]))
-                if p == q or pair in refuted:
-                    continue
-                if _similar(own[i], own[j]):
-                    root[max(p, q)] = min(p, q)
-                    a.append(nodes[min(p, q)])
-                    b.append(nodes[max(p, q)])
-                else:
-                    refuted.add(pair)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64()) for ends in decided(table)], ["a", "b"])
 
     return _met(entries.join(sets, "digest"), each, "a long, b long", None)
 

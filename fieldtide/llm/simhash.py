@@ -80,27 +80,33 @@ def _cells(marks: np.ndarray, radius: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def _close_pairs(table, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of verified pairs among sorted entries: same cell, counts near, bits near."""
+def _close_forest(table, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forest of the verified pairs among sorted entries: same cell, counts near, bits near.
+
+    Pairs come by distance of their rows; what earlier ones have joined is not looked at again,
+    so no task holds the pairs of a cell.
+    """
     cell, lo, hi, own = (table[c].to_numpy() for c in ("cell", "lo", "hi", "own"))
     marks = table["fingerprint"].to_numpy().view(np.uint64)
     counts = segment_counts(marks).astype(np.int8)
+    nodes, where = np.unique(table["rep"].to_numpy(), return_inverse=True)
+    label = np.arange(len(nodes))
     new = np.ones(len(cell), dtype=bool)
     new[1:] = (cell[1:] != cell[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
     group = np.cumsum(new)
-    first, second = [], []
     at, k = np.arange(len(cell)), 0
     while len(at):
         k += 1
         at = at[at + k < len(cell)]
         at = at[group[at] == group[at + k]]
         near = at[(lo[at] == hi[at]) | (own[at] != own[at + k])]
+        near = near[label[where[near]] != label[where[near + k]]]
         near = near[np.abs(counts[near] - counts[near + k]).sum(axis=1) <= radius]
         near = near[np.bitwise_count(marks[near] ^ marks[near + k]) <= radius]
-        first.append(near)
-        second.append(near + k)
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate(first or [none]), np.concatenate(second or [none])
+        if len(near):
+            label = forest(len(nodes), label[where[near]], label[where[near + k]])[label]
+    tied = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[tied]], nodes[tied]
 
 
 def close_links(marks: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
@@ -126,12 +132,8 @@ def close_links(marks: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> D
         import pyarrow as pa
 
         for table in grouped_batches(batches, ("cell", "lo", "hi")):
-            a, b = _close_pairs(table, radius)
-            nodes, where = np.unique(table["rep"].to_numpy(), return_inverse=True)
-            root = forest(len(nodes), where[a], where[b])
-            tied = np.flatnonzero(root != np.arange(len(nodes)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes[root[tied]]), pa.array(nodes[tied])], ["a", "b"])
+                [pa.array(ends, pa.int64()) for ends in _close_forest(table, radius)], ["a", "b"])
 
     entries = marks.select("fingerprint", "rep").mapInArrow(spread, "cell long, fingerprint long, rep long")
     return (

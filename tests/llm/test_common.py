@@ -48,6 +48,17 @@ def test_blocks_meet_once(spark):
     assert set(met) == want and set(met.values()) == {1}
 
 
+def test_blocks_are_joined_without_hot_buckets_too(spark):
+    """One row an entry leaves the join, and the plan is the same for every size."""
+    for rows, limit in (([(1, i) for i in range(23)], 100), ([(0, i) for i in range(23)] + [(0, 90)], 24), ([(1, 1)], 100)):
+        got = common.pair_blocks(spark.createDataFrame(rows, "bucket long, key long"), "bucket", "key", limit)
+        found = got.collect()
+        assert "LeftOuter" in got._jdf.queryExecution().executedPlan().toString()
+        met = {(r.key, q.key) for r in found for q in found
+               if (r.lo, r.hi) == (q.lo, q.hi) and r.key < q.key and (r.lo == r.hi or r.own != q.own)}
+        assert len(met) == len(rows) * (len(rows) - 1) // 2
+
+
 def test_batches_split_no_group():
     column = np.repeat(np.arange(40), np.arange(40) % 7 + 1)
     table = pa.table({"k": column, "v": np.arange(len(column))})

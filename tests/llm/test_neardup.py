@@ -125,3 +125,49 @@ def test_simhash_links_are_part_of_the_stage(spark):
     docs = spark.createDataFrame([(7, a), (9, b), (11, " ".join(words))], "doc_id long, text string")
     assert {r.doc_id for r in neardup.similar_groups(docs).where("doc_id = component").collect()} == {7, 9, 11}
     assert {r.doc_id for r in neardup.drop_similar(docs).collect()} == {7, 11}
+
+
+def test_forest_of_bounded_pairs_is_as_short():
+    rng = np.random.default_rng(5)
+    n = 60
+    x, y = (side.copy() for side in np.triu_indices(n, 1))
+    far = rng.integers(0, 40, len(x))
+    steps = [(x[i::50], y[i::50], far[i::50]) for i in range(50)]
+    length = {frozenset(p): d for p, d in zip(zip(x.tolist(), y.tolist()), far.tolist())}
+    order = np.argsort(far, kind="stable")
+    want = [far[order[i]] for i in neardup.nearest_forest(n, x[order], y[order])]
+    for held in (0, 7, 10**6):
+        got = neardup.nearest_pairs(n, iter(steps), held).T.tolist()
+        assert sorted(length[frozenset(p)] for p in got) == sorted(want)
+
+
+def test_shingle_masks_equal_sets(monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**64, 100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(100) < 0.93], rng.integers(0, 2**64, 5, dtype=np.uint64)])) for _ in range(70)]
+    sets.append(np.unique(rng.integers(0, 2**64, 9, dtype=np.uint64)))
+    x, y = np.triu_indices(len(sets), 1)
+    want = [neardup._similar(sets[i], sets[j]) for i, j in zip(x, y)]
+    assert 100 < sum(want) < len(want) - 100
+    assert neardup.similarity(sets)(x, y).tolist() == want
+    monkeypatch.setattr(neardup, "MASKED_WORDS", 0)
+    assert neardup.similarity(sets)(x, y).tolist() == want
+
+
+def test_no_task_holds_the_pairs_of_a_block():
+    """A block of near texts, none similar enough: a million candidates, all refuted."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, rng = 1500, np.random.default_rng(7)
+    base = rng.integers(0, 2**64, 70, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base, rng.integers(0, 2**64, 30, dtype=np.uint64)])) for _ in range(n)]
+    numbers, zeros = pa.array(np.arange(n)), pa.array(np.zeros(n, dtype=np.int64))
+    table = pa.table({"cell": zeros, "lo": zeros, "hi": zeros, "own": zeros, "size": pa.array([100] * n), "digest": numbers,
+                      "component": numbers, **{w: zeros for w in neardup.WIDE}, "shingles": pa.array([s.tobytes() for s in sets])})
+    assert sum(len(x) for x, _, _ in neardup._candidates(table, neardup._runs(table))) == n * (n - 1) // 2
+    tracemalloc.start()
+    assert not len(neardup.decided(table)[0])
+    assert tracemalloc.get_traced_memory()[1] < 20e6  # the pairs alone, as two lists of numbers: 18 MB and more
+    tracemalloc.stop()
