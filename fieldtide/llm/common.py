@@ -21,6 +21,21 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one Arrow batch: what a Python worker and its JVM hold of a column of texts at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts and their feature rows go to Python in batches of at most BATCH_ROWS.
+
+    Spark's 10,000 rows of 5 KB are 50 MB several times over (Arrow in the JVM, Arrow, strings and
+    matrices in the worker), and a worker keeps most of what it once took.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def unit_hash(*cols: Column | str) -> Column:
     """A number in [0, 1) that depends on the columns alone."""
     return (F.xxhash64(*cols).bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))

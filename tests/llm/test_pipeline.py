@@ -98,3 +98,15 @@ def test_nulls_and_repeats(spark, tmp_path):
     rows = pipeline.run(spark, str(tmp_path)).collect()
     places = [(r.doc_id, r.piece) for r in rows if r.doc_id is not None]
     assert len(places) == len(set(places)) and not any((d or 0) >= 90000 for d, _ in places)
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """Also where a stage is run by itself and its result is written later."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for given, want in (("10000", "1000"), ("0", "1000"), ("300", "300")):
+        spark.conf.set(name, given)
+        docs = spark.createDataFrame([(i, "a b c") for i in range(2500)], "doc_id long, text string").coalesce(1)
+        pipeline.one_of_each_group(spark, docs.limit(0), SF)
+        seen = docs.mapInArrow(lambda batches: (b.select(["doc_id"]).slice(0, 1) for b in batches), "doc_id long")
+        assert spark.conf.get(name) == want and seen.count() == -(-2500 // int(want))
+    spark.conf.unset(name)
