@@ -83,9 +83,11 @@ def _touched(spark: SparkSession, root: str, batch: DataFrame, partitions: Seque
     return done.join(F.broadcast(mine), list(partitions), "left_semi")  # one row per partition
 
 
-def _append_fresh(batch: DataFrame, root: str, partitions: Sequence[str], keys: Sequence[str]) -> None:
-    """Append the rows whose keys are not stored yet, each once."""
-    fresh = batch.dropDuplicates(list(keys))
+def _append_fresh(
+    batch: DataFrame, root: str, partitions: Sequence[str], keys: Sequence[str], unique: bool = False,
+) -> None:
+    """Append the rows whose keys are not stored yet, each once; `unique`: no key is twice in the batch."""
+    fresh = batch if unique else batch.dropDuplicates(list(keys))
     done = _touched(batch.sparkSession, root, batch, partitions)
     if done is not None:
         same = [fresh[c].eqNullSafe(done[c]) for c in keys]
@@ -145,7 +147,8 @@ def dedup_scenes(
     if not partitions:
         rows = rows.withColumn("day", F.to_date(time))
     unique = rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
-    return drain(unique, _once(lambda batch, _: _append_fresh(batch, root, names, keys)), checkpoint)
+    # the state gives each key once, so the wide rows are not shuffled to be grouped again
+    return drain(unique, _once(lambda batch, _: _append_fresh(batch, root, names, keys, unique=True)), checkpoint)
 
 
 def dedup_observations(stream: DataFrame, root: str, checkpoint: str, delay: str) -> list[int]:

@@ -167,3 +167,15 @@ def test_counts_of_a_null_class_are_replaced(spark, tmp_path):
         spark, src, spark.read.parquet(src).schema, "*.parquet", 1)
     ingest.class_counts(stream, out, str(tmp_path / "p"), "ts", "event_type", delay="4000 days")
     assert [r["count"] for r in spark.read.parquet(out).collect()] == [2]
+
+
+def test_batches_behind_the_state_are_not_grouped_again(spark, sf_dir, tmp_path, monkeypatch):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = derived.table(spark, sf_dir, "lineitem")
+    rows.union(rows).coalesce(1).write.parquet(src)
+    want = derived.observations(spark, sf_dir).select(*ingest.OBSERVATION).distinct().count()
+    monkeypatch.setattr(type(rows), "dropDuplicates", lambda *_: (_ for _ in ()).throw(AssertionError("grouped again")))
+    for progress in ("p", "lost"):
+        stream = ingest.read_files(spark, src, schemas.SOURCES["lineitem"], "*.parquet", 1)
+        ingest.dedup_observations(derived.observations_of(stream), out, str(tmp_path / progress), "4000 days")
+        assert spark.read.parquet(out).count() == want
