@@ -425,6 +425,7 @@ def stream_dedup_observations(spark, sf_dir):
     for attempt in (0, 1):
         rows = ingest.read_files(spark, sf_dir, schemas.SOURCES["lineitem"], "lineitem.parquet")
         ingest.dedup_observations(derived.observations_of(rows), root, f"{mark}-{attempt}", "4000 days")
+        sinks.drop_table(spark, f"{mark}-{attempt}")  # lost behind the run
     return spark.read.parquet(root).groupBy(*ingest.OBSERVATION).agg(F.count(F.lit(1)).alias("images"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -130,6 +130,87 @@ def _once(sink: Callable) -> Callable:
 #: What makes an observation: a pixel in one image of one tile of an AOI and year.
 OBSERVATION = ["bbox", "year", "tile", "scene_date", "lon", "lat"]
 
+#: Rows of a batch that are compared with the table at a time, by whole partitions.
+SLICE_ROWS = 5_000_000
+#: Partitions named in the filter of one slice.
+SLICE_PARTITIONS = 200
+#: Spark removes the shuffle files of a query when it ends, not when the driver collects garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _packed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The int columns beside the keys as one array, of two bytes a value in rows where all fit.
+
+    A shuffled row spends eight bytes on every column.
+    """
+    ints = _ints(rows.schema, keys)
+    if not ints:
+        return rows
+    fits = reduce(and_, [F.coalesce(F.col(c).between(-(2**15), 2**15 - 1), F.lit(True)) for c in ints])
+    return rows.select(
+        *[c for c in rows.columns if c not in ints],
+        F.when(fits, F.array(*[F.col(c).try_cast("smallint") for c in ints])).alias("_small"),
+        F.when(~fits, F.array(*ints)).alias("_large"),
+    )
+
+
+def _unpacked(rows: DataFrame, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
+    """What _packed was given."""
+    at = {c: i for i, c in enumerate(_ints(schema, keys))}
+    return rows.select(*[
+        F.coalesce(F.get("_small", F.lit(at[c])).cast("int"), F.get("_large", F.lit(at[c]))).alias(c) if c in at else c
+        for c in schema.names])
+
+
+def _ints(schema: T.StructType, keys: Sequence[str]) -> list[str]:
+    """What is worth packing: a few columns take no more than the array around them."""
+    ints = [f.name for f in schema if f.dataType == T.IntegerType() and f.name not in keys]
+    return ints if len(ints) > 4 else []
+
+
+def _free_shuffle(batch: DataFrame) -> None:
+    """Remove what a stored batch was shuffled to for the state; FREE_SHUFFLES leaves that to the stream."""
+    rdd = batch._jdf.queryExecution().toRdd()
+    rdd.getNumPartitions()  # resolves the lineage
+    rdd.cleanShuffleDependencies(True)
+
+
+def _slices(rows: DataFrame, partitions: Sequence[str]) -> Iterator[DataFrame]:
+    """The rows of a table by groups of its partitions."""
+    group, size = [], 0
+    for *values, n in rows.groupBy(*partitions).count().collect():  # one row per partition
+        if group and (size + n > SLICE_ROWS or len(group) == SLICE_PARTITIONS):
+            yield rows.where(reduce(or_, group))
+            group, size = [], 0
+        group.append(reduce(and_, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(partitions, values, strict=True)]))
+        size += n
+    if group:
+        yield rows.where(reduce(or_, group))
+
+
+def _store_unique(batch: DataFrame, root: str, partitions: Sequence[str], keys: Sequence[str]) -> None:
+    """Append the rows of a batch that holds no key twice whose keys are not stored yet.
+
+    The state is run once, to a scratch table. A large one is compared with the stored rows slice
+    by slice, and what a slice was shuffled to is gone before the next.
+    """
+    spark = batch.sparkSession  # the stream's own
+    spark.conf.set(FREE_SHUFFLES, "true")
+    scratch = shared_folder(spark, "batch")
+    batch.write.parquet(scratch)
+    _free_shuffle(batch)
+    rows = spark.read.schema(batch.schema).parquet(scratch)
+    if stored_or_none(spark, root) is None or rows.count() <= SLICE_ROWS:
+        _append_fresh(rows, root, partitions, keys, unique=True)
+    else:
+        split = shared_folder(spark, "batch")
+        rows.write.partitionBy(*partitions).parquet(split)
+        sinks.drop_table(spark, scratch)
+        scratch = split
+        for part in _slices(spark.read.schema(batch.schema).parquet(split), partitions):
+            _append_fresh(part, root, partitions, keys, unique=True)
+    sinks.drop_table(spark, scratch)
+
 
 def dedup_scenes(
     stream: DataFrame, root: str, checkpoint: str, keys: Sequence[str], time: str, delay: str,
@@ -146,9 +227,10 @@ def dedup_scenes(
     rows = stream.withColumn(time, F.col(time).cast("timestamp"))
     if not partitions:
         rows = rows.withColumn("day", F.to_date(time))
-    unique = rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
+    unique = _packed(rows, keys).withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
     # the state gives each key once, so the wide rows are not shuffled to be grouped again
-    return drain(unique, _once(lambda batch, _: _append_fresh(batch, root, names, keys, unique=True)), checkpoint)
+    return drain(
+        unique, lambda batch, _: _store_unique(_unpacked(batch, rows.schema, keys), root, names, keys), checkpoint)
 
 
 def dedup_observations(stream: DataFrame, root: str, checkpoint: str, delay: str) -> list[int]:

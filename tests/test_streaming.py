@@ -1,10 +1,15 @@
 """Streams leave the tables a batch job would."""
 
+import os
+import time
+
 from pyspark.sql import functions as F
 
 from fieldtide import schemas
 from fieldtide.constants import SERIES
 from fieldtide.operators import quality, series as sr
+from fieldtide.plans import catalog
+from fieldtide.session import shared_root
 from fieldtide.sources import derived
 from fieldtide.streaming import commits, ingest
 
@@ -179,3 +184,69 @@ def test_batches_behind_the_state_are_not_grouped_again(spark, sf_dir, tmp_path,
         stream = ingest.read_files(spark, src, schemas.SOURCES["lineitem"], "*.parquet", 1)
         ingest.dedup_observations(derived.observations_of(stream), out, str(tmp_path / progress), "4000 days")
         assert spark.read.parquet(out).count() == want
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in files.split("\n") if os.path.basename(f).startswith("shuffle_")}
+
+
+def test_dedup_compares_by_slices_and_keeps_no_shuffle(spark, sf_dir, tmp_path, monkeypatch):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = derived.table(spark, sf_dir, "lineitem")
+    early = F.col("l_shipdate") < "1998-06-01"
+    all_obs = derived.observations(spark, sf_dir)
+    want = all_obs.select(*ingest.OBSERVATION).distinct()
+    most = all_obs.groupBy("bbox", "year").count().agg(F.max("count")).first()[0]
+    n, sizes, append = want.count(), [], ingest._append_fresh
+
+    def counted(batch, root, partitions, *more, **named):
+        sizes.append((batch.count(), batch.select(*partitions).distinct().count()))
+        append(batch, root, partitions, *more, **named)
+
+    monkeypatch.setattr(ingest, "SLICE_ROWS", most)
+    monkeypatch.setattr(ingest, "_append_fresh", counted)
+    for progress, part in (("p", rows.where(early)), ("lost", rows.where(~early)), ("again", rows.limit(0))):
+        part.union(part).coalesce(1).write.mode("append").parquet(src)
+        sizes.clear()
+        before = _shuffle_files(spark)
+        stream = ingest.read_files(spark, src, schemas.SOURCES["lineitem"], "*.parquet")
+        ingest.dedup_observations(derived.observations_of(stream), out, str(tmp_path / progress), "4000 days")
+        end = time.time() + 20
+        while (left := _shuffle_files(spark) - before) and time.time() < end:
+            time.sleep(0.2)  # files are removed in the background
+        assert not left
+        if progress != "p":  # all rows come again, in one batch
+            assert sum(k for k, _ in sizes) == n and len(sizes) > 3
+            assert all(k <= most for k, _ in sizes)
+    got = spark.read.parquet(out)
+    assert got.count() == n and got.select(*ingest.OBSERVATION).exceptAll(want).isEmpty()
+    kept = got.select(*all_obs.columns)
+    assert kept.exceptAll(all_obs).isEmpty()
+    assert spark.conf.get(ingest.FREE_SHUFFLES, "false") == "false"
+
+
+def test_packed_columns_come_back(spark):
+    names = ["a", "b", "c", "d", "e"]
+    rows = spark.createDataFrame(
+        [("k", 7, 1, 2, None, 4, 5), (None, None, 32767, -32768, 0, -1, 1), ("l", 1, 32768, 2, None, 4, 2**31 - 1),
+         ("m", 2, -32769, None, 0, 0, -(2**31)), ("n", 3, None, None, None, None, None)],
+        "key string, year int, " + ", ".join(f"{c} int" for c in names))
+    keys = ["key", "year"]
+    packed = ingest._packed(rows, keys)
+    assert not set(names) & set(packed.columns)
+    assert packed.where("_small is null").count() == 2 and packed.where("_large is null").count() == 3
+    back = ingest._unpacked(packed, rows.schema, keys)
+    assert back.columns == rows.columns and back.dtypes == rows.dtypes
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
+    few = rows.select("key", "year", "a", "b")
+    assert ingest._unpacked(ingest._packed(few, keys), few.schema, keys).columns == few.columns == ingest._packed(few, keys).columns
+
+
+def test_lost_progress_takes_no_room(spark, sf_dir):
+    before = set(os.listdir(shared_root(spark).removeprefix("file://")))
+    got = catalog.QUERIES["stream_dedup_observations"](spark, sf_dir)
+    left = set(os.listdir(shared_root(spark).removeprefix("file://"))) - before
+    assert [x for x in left if x.startswith("unique-obs-")]
+    assert not [x for x in left if x.startswith(("progress-", "batch-"))]
+    assert got.where("images <> 1").isEmpty()
